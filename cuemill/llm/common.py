@@ -17,9 +17,6 @@ BROADCAST_ROWS = 200_000
 #: Bytes of text that one numpy pass takes at once.
 BLOCK_BYTES = 1 << 20
 
-#: Text bytes for which one scan partition is planned when a count of buckets follows the input.
-SPACES = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors both see.
@@ -34,9 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to shared storage and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet to shared storage and read it back, which cuts its lineage.
+
+    The shuffle files behind it are then no longer needed, and go when the write has ended.
+    """
     path = path or shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with session_conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,9 +71,8 @@ def row_key(df: DataFrame, column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("\x00null"))
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Shuffle partitions of the session, as the number of buckets to start from."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 # --- bytes and words -------------------------------------------------------------------------------------------
