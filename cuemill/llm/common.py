@@ -144,16 +144,26 @@ def _joined(parts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), starts, np.asarray(docs, np.int64)
 
 
-def words_of(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of a block, in order, and the document of each."""
+def words_of(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of a block, in order, and the document of each.
+
+    With ``prefixes`` one row of hashes for each word: the word, then its first bytes by those counts (the word again
+    where it is shorter).
+    """
     inside = IS_WORD[buf]
     edges = np.flatnonzero(np.diff(inside, prepend=np.int8(0), append=np.int8(0)))
     first, last = edges[::2], edges[1::2]
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_CODES[LOWER[buf]] * up[:-1], out=total[1:])
-    hashes = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    return hashes, docs[np.searchsorted(starts, first, "right") - 1]
+
+    def hashed(end: np.ndarray, kind: int) -> np.ndarray:
+        return mix((total[end] - total[first]) * down[first] + np.uint64(kind << 32) + (end - first).astype(np.uint64))
+
+    doc = docs[np.searchsorted(starts, first, "right") - 1]
+    if not prefixes:
+        return hashed(last, 0), doc
+    return np.stack([hashed(last, 0), *(hashed(np.minimum(first + n, last), 1) for n in prefixes)], axis=1), doc
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
