@@ -50,6 +50,8 @@ def fold_digests(staged: DataFrame, path: str, files_per_batch: int | None = Non
         f"{prefix}rocksdb__boundedMemoryUsage": "true",
         f"{prefix}rocksdb__maxMemoryUsageMB": "200",
         f"{prefix}rocksdb__changelogCheckpointing__enabled": "true",
+        f"{prefix}rocksdb__allowFAllocate": "false",  # many small stores: no space set aside for their logs
+        f"{prefix}unloadOnCommit": "true",
     }
     with session_conf(spark, **conf):
         query = (
