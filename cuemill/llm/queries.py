@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import audio, exact_dedup, packing, simhash, suffix, toxicity
+from cuemill.llm import audio, exact_dedup, lm_score, packing, quality, simhash, suffix, toxicity
+from cuemill.llm.common import join_small, pin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents labelled as of good quality, the background all documents."""
+    good = pin(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct())
+    docs = join_small(table(spark, sf_dir, "documents"), good, ["doc_id"], "left")
+    return lm_score.score_documents(docs, F.col("good"))
+
+
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents")))
 
@@ -40,6 +48,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
         WITH n AS (
