@@ -167,14 +167,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> Da
 
 
 class Chunk:
-    """One chunk with its anchors."""
+    """One chunk with its anchors, if they are asked for."""
 
-    def __init__(self, row: dict, depth: Depth):
+    def __init__(self, row: dict, depth: Depth, anchored: bool = True):
         self.chunk, self.ids, self.sizes = row["chunk"], row["ids"], np.asarray(row["sizes"], np.int64)
         self.buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
         self.ends = np.cumsum(self.sizes)
         self.order = np.asarray([NULL_ID if i is None else i for i in self.ids], np.int64)
-        self.places, self.hashes = anchors(self.buf, self.ends, depth)
+        if anchored:
+            self.places, self.hashes = anchors(self.buf, self.ends, depth)
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, "right")
@@ -340,24 +341,23 @@ def repeated_placings(name: np.ndarray, ids: np.ndarray, left: np.ndarray, right
     return mask
 
 
-def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(chunk, suffixes blob) and (chunk, answers blob) for the chunks with surviving grams."""
-    per_chunk = alive.groupBy("chunk").agg(F.collect_list("blob").alias("alive"))
-    joined = chunks.select("chunk", "ids", "sizes", "body").join(per_chunk, "chunk")
+def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: int) -> DataFrame:
+    """(chunk, answers blob) for the chunks with repeated windows: numbers of distinct suffixes and their placings."""
+    joined = chunks.select("chunk", "ids", "sizes", "body").join(alive, "chunk")
     span = f"V{depth.span}"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = Chunk(row, depth)
-            names = np.concatenate([_unpack(x, "<u8")[0] for x in row["alive"]])
-            place, number, least, left, right, forms = contexts(c, names, depth, buckets)
-            out = [(None, c.chunk, _pack(place.astype("<i8"), number.astype("<i4"), least, left, right))]
+            *_, forms = contexts(c, _names(row["alive"]), depth, buckets)
             bucket, name, doc, left, right, ctx = forms
             ctx = np.ascontiguousarray(ctx).view(span).ravel()
             at = np.arange(len(name), dtype="<i4")
-            out += [(k, c.chunk, _pack(name[i], doc[i], at[i], left[i], right[i], ctx[i])) for k, i in _by_bucket(bucket)]
-            types = (pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "chunk", "blob"])
+            out = [(k, _pack(name[i], doc[i], at[i], left[i], right[i], ctx[i])) for k, i in _by_bucket(bucket)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in out], pa.int64()), pa.array([c.chunk] * len(out), pa.int64()), pa.array([v for _, v in out], pa.binary())],
+                names=["bucket", "chunk", "blob"],
+            )
 
     def answer(table: pa.Table) -> pa.Table:
         chunks_ = table.column("chunk").to_pylist()
@@ -374,17 +374,20 @@ def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: in
                 out.append((chunks_[k], _pack(at[some], mask[some])))
         return pa.table({"chunk": pa.array([k for k, _ in out], pa.int64()), "blob": pa.array([v for _, v in out], pa.binary())})
 
-    with small_batches(chunks.sparkSession, 8):
-        sent = pin(joined.mapInArrow(send, "bucket long, chunk long, blob binary"))
-    answers = pin(sent.where("bucket is not null").groupBy("bucket").applyInArrow(answer, "chunk long, blob binary"))
-    return sent.where("bucket is null").select("chunk", F.col("blob").alias("suffixes")), answers
+    sent = joined.mapInArrow(send, "bucket long, chunk long, blob binary")
+    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, blob binary"))
+
+
+def _names(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([_unpack(x, "<u8")[0] for x in blobs])
 
 
-def _covered(c: Chunk, row: dict, depth: Depth) -> np.ndarray:
-    """True for each byte of the chunk that a repeated window covers."""
+def _covered(row: dict, depth: Depth, buckets: int) -> tuple[Chunk, np.ndarray]:
+    """The chunk, and True for each of its bytes that a repeated window covers."""
+    c = Chunk(row, depth, bool(row["alive"]))
     edge = np.zeros(len(c.buf) + depth.threshold + 1, np.int32)
-    if row["suffixes"] is not None:
-        place, number, least, left, right = _unpack(row["suffixes"], "<i8", "<i4", bool, "u1", "u1")
+    if row["alive"]:
+        place, number, least, left, right, _ = contexts(c, _names(row["alive"]), depth, buckets)
         mask = np.zeros(int(number.max()) + 1 if len(number) else 0, np.uint64)
         for x in row["answers"] or []:
             at, bits = _unpack(x, "<i4", "<u8")
@@ -394,14 +397,7 @@ def _covered(c: Chunk, row: dict, depth: Depth) -> np.ndarray:
             start = place[hit] - a
             np.add.at(edge, start, 1)
             np.add.at(edge, start + depth.threshold, -1)
-    return np.cumsum(edge)[: len(c.buf)] > 0
-
-
-class _Plain(Chunk):
-    def __init__(self, row: dict):
-        self.chunk, self.ids, self.sizes = row["chunk"], row["ids"], np.asarray(row["sizes"], np.int64)
-        self.buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
-        self.ends = np.cumsum(self.sizes)
+    return c, np.cumsum(edge)[: len(c.buf)] > 0
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, keep_columns: bool = False) -> DataFrame:
@@ -420,9 +416,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = min(1 << 24, max(4 * shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES))
     with small_batches(docs.sparkSession, 8):
-        alive = first_digit(chunks, depth, buckets)
-    suffixes, answers = deeper_digits(chunks, alive, depth, buckets)
-    found = suffixes.join(answers.groupBy("chunk").agg(F.collect_list("blob").alias("answers")), "chunk", "left")
+        alive = first_digit(chunks, depth, buckets).groupBy("chunk").agg(F.collect_list("blob").alias("alive"))
+        answers = deeper_digits(chunks, alive, depth, buckets).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     rest = chunks.schema["rest"].dataType.elementType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,9 +425,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                row = {k: one.column(k)[0].as_py() for k in ("chunk", "ids", "sizes", "body", "suffixes", "answers")}
-                c = _Plain(row)
-                gone = _covered(c, row, depth)
+                row = {k: one.column(k)[0].as_py() for k in ("chunk", "ids", "sizes", "body", "alive", "answers")}
+                c, gone = _covered(row, depth, buckets)
                 spans, kept, removed = [], [], []
                 for a, z in zip((c.ends - c.sizes).tolist(), c.ends.tolist(), strict=True):
                     edges = np.flatnonzero(np.diff(gone[a:z].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -447,7 +441,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     with small_batches(docs.sparkSession, 8):
         schema = f"id long, n_bytes long, n_removed long, spans array<struct<start: bigint, length: bigint>>, kept binary, rest {rest}"
-        out = chunks.join(found, "chunk", "left").select("chunk", "ids", "sizes", "body", "suffixes", "answers", "rest").mapInArrow(apply, schema)
+        found = chunks.join(alive, "chunk", "left").join(answers, "chunk", "left")
+        out = found.select("chunk", "ids", "sizes", "body", "alive", "answers", "rest").mapInArrow(apply, schema)
     return out.withColumnRenamed("id", id_col) if keep_columns else out.drop("rest").withColumnRenamed("id", id_col)
 
 
