@@ -24,14 +24,23 @@ from pyspark.sql import functions as F
 from cuemill.llm.common import pin, shuffle_partitions, small_batches
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker remembers; further words are encoded each time they occur.
+CACHE_WORDS = 800_000
 #: Characters whose words can be cut here as the vocabulary's own rules cut them: printable Latin-1 and white space.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*\Z")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The vocabulary's pre-tokenisation rule over lower-cased Latin-1 text.
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: The printable characters that stand for bytes in a byte-level vocabulary: a byte that prints as itself, else the next
+#: free character from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b if b in _SELF else 256 + sum(x not in _SELF for x in range(b))) for b in range(256)}
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy of twice the length needed."""
+    return array if n <= len(array) else np.concatenate((array, np.zeros(2 * n - len(array), array.dtype)))
 
 
 class WordTokenizer:
@@ -45,38 +54,50 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Ids of all known words one after the other; of each word its first place there and its number of ids.
+        self.ids, self.first, self.size = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        split = self.library.model.tokenize
+        found = [[x.id for x in split(w.encode().decode("latin-1").translate(_BYTES))] for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        n, total = len(self.known), int(size.sum())
+        self.first, self.size = _room(self.first, n + len(words)), _room(self.size, n + len(words))
+        self.ids = _room(self.ids, self.used + total)
+        self.first[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
+        self.ids[self.used : self.used + total] = np.fromiter((x for f in found for x in f), np.uint32, total)
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _unlearn(self, words: list[str]) -> None:
+        """Take back what was learnt last."""
+        for w in words:
+            del self.known[w]
+        self.used = int(self.first[len(self.known)])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if not _PLAIN.match(text) or "<|" in text:
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            words = _WORD.findall(text.lower())
-            at = list(map(self.known.get, words))
-            if None in at:
-                unknown = [w for w in dict.fromkeys(words) if w not in self.known]
-                if len(self.known) + len(unknown) > CACHE_WORDS:
-                    self._forget()
-                    unknown = list(dict.fromkeys(words))
-                self._learn(unknown)
-                at = list(map(self.known.get, words))
-            at = np.array(at, np.int64)
-            size, first = self.size[at], self.first[at]
-            stop = np.cumsum(size)
-            yield self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)]
+        """Ids of each text; words are looked up for some texts at a time."""
+        for a in range(0, len(texts), 64):
+            part = texts[a : a + 64]
+            words = [_WORD.findall(t.lower()) if _PLAIN.match(t) and "<|" not in t else None for t in part]
+            at = [None if w is None else list(map(self.known.get, w)) for w in words]
+            new = list(dict.fromkeys(x for w, k in zip(words, at, strict=True) if k and None in k for x, y in zip(w, k, strict=True) if y is None))
+            if new:
+                self._learn(new)
+                at = [list(map(self.known.get, w)) if k and None in k else k for w, k in zip(words, at, strict=True)]
+            for text, k in zip(part, at, strict=True):
+                if k is None:
+                    yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+                    continue
+                k = np.array(k, np.int64)
+                size, first = self.size[k], self.first[k]
+                stop = np.cumsum(size)
+                yield self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)]
+            if new and len(self.known) > CACHE_WORDS:
+                self._unlearn(new)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

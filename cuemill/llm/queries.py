@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import audio, exact_dedup, lm_score, packing, quality, simhash, suffix, toxicity
+from cuemill.llm import audio, exact_dedup, lines, lm_score, packing, quality, simhash, spm, suffix, toxicity
 from cuemill.llm.common import join_small, pin
 
 
@@ -43,6 +43,16 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spm.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
