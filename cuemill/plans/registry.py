@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 from cuemill.operators import joins as J
+from cuemill.operators import repair as P
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
 from cuemill.operators import sequence as W
@@ -747,3 +748,128 @@ def _(spark, d):
 @query("x2_latest_state", "SELECT video_id, arg_max(state, (ts, item_id)) AS state, CASE WHEN arg_max(state, (ts, item_id)) = 'completed' THEN 100 ELSE least(arg_max(progress, (ts, item_id)), 99) END::BIGINT AS progress FROM qstate GROUP BY 1", "qstate")
 def _(spark, d):
     return T.latest_state(V.qstate(spark, d))
+
+
+# --- repair, verification, memory --------------------------------------------------------------------------------
+
+
+@query("t6_spoken_numbers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '共12.5元和' || '30%' WHEN doc_id % 3 = 1 THEN '二百五和 ' || doc_id || '.5' ELSE text END AS text FROM documents")
+def _(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, "共十二点五元和百分之三十").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("二百五和 "), "doc_id", F.lit(" . 5"))).otherwise(F.col("text"))
+    docs = V.table(spark, d, "documents").select("doc_id", text.alias("text"), (F.col("doc_id") % 3).alias("k"), F.col("text").alias("own"))
+    return P.normalise_numbers(docs).select("doc_id", F.when(F.col("k") == 2, F.col("own")).otherwise(F.col("text")).alias("text"))
+
+
+@query("t9_punctuation", "SELECT video_id, seg_idx, CASE WHEN k <= 0 OR k >= length(text) OR regexp_matches(text[1:k], '[.?!。？！]\\s*$') THEN text ELSE regexp_replace(text[1:k], '[,;:，；：、]?\\s*$', '.') || text[k + 1:length(text)] END AS text FROM (SELECT *, CASE WHEN seg_idx % 2 = 0 THEN length(text) // 2 ELSE 0 END AS k FROM seg)", "seg")
+def _(spark, d):
+    seg = V.seg(spark, d)
+    evidence = seg.select("video_id", "seg_idx", F.floor(F.length("text") / 2).alias("char_offset"), F.when(F.col("seg_idx") % 2 == 0, 0.9).otherwise(0.3).alias("confidence"))
+    return P.apply_punctuation(seg, evidence).select("video_id", "seg_idx", "text")
+
+
+@query("t7_glossary")
+def _(spark, d):
+    return P.apply_glossary(V.line_seg(spark, d), V.gloss(spark, d)).select("video_id", "seg_idx", "text", "replaced")
+
+
+@query("t13_translation_cleaning", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS clean FROM conversations")
+def _(spark, d):
+    c = V.table(spark, d, "conversations")
+    dirty = F.concat(F.when(F.col("turn") % 2 == 0, "<|im_start|>assistant\nTranslation: ").otherwise("```text\n"), "text", F.lit("\n\n  \n```</s>"))
+    return c.select("conv_id", "turn", X.clean_translation(dirty).alias("clean"))
+
+
+@query("t11_asr_cleaning", "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM conversations")
+def _(spark, d):
+    c = V.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", X.clean_asr(F.concat(F.lit("<|zh|>[S01] [0.00] "), "text", F.lit(" [12.5]<|end|>"))).alias("clean"))
+
+
+@query("t14_json_objects", "SELECT conv_id, turn, '{\"a\": {\"t\": \"}\"}, \"n\": ' || turn || '}' AS json FROM conversations")
+def _(spark, d):
+    noisy = F.concat(F.lit("Sure {x} here: ```json\n"), F.lit('{"a": {"t": "}"}, "n": '), F.col("turn").cast("string"), F.lit("}\n``` end"))
+    return P.extract_json(V.table(spark, d, "conversations").select("conv_id", "turn", noisy.alias("raw")), "raw").select("conv_id", "turn", "json")
+
+
+@query("t16_pair_metrics", "SELECT video_id, seg_idx, round(least(n // 5, n) / greatest(n, 1), 6)::DOUBLE AS edit_ratio, round((n - n // 5) / greatest(n, 1), 6)::DOUBLE AS size_ratio, n // 5 = 0 AS equivalent FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2)", "tok")
+def _(spark, d):
+    return P.pair_metrics(_verdict_pairs(spark, d)).select("video_id", "seg_idx", "edit_ratio", "size_ratio", "equivalent")
+
+
+def _verdict_pairs(spark, d):
+    words = V.seg(spark, d).withColumn("w", X.tokens(F.col("text"))).where(F.size("w") > 0)
+    return words.select("video_id", "seg_idx", F.array_join("w", " ").alias("first_pass"), F.array_join(F.filter("w", lambda x, i: i % 5 != 4), " ").alias("observed"))
+
+
+GATE = "SELECT video_id, seg_idx, CASE WHEN n // 5 = 0 AND safe THEN 'VERIFIED' WHEN safe AND n // 5 <= 0.55 * n THEN 'CORRECTED' ELSE 'UNCERTAIN' END AS decision FROM (SELECT *, seg_idx % 3 <> 2 AND seg_idx % 4 <> 3 AS safe FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2))"
+
+
+def _verdicts(spark, d):
+    metrics = P.pair_metrics(_verdict_pairs(spark, d))
+    i = F.col("seg_idx")
+    return P.safety_gate(metrics.withColumns({"time_grounded": i % 4 != 3, "text_aligned": F.lit(False), "coverage": F.lit(0.9), "context": F.when(i % 3 == 2, 0.2).otherwise(0.8)}))
+
+
+@query("t18_safety_gate", GATE, "tok")
+def _(spark, d):
+    return _verdicts(spark, d).select("video_id", "seg_idx", "decision")
+
+
+@query("a10_outcomes", f"SELECT video_id, count(*) FILTER (decision = 'CORRECTED') AS corrected, count(*) FILTER (decision = 'VERIFIED') AS verified, count(*) FILTER (decision = 'UNCERTAIN') AS uncertain FROM ({GATE}) GROUP BY 1", "tok")
+def _(spark, d):
+    return P.outcome_counts(_verdicts(spark, d))
+
+
+@query(
+    "a1_entity_memory",
+    r"""WITH w AS (SELECT video_id, unnest(regexp_extract_all(text, '([A-Za-z''-]{2,})', 1)) AS s, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS le, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS ca, len(regexp_extract_all(text, '([A-Za-z''-]{2,})', 1)) AS n FROM line_seg),
+        u AS (SELECT *, length(regexp_replace(s, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(s, '[^a-z]', '', 'g')) AS lo FROM w),
+        k AS (SELECT video_id, lower(s) AS normalized, s, count(*) AS n FROM u WHERE ((up >= 2 AND lo = 0) OR (length(s) >= 4 AND up >= 2 AND lo >= 1)) AND NOT (le >= 12 AND n >= 3 AND ca >= 0.9 * le AND NOT regexp_matches(s, '[a-z]')) AND lower(s) NOT IN ('an','and','are','as','at','be','been','but','by','for','from','had','has','have','he','her','hers','him','his','if','in','into','is','it','its','me','my','no','not','of','on','or','our','please','she','so','that','the','their','them','there','they','this','to','was','we','were','what','when','where','which','who','will','with','would','you','your') GROUP BY ALL),
+        g AS (SELECT video_id, normalized, arg_max(s, (n, lower(s), s)) AS canonical, sum(n)::BIGINT AS occurrences FROM k GROUP BY 1, 2 HAVING sum(n) >= 2)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY occurrences DESC, canonical) AS rank FROM g) WHERE rank <= 32""",
+    "line_seg",
+)
+def _(spark, d):
+    return P.entity_memory(V.line_seg(spark, d))
+
+
+@query("a12_key_points", "SELECT doc_id, array_to_string(list_filter([trim(string_split(text, chr(10))[1]), trim(string_split(text, chr(10))[2])], lambda x: x IS NOT NULL AND x <> '')[1:CASE WHEN trim(string_split(text, chr(10))[1]) = trim(string_split(text, chr(10))[2]) THEN 1 ELSE 2 END], '|') AS points FROM documents")
+def _(spark, d):
+    lines = F.slice(F.split("text", "\n"), 1, 2)
+    twice = F.concat(F.transform(lines, lambda x: F.concat(F.lit(" - "), x)), lines, F.array(F.lit("2) "), F.lit("  ")))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(P.merge_points(twice), "|").alias("points"))
+
+
+@query("j10_match_results", "WITH k AS (SELECT video_id, source_url, rtrim(regexp_replace(lower(source_url), '[?#].*$', ''), '/') AS key FROM video), r AS (SELECT page_id AS result_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN url || '#z' ELSE 'https://nowhere.org/' END AS url FROM pages) SELECT result_id, coalesce(u, v) AS video_id, CASE WHEN u IS NOT NULL THEN 'url' WHEN v IS NOT NULL THEN 'key' END AS matched_by FROM r LEFT JOIN (SELECT source_url AS url, min(video_id) AS u FROM k GROUP BY 1) USING (url) LEFT JOIN (SELECT key, min(video_id) AS v FROM k GROUP BY 1) x ON x.key = rtrim(regexp_replace(lower(r.url), '[?#].*$', ''), '/')", "video")
+def _(spark, d):
+    p = F.col("page_id")
+    url = F.when(p % 3 == 0, F.col("url")).when(p % 3 == 1, F.concat("url", F.lit("#z"))).otherwise("https://nowhere.org/")
+    return J.match_results(V.table(spark, d, "pages").select(p.alias("result_id"), F.lit("video").alias("platform"), url.alias("url")), V.video(spark, d))
+
+
+@query("j12_hit_segments", f"WITH {CHUNKS} SELECT DISTINCT s.video_id, s.seg_idx FROM chunks c JOIN seg s ON s.video_id = c.video_id AND list_contains(string_split(c.segment_ids, ','), s.segment_id) WHERE chunk_idx % 2 = 0", "seg", recursive=True)
+def _(spark, d):
+    seg = V.seg(spark, d)
+    return J.hit_segments(W.chunk_segments(seg).where("chunk_idx % 2 = 0"), seg).select("video_id", "seg_idx")
+
+
+@query(
+    "w23_chapters",
+    """WITH d AS (SELECT video_id, seg_idx AS start_idx, start_ms, 'Part ' || seg_idx // 2 AS title, text AS content FROM seg), o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms) AS k FROM d),
+        w AS (SELECT video_id, k, start_ms, start_idx, title, content, 0 AS slot FROM o WHERE k = 1 UNION ALL SELECT o.video_id, o.k, CASE WHEN again THEN w.start_ms ELSE o.start_ms END, CASE WHEN again THEN w.start_idx ELSE o.start_idx END, CASE WHEN again THEN w.title ELSE o.title END, CASE WHEN again THEN w.content ELSE o.content END, slot + CASE WHEN again THEN 0 ELSE 1 END
+        FROM w JOIN o ON o.video_id = w.video_id AND o.k = w.k + 1, LATERAL (SELECT (w.title = o.title OR trim(w.content) = trim(o.content)) AND o.start_ms - w.start_ms <= 10000 AS again))
+        SELECT video_id, slot::BIGINT AS chapter, any_value(start_ms) AS start_ms, any_value(start_idx) AS start_idx, any_value(title) AS title, trim(any_value(content)) AS content FROM w WHERE slot < 8 GROUP BY video_id, slot""",
+    "seg",
+    recursive=True,
+)
+def _(spark, d):
+    seg = V.seg(spark, d)
+    return P.clean_chapters(seg.select("video_id", F.col("seg_idx").alias("start_idx"), F.concat(F.lit("Part "), F.floor(F.col("seg_idx") / 2)).alias("title"), F.col("text").alias("content")), seg)
+
+
+@query("w15_acronyms", "SELECT video_id, CASE WHEN seg_idx % 2 = 0 THEN 'NASA' ELSE 'ABCDEF' END AS acronym, seg_idx * 100000 AS start_ms, seg_idx * 100000 + CASE WHEN seg_idx % 2 = 0 THEN 390 ELSE 590 END AS end_ms FROM seg", "seg")
+def _(spark, d):
+    word = F.when(F.col("seg_idx") % 2 == 0, "nasa").otherwise("abcdefgh")
+    rows = V.seg(spark, d).select("video_id", "seg_idx", F.posexplode(F.split(word, "")).alias("pos", "token"))
+    start = F.col("seg_idx") * 100_000 + F.col("pos") * 100
+    return W.stitch_acronyms(rows.select("video_id", "seg_idx", F.col("pos").cast("long").alias("pos"), "token", start.alias("start_ms"), (start + 90).alias("end_ms")))
