@@ -61,7 +61,7 @@ def parse_asr_json(bodies: DataFrame) -> DataFrame:
     some = F.filter(F.array(*(F.coalesce(x, F.array().cast(SEGMENTS)) for x in lists)), lambda x: F.size(x) > 0)
     items = F.transform(F.flatten(some), lambda x: _cue(F.coalesce(x["start"], x["start_time"]), F.coalesce(x["end"], x["end_time"]), F.coalesce(x["text"], x["transcript"])))
     whole = F.trim(F.coalesce("j.text", "j.result.text", "j.data.text", F.lit("")))
-    is_json = F.trim("body").rlike(r"^[{\[]")
+    is_json = F.trim("body").rlike(r"^(\{|\[\s*[\]{])")
     tag = r"\[([0-9.]+)\]([^\[]+)\[([0-9.]+)\]"
     tagged = F.transform(
         F.regexp_extract_all("body", F.lit(r"(\[[0-9.]+\][^\[]+\[[0-9.]+\])"), F.lit(1)),
