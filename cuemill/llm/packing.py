@@ -25,7 +25,7 @@ from cuemill.llm.common import pin, shuffle_partitions, small_batches
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; further words are encoded each time they occur.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Characters whose words can be cut here as the vocabulary's own rules cut them: printable Latin-1 and white space.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*\Z")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"

@@ -26,7 +26,7 @@ from cuemill.llm.common import small_batches
 
 MARK = "▁"
 #: Stretches and pairs that a worker remembers; more are worked out each time.
-CACHE_STRETCHES, CACHE_PAIRS = 600_000, 1_000_000
+CACHE_STRETCHES, CACHE_PAIRS = 300_000, 300_000
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _OTHER = -1
 
