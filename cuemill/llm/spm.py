@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from cuemill.llm.common import small_batches
 
 MARK = "▁"
 #: Stretches and pairs that a worker remembers; more are worked out each time.
-CACHE_STRETCHES, CACHE_PAIRS = 300_000, 300_000
+CACHE_STRETCHES, CACHE_PAIRS = 500_000, 500_000
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _OTHER = -1
 
@@ -44,10 +45,12 @@ class Pieces:
         self.score = [library.get_score(i) for i in range(len(self.names))]
         self.bytes = {int(name[3:5], 16): i for i, name in enumerate(self.names) if library.is_byte(i)}
         self.longest = max(map(len, self.ids))
+        #: Id of each piece, and -1 for what only begins a piece.
+        self.table = dict.fromkeys((name[:n] for name in self.ids for n in range(1, len(name))), -1) | self.ids
         self.surface = [name.encode() if plain[i] else b"" for i, name in enumerate(self.names)]
         for value, i in self.bytes.items():
             self.surface[i] = bytes([value])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.stretches: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -62,14 +65,12 @@ class Pieces:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may come right after piece a."""
-        if a == _OTHER or b == _OTHER:
-            return True
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 16 | b)
         if found is None:
             left, right = self.names[a], self.names[b]
             found = self.merged(left + right) == [left, right]
             if len(self.pairs) < CACHE_PAIRS:
-                self.pairs[a, b] = found
+                self.pairs[a << 16 | b] = found
         return found
 
     def stream(self) -> Stream:
@@ -79,18 +80,19 @@ class Pieces:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, np.uint16)
-        out = []
-        known = self.stretches
-        for stretch in _STRETCH.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(stretch)
-            if ids is None:
-                one = Stream(self)
-                ids = np.array(one.feed(stretch) + one.end(), np.uint16).tobytes()
-                if len(known) < CACHE_STRETCHES and len(stretch) <= 64:
-                    known[stretch] = ids
-            out.append(ids)
+        parts = _STRETCH.findall(MARK + text.replace(" ", MARK))
+        out = list(map(self.stretches.get, parts))
+        if None in out:
+            out = [self._encode_stretch(part) if ids is None else ids for part, ids in zip(parts, out, strict=True)]
         return np.frombuffer(b"".join(out), np.uint16)
 
+    def _encode_stretch(self, stretch: str) -> bytes:
+        one = Stream(self)
+        ids = array("H", one.feed(stretch) + one.end()).tobytes()
+        if len(self.stretches) < CACHE_STRETCHES and len(stretch) <= 64:
+            self.stretches[stretch] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
         text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
@@ -105,41 +107,54 @@ class Stream:
         self.text = ""  # characters not committed
         self.back: list[int] = [0]  # start of the last piece of the path to each position
         self.last: list[int | None] = [_OTHER]  # that piece; None where no path ends
+        self.done = 0  # positions whose next pieces are all known
 
     def feed(self, text: str) -> list[int]:
         """Take more characters; the ids that are now settled."""
         out: list[int] = []
         for a in range(0, len(text), 64):
             self.text += text[a : a + 64]
-            self._search()
             if len(self.text) > 2 * self.pieces.longest:
+                self._search(len(self.text) - self.pieces.longest + 1)
                 out += self._commit(self._meeting())
         return out
 
     def end(self) -> list[int]:
         """The remaining ids."""
+        self._search(len(self.text))
         out = self._commit(len(self.text))
-        self.back, self.last = [0], [_OTHER]
+        self.back, self.last, self.done = [0], [_OTHER], 0
         return out
 
-    def _search(self) -> None:
-        text, ids, follows, last = self.text, self.pieces.ids, self.pieces.follows, self.last
-        for stop in range(len(last), len(text) + 1):
-            found, start = None, stop - 1
-            for start in range(max(0, stop - self.pieces.longest), stop):  # longest piece first
-                piece = ids.get(text[start:stop])
-                if piece is not None and last[start] is not None and follows(last[start], piece):
-                    found = piece
+    def _search(self, until: int) -> None:
+        """Extend the paths that end before ``until`` by every compatible piece; what they reach has one path then."""
+        text, back, last, p = self.text, self.back, self.last, self.pieces
+        find, pairs, follows, longest, n = p.table.get, p.pairs, p.follows, p.longest, len(self.text)
+        missing = n + 1 - len(last)
+        last += [None] * missing
+        back += [0] * missing
+        for start in range(self.done, until):
+            before = last[start]
+            if before is None:
+                continue
+            for stop in range(start + 1, (start + longest if start + longest < n else n) + 1):
+                piece = find(text[start:stop])
+                if piece is None:
                     break
-            if found is None and text[stop - 1] not in ids:
-                found, start = _OTHER, stop - 1  # a character that no piece has stands alone
-            last.append(found)
-            self.back.append(start)
+                if piece < 0 or last[stop] is not None:
+                    continue
+                if before >= 0:
+                    fits = pairs.get(before << 16 | piece)
+                    if not (follows(before, piece) if fits is None else fits):
+                        continue
+                last[stop], back[stop] = piece, start
+            if last[start + 1] is None and text[start] not in p.ids:
+                last[start + 1], back[start + 1] = _OTHER, start  # a character that no piece has stands alone
+        self.done = max(self.done, until)
 
     def _meeting(self) -> int:
         """The last boundary that the paths of all positions which a piece can still start from have in common."""
-        n = len(self.text)
-        open_ends = {p for p in range(max(0, n - self.pieces.longest + 1), n + 1) if self.last[p] is not None}
+        open_ends = {p for p in range(self.done, len(self.text) + 1) if self.last[p] is not None}
         while len(open_ends) > 1:
             top = max(open_ends)
             open_ends.remove(top)
@@ -159,6 +174,7 @@ class Stream:
             self.text = self.text[boundary:]
             self.back = [max(0, b - boundary) for b in self.back[boundary:]]
             self.last = self.last[boundary:]
+            self.done = max(0, self.done - boundary)
         return out
 
 
