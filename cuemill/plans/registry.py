@@ -17,6 +17,7 @@ from cuemill.operators import search as K
 from cuemill.operators import segments as S
 from cuemill.operators import sequence as W
 from cuemill.operators import tables as T
+from cuemill.operators import verify as A
 from cuemill.plans import views as V
 from cuemill.sources import formats as R
 
@@ -873,3 +874,38 @@ def _(spark, d):
     rows = V.seg(spark, d).select("video_id", "seg_idx", F.posexplode(F.split(word, "")).alias("pos", "token"))
     start = F.col("seg_idx") * 100_000 + F.col("pos") * 100
     return W.stitch_acronyms(rows.select("video_id", "seg_idx", F.col("pos").cast("long").alias("pos"), "token", start.alias("start_ms"), (start + 90).alias("end_ms")))
+
+
+@query("t19_keep_surface", "SELECT video_id, seg_idx, CASE WHEN n * n > 40000 THEN lower(text) ELSE text END AS kept FROM seg JOIN (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2) USING (video_id, seg_idx)", "tok")
+def _(spark, d):
+    pairs = V.seg(spark, d).where(F.size(X.tokens(F.col("text"))) > 0)
+    return A.keep_surface(pairs.select("video_id", "seg_idx", F.col("text").alias("first_pass"), F.lower("text").alias("observed"))).select("video_id", "seg_idx", "kept")
+
+
+@query("t17_local_rewrites")
+def _(spark, d):
+    w = Window.partitionBy("video_id").orderBy("seg_idx")
+    rows = V.seg(spark, d).select("video_id", "seg_idx", F.lag("text").over(w).alias("left"), F.col("text").alias("target"), F.lead("text").over(w).alias("right"))
+    rows = rows.where("left is not null and right is not null")
+    return A.extract_rewrites(rows.withColumn("observed", F.concat_ws(" ", "left", F.lit("changed words"), "right"))).select("video_id", "seg_idx", "replacement")
+
+
+@query("t10_surface_repair")
+def _(spark, d):
+    seg = V.seg(spark, d)
+    bare = seg.withColumn("text", F.trim(F.regexp_replace("text", "[.?!,]", "")))
+    return A.surface_repair(bare, seg.select("video_id", "seg_idx", F.col("text").alias("observed"))).select("video_id", "seg_idx", "text")
+
+
+@query("t20_canonical_names")
+def _(spark, d):
+    lines = V.line_seg(spark, d)
+    return A.canonicalize(lines, P.entity_memory(lines)).select("video_id", "seg_idx", "text")
+
+
+@query("w16_stitched_chunks")
+def _(spark, d):
+    seg = V.seg(spark, d)
+    cues = seg.select("video_id", (F.col("seg_idx") * 2).alias("cue"), (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text")
+    again = seg.select("video_id", (F.col("seg_idx") * 2 + 1).alias("cue"), (F.col("end_ms") / 1000 - 0.5).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), F.element_at(F.split("text", " "), -1).alias("text"))
+    return A.stitch_chunks(cues.unionByName(again))
