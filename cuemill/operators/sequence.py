@@ -351,3 +351,20 @@ def suspicions(seg: DataFrame, health: DataFrame, most: int = 16) -> DataFrame:
     rows = rows.withColumn("score", F.least(score, F.lit(100))).withColumn("reasons", reasons).where((F.col("score") >= 52) & (F.col("severe") | (F.col("before").isNotNull() & F.col("after").isNotNull())))
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "start_ms"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("video_id", "seg_idx", (F.col("score") / 100).alias("score"), "reasons")
+
+
+def thin_cuts(seg: DataFrame, evidence: DataFrame, least: float = 0.5, chars: int = 1, apart_ms: int = 80) -> DataFrame:
+    """Cuts (video_id, seg_idx, char_offset, time_ms, confidence) inside their segment, none within one character or 80 ms of
+    the last one kept (W11)."""
+    spans = seg.select("video_id", "seg_idx", F.length("text").alias("n"), "start_ms", "end_ms")
+    inside = (F.col("char_offset") > 0) & (F.col("char_offset") < F.col("n")) & (F.col("time_ms") > F.col("start_ms")) & (F.col("time_ms") < F.col("end_ms"))
+    rows = evidence.where(F.col("confidence") >= least).join(spans, ["video_id", "seg_idx"]).where(inside)
+    cuts = rows.groupBy("video_id", "seg_idx").agg(F.sort_array(F.collect_set(F.struct(F.col("char_offset").cast("long").alias("char_offset"), F.col("time_ms").cast("long").alias("time_ms")))).alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        near = last.isNotNull() & ((x["char_offset"] - last["char_offset"] <= chars) | (x["time_ms"] - last["time_ms"] <= apart_ms))
+        return F.when(near, a).otherwise(F.concat(a, F.array(x)))
+
+    kept = cuts.select("video_id", "seg_idx", F.aggregate("s", F.array().cast("array<struct<char_offset:bigint,time_ms:bigint>>"), step).alias("kept"))
+    return kept.select("video_id", "seg_idx", F.inline("kept"))

@@ -909,3 +909,20 @@ def _(spark, d):
     cues = seg.select("video_id", (F.col("seg_idx") * 2).alias("cue"), (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text")
     again = seg.select("video_id", (F.col("seg_idx") * 2 + 1).alias("cue"), (F.col("end_ms") / 1000 - 0.5).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), F.element_at(F.split("text", " "), -1).alias("text"))
     return A.stitch_chunks(cues.unionByName(again))
+
+
+@query(
+    "w11_cuts",
+    """WITH e AS (SELECT video_id, seg_idx, o AS char_offset, start_ms + o * 37 AS time_ms FROM (SELECT *, length(text) AS n, unnest(generate_series(0, length(text), 1)) AS o FROM seg) WHERE o % 7 < 3 AND o > 0 AND o < n AND start_ms + o * 37 < end_ms),
+        r AS (SELECT *, row_number() OVER (PARTITION BY video_id, seg_idx ORDER BY char_offset) AS k FROM e),
+        w AS (SELECT video_id, seg_idx, k, char_offset, time_ms, TRUE AS kept FROM r WHERE k = 1 UNION ALL SELECT r.video_id, r.seg_idx, r.k, CASE WHEN near THEN w.char_offset ELSE r.char_offset END, CASE WHEN near THEN w.time_ms ELSE r.time_ms END, NOT near
+        FROM w JOIN r ON r.video_id = w.video_id AND r.seg_idx = w.seg_idx AND r.k = w.k + 1, LATERAL (SELECT r.char_offset - w.char_offset <= 1 OR r.time_ms - w.time_ms <= 80 AS near))
+        SELECT video_id, seg_idx, char_offset::BIGINT AS char_offset, time_ms::BIGINT AS time_ms FROM w WHERE kept""",
+    "seg",
+    recursive=True,
+)
+def _(spark, d):
+    seg = V.seg(spark, d)
+    places = seg.select("video_id", "seg_idx", "start_ms", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("char_offset"))
+    evidence = places.select("video_id", "seg_idx", "char_offset", (F.col("start_ms") + F.col("char_offset") * 37).alias("time_ms"), F.when(F.col("char_offset") % 7 < 3, 0.7).otherwise(0.4).alias("confidence"))
+    return W.thin_cuts(seg, evidence)
