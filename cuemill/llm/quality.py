@@ -227,7 +227,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ballots = pin(source.mapInArrow(vote, f"id {kind}, votes long"))
     counts = ballots.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
     labellers = estimate(counts["votes"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
-    chosen = source.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(SAMPLE_DOCS).toPandas()
+    hashed = source.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("id").alias("a"), F.xxhash64("text").alias("b"))
+    keys = pin(hashed.select("a", "b").orderBy("a", "b").limit(SAMPLE_DOCS))  # hashes first: no texts are sorted
+    chosen = hashed.join(F.broadcast(keys.distinct()), ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b").select("text").toPandas()
     texts = chosen["text"].tolist()
     soft = np.concatenate([labellers.posterior(votes(utf8(texts[a : a + 64]))) for a in range(0, len(texts), 64)] or [np.zeros(0)])
     model = spark.sparkContext.broadcast((labellers, train(texts, soft)))
