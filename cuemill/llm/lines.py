@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def dealt_by_key(lines: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def near_lines(distinct: DataFrame) -> DataFrame:
+def near_lines(distinct: DataFrame, signatures: Callable = signatures, verified: Callable = verified) -> DataFrame:
     """(node, component) of the keys of lines that have a near copy; ``distinct`` is (key, lid, norm), dealt out by key.
 
     Bands hold the 64-bit ``lid`` instead of the 128-bit key; should two lines share one, both are verified.
@@ -116,13 +117,14 @@ def _cut(rows: DataFrame, member: DataFrame) -> DataFrame:
     finer = finer.withColumn("band", F.xxhash64(F.least("band", "other"), F.greatest("band", "other"))).drop("other")
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_STEP))).cast("int")
     cut = rows.where("not crowded").unionByName(finer).distinct().withColumn("level", F.explode(F.array(level, level + 1)))
-    return cut.select(F.xxhash64("band", "level").alias("band"), "lid", "n", "component")
+    return cut.select(F.xxhash64("band", "level").alias("band"), "lid", "n", "component", (F.col("level") == level).alias("own"))
 
 
 def _apart(groups: DataFrame) -> DataFrame:
     """Pairs (a, b), the larger first, of a group's lines in different components."""
-    left, right = (groups.select("band", F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-    near = left.join(right, "band").where("ca < cb").where(_sizes_allow("na", "nb"))
+    left, right = (groups.select("band", F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
+    # one of the two is of the group's own class, so two lines of one class meet once
+    near = left.join(right, "band").where("ca < cb and (owna or ownb)").where(_sizes_allow("na", "nb"))
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
