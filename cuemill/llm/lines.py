@@ -1,39 +1,50 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 1. Equal lines (lower-cased, white space collapsed) become one row before anything else, so a line that a third of all
    documents hold is one line.
-2. Signatures: all five-character shingles of a line, the very ones that are verified, give 64 independent minima, each
-   of another hash. Shingles are made and folded inside the partition that holds the line.
+2. Signatures: all five-character shingles of a line, the very ones that are verified, give 64 minima under as many
+   hashes, and a sketch: one parity bit for each of 512 hash values.
 3. High-recall banding: sixteen bands of four minima; a pair at 0.8 shares one in 99.98 % of the cases. The lines of a
    band are first held against the band's smallest member only, a star instead of all pairs.
-4. Exact verification: Jaccard similarity of the two lines' sets of five-character shingles, 0.8 or more.
-5. Union-find by star contraction. Then the bands are gone through again: members that now lie in different components
-   are paired and verified, and a group of near copies costs no pairs any more. A crowded band is first cut by the
-   other bands of its members (a pair at 0.8 shares a second one in 99.7 % of the cases). Pairs whose numbers of
-   shingles rule 0.8 out are never made.
-6. Of each component the first line by document and place stays.
+4. The sketch rules pairs out before their texts are fetched. Two sets at 0.8 differ in at most a ninth of their summed
+   sizes, and each parity that differs needs an element that only one of the two has, so no near pair is lost.
+5. Exact verification: Jaccard similarity of the two lines' sets of five-character shingles, 0.8 or more.
+6. Distributed union-find by star contraction. In the bands that still hold several components, the lines outside the
+   largest one meet all lines of other components, in blocks, again behind sizes and sketches; then components are
+   joined once more. A group of near copies is one component by then and makes no pairs.
+7. Of each component the first line by document and place stays.
+
+Signing and verifying run in numpy and Python over Arrow batches; the README says why not as DataFrame functions.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import pin, session_conf, shared_dir, shuffle_partitions
+from cuemill.llm.common import mix, pin, small_batches
 from cuemill.llm.components import connected_components
 
 BANDS, ROWS = 16, 4
 SIMILARITY = 0.8
 SHINGLE = 5
-#: A band with more members than this in different components is cut by their other bands.
-CROWDED = 64
-#: Numbers of shingles of one class differ by this factor at most; lines at 0.8 (1.25) are in the same or the next class.
-CLASS_STEP = 1.26
-#: The hash of minimum i is of the shingle's hash under mask i.
-MASKS = [((i + 1) * 0x9E3779B97F4A7C15 ** 2 + i * i * 0xD1B54A32D192ED03) % (1 << 63) for i in range(BANDS * ROWS)]
+#: Parity bits of a sketch, held in columns of 64.
+SKETCH_BITS = 512
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Rows of a band that meet in one block.
+BLOCK_ROWS = 4096
+#: Characters that one numpy pass takes at once; a longer line is a pass of its own.
+PASS_CHARS = 1 << 17
+#: Minimum i is over (shingle hash ^ mask i) * factor i.
+MASKS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+FACTORS = mix(MASKS) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 48) - 1)
+SIGNED = "lid long, n int, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def normal_line(line: Column) -> Column:
@@ -49,83 +60,145 @@ def _key(norm: Column) -> Column:
     return F.unhex(F.md5(norm.cast("binary")))
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
-    """(lid, n shingles, bands array<long>) of lines that are already dealt out by key; adds no exchange."""
-    hashed = distinct.select("key", "lid", F.explode(_shingle_set("norm")).alias("shingle")).select("key", "lid", F.xxhash64("shingle").alias("h"))
-    minima = (F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(MASKS))
-    least = hashed.groupBy("key", "lid").agg(F.count(F.lit(1)).cast("int").alias("n"), *minima)
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return least.select("lid", "n", F.array(*bands).alias("bands"))
+def shingle_set(line: str) -> set[str]:
+    """Distinct shingles of five characters; a shorter line is one shingle."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, 64-bit hash) of every shingle of every line."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\U0010ffff") for x in lines]
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    two = code[:-1] * _STEP + code[1:]
+    four = two[:-2] * (_STEP * _STEP) + two[2:]
+    five = mix(four[:-1] * _STEP + code[4:])
+    line = np.repeat(np.arange(len(padded)), size)[: len(five)]
+    inside = np.arange(len(five)) + SHINGLE <= np.cumsum(size)[line]
+    return line[inside], five[inside]
+
+
+def signed(lid: pa.Array, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """Signatures of the sets of hashes ``h``, each of the row (a place in ``lid``) beside it. A set is of 48-bit hashes."""
+    rows = len(lid)
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    key = key[np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))]
+    row = (key >> np.uint64(48)).astype(np.int64)
+    n = np.bincount(row, minlength=rows)
+    full = np.flatnonzero(n)
+    bands = np.zeros((rows, BANDS), np.uint64)
+    if len(full):
+        first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
+        value = ((key & _LOW) >> np.uint64(16)).astype(np.uint32)
+        band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()
+        masks, factors = MASKS.astype(np.uint32), FACTORS.astype(np.uint32)
+        for i in range(BANDS * ROWS):
+            least = np.minimum.reduceat((value ^ masks[i]) * factors[i], first)
+            b = i // ROWS
+            band[:, b] = mix((band[:, b] + np.uint64(1)) * _STEP ^ least.astype(np.uint64))
+        bands[full] = band
+    odd = np.bincount(row * SKETCH_BITS + (key & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
+    sketch = np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1, bitorder="little").view("<i8")
+    has = np.repeat((n > 0).astype(np.int32) * BANDS, 1)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32())
+    listed = pa.ListArray.from_arrays(offsets, pa.array(bands[full].view(np.int64).ravel()))
+    columns = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]
+    return pa.RecordBatch.from_arrays([lid, pa.array(n.astype(np.int32)), listed, *columns], names=["lid", "n", "bands", *SKETCH])
+
+
+def sign_lines(distinct: DataFrame) -> DataFrame:
+    """(lid, n shingles, bands array<long>, sketch) of distinct lines (lid, norm), written to shared storage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, lid, at, held = b.column("norm").to_pylist(), b.column("lid"), 0, 0
+            for stop, line in enumerate(lines, 1):
+                held += len(line)
+                if held >= PASS_CHARS or stop == len(lines):
+                    yield signed(lid.slice(at, stop - at), *line_hashes(lines[at:stop]))
+                    at, held = stop, 0
+
+    with small_batches(distinct.sparkSession, 4096):
+        return pin(distinct.select("lid", "norm").mapInArrow(run, SIGNED))
 
 
-def _shingle_set(norm: str) -> Column:
-    found = F.regexp_extract_all(norm, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
-    return F.array_distinct(F.when(F.length(norm) >= SHINGLE, found).otherwise(F.array(norm)))
-
-
-def verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of short line ids, the pairs of keys whose lines have a Jaccard similarity of 0.8 or more."""
-    side = lambda k: distinct.select(F.col("lid").alias(k), F.col("key").alias(f"key_{k}"), F.col("norm").alias(f"norm_{k}"))
-    texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    one = F.array(F.struct(_shingle_set("norm_a").alias("a"), _shingle_set("norm_b").alias("b")))  # so each set is made once
-    # both / (a + b - both) >= 4 / 5
-    near = F.exists(one, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * 9 >= (F.size(s["a"]) + F.size(s["b"])) * 4)
-    return texts.where(near).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-
-
-def dealt_by_key(lines: DataFrame) -> DataFrame:
-    """Distinct lines as a table bucketed by key in shared storage: what groups by key next needs no exchange."""
-    spark = lines.sparkSession
-    name = f"lines_{uuid.uuid4().hex}"
-    with session_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        writer = lines.write.option("compression", "zstd").bucketBy(shuffle_partitions(spark), "key")
-        writer.option("path", shared_dir(spark)).saveAsTable(name)
-    return spark.table(name)
+def _sizes_allow(a: str, b: str) -> Column:
+    """Whether sets of so many shingles can reach a Jaccard similarity of 0.8."""
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
-def near_lines(distinct: DataFrame, signatures: Callable = signatures, verified: Callable = verified) -> DataFrame:
-    """(node, component) of the keys of lines that have a near copy; ``distinct`` is (key, lid, norm), dealt out by key.
+def _sketches_allow(a: str, b: str) -> Column:
+    """Whether two sets, with sketches in columns that begin with ``a`` and ``b``, can; each odd bit is a difference."""
+    differing = sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}_{SKETCH[0]}").bitwiseXOR(F.col(f"{b}_{SKETCH[0]}"))))
+    return differing * 9 <= F.col(f"{a}_n") + F.col(f"{b}_n")
 
-    Bands hold the 64-bit ``lid`` instead of the 128-bit key; should two lines share one, both are verified.
-    """
-    of_band = Window.partitionBy("band")
-    bands = signatures(distinct).select("lid", "n", F.explode("bands").alias("band"))
-    rep = F.min(F.struct("lid", "n")).over(of_band)
-    member = pin(bands.select("*", rep.alias("rep"), F.max("lid").over(of_band).alias("top")).where("rep.lid <> top").drop("top"))
-    tried = member.where("lid <> rep.lid").where(_sizes_allow("n", "rep.n")).select(F.col("lid").alias("a"), F.col("rep.lid").alias("b")).distinct()
-    stars = pin(verified(tried, distinct))
-    found = connected_components(stars)
-    names = distinct.select("lid", "key").join(member.select("lid").distinct(), "lid", "left_semi")
-    placed = member.join(names, "lid").join(found.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("band", "lid", "n", F.coalesce("component", "key").alias("component"))
-    apart = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), (F.count(F.lit(1)) > CROWDED).alias("crowded"))
-    open_rows = pin(placed.join(apart.where("x <> y").select("band", "crowded"), "band").distinct())
-    pairs = _apart(_cut(open_rows, member)).distinct()
-    more = pin(verified(pairs.join(tried, ["a", "b"], "left_anti"), distinct))
-    return found if more.isEmpty() else connected_components(stars.unionByName(more))
 
+def _side(rows: DataFrame, k: str, *columns: str) -> DataFrame:
+    return rows.select(F.col("lid").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns))
 
-def _sizes_allow(a: str, b: str) -> Column:
-    """Whether sets of so many shingles can reach a Jaccard similarity of 0.8."""
-    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
+def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b), those that sizes and sketches do not rule out."""
+    both = pairs.join(_side(signatures, "b", "n", *SKETCH), "b").join(_side(signatures, "a", "n", *SKETCH), "a")
+    return both.where(_sizes_allow("a_n", "b_n") & _sketches_allow("a", "b")).select("a", "b")
 
-def _cut(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """Groups of open rows: a band, or of a crowded one what shares another band as well; and a class of sizes, or its next."""
-    other = member.select("lid", F.col("band").alias("other"))
-    finer = rows.where("crowded").join(other, "lid").where("band <> other")
-    finer = finer.withColumn("band", F.xxhash64(F.least("band", "other"), F.greatest("band", "other"))).drop("other")
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_STEP))).cast("int")
-    cut = rows.where("not crowded").unionByName(finer).distinct().withColumn("level", F.explode(F.array(level, level + 1)))
-    return cut.select(F.xxhash64("band", "level").alias("band"), "lid", "n", "component", (F.col("level") == level).alias("own"))
 
+def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose texts (lid, norm) have sets with a Jaccard similarity of 0.8 or more.
 
-def _apart(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b), the larger first, of a group's lines in different components."""
-    left, right = (groups.select("band", F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-    # one of the two is of the group's own class, so two lines of one class meet once
-    near = left.join(right, "band").where("ca < cb and (owna or ownb)").where(_sizes_allow("na", "nb"))
-    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    The side that many pairs share, ``b``, is joined first, while rows are still short.
+    """
+    both = pairs.join(_side(texts, "b", "norm"), "b").join(_side(texts, "a", "norm"), "a").select("a", "b", "a_norm", "b_norm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("a_norm").to_pylist(), batch.column("b_norm").to_pylist(), strict=True):
+                one, other = set_of(x), set_of(y)
+                near.append(len(one & other) * 9 >= (len(one) + len(other)) * 4)  # both / (a + b - both) >= 4 / 5
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    with small_batches(pairs.sparkSession, 256):
+        return pin(both.mapInArrow(run, "a long, b long"))
+
+
+def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
+    """(node, component) of the ids that have a near copy. ``signatures`` is of ``signed``, ``texts`` (lid, norm); ids are unique."""
+    bands = signatures.select("lid", F.explode("bands").alias("band"))
+    reps = pin(bands.groupBy("band").agg(F.min("lid").alias("rep"), F.max("lid").alias("top")).where("rep < top").select("band", "rep"))
+    member = pin(bands.join(reps, "band"))
+    tried = member.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct()
+    links = verified(possible(tried, signatures), texts, set_of)
+    found = connected_components(links)
+    more = verified(possible_between(member, found, signatures), texts, set_of)
+    if more.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def possible_between(member: DataFrame, found: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines that share a band, lie in different components and pass sizes and sketches."""
+    placed = member.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
+    placed = pin(placed)
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
+    bands = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS)
+    bands = bands.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.size")).alias("here"), blocks(F.col("all")).alias("there"))
+    rows = pin(placed.join(bands, "band").join(signatures.drop("bands"), "lid"))
+
+    def dealt(k: str, own: str, other: str) -> DataFrame:
+        """Rows with the number of their block, once for each block of the other side."""
+        salt = F.pmod(F.xxhash64("lid"), own)
+        columns = ["n", *SKETCH, "component"]
+        place = rows if k == "b" else rows.where("component <> main")
+        return place.select(
+            "band", salt.alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), (F.col("component") == F.col("main")).alias(f"{k}_main"),
+            F.col("lid").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns),
+        )
+
+    both = dealt("a", "here", "there").join(dealt("b", "there", "here"), ["band", "here", "there"])
+    apart = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b")))
+    return both.where(apart & _sizes_allow("a_n", "b_n") & _sketches_allow("a", "b")).select("a", "b").distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,15 +215,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = lines.where(F.col("line").rlike(r"\S"))
     keyed = full.select(_key(norm).alias("key"), norm.alias("norm"), spot.alias("spot"))
     grouped = keyed.groupBy("key").agg(F.first("norm").alias("norm"), F.min("spot").alias("spot"), F.count(F.lit(1)).alias("n"))
-    distinct = dealt_by_key(grouped.withColumn("lid", F.xxhash64("norm")))
-    found = near_lines(distinct.select("key", "lid", "norm"))
-    named = distinct.select("key", "spot", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
-    named = named.withColumn("component", F.coalesce("component", "key"))
+    distinct = pin(grouped.withColumn("lid", F.monotonically_increasing_id()))
+    texts = distinct.select("lid", "norm")
+    found = near_components(sign_lines(texts), texts, shingle_set)
+    named = distinct.select("lid", "key", "spot", "n").join(found.withColumnRenamed("node", "lid"), "lid", "left")
+    named = pin(named.select("key", "spot", "n", F.coalesce("component", "lid").alias("component")))
     first = named.groupBy("component").agg(F.min("spot").alias("class"), F.sum("n").alias("class_size"))
     classes = pin(named.select("key", "component").join(first, "component").select("key", "class", "class_size"))
-    key = F.when(F.col("line").rlike(r"\S"), _key(norm))
-    out = lines.select("id", "line_no", key.alias("key")).join(classes, "key", "left")
-    mine = F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("class.id")) & (F.col("line_no") == F.col("class.line_no")))
+    blank = ~F.col("line").rlike(r"\S")
+    # blank lines find no class; a key from their place keeps them from meeting in one task
+    key = F.when(blank, F.unhex(F.sha1(F.concat_ws(" ", F.col("id").cast("string"), "line_no").cast("binary")))).otherwise(_key(norm))
+    out = lines.select("id", "line_no", blank.alias("blank"), key.alias("key")).join(classes, "key", "left")
+    mine = F.col("blank") | (F.col("id").eqNullSafe(F.col("class.id")) & (F.col("line_no") == F.col("class.line_no")))
     return out.select(
         F.col("id").alias(id_col), "line_no", F.col("class.id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"), mine.alias("kept"),
@@ -158,7 +234,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` whose texts keep the lines that stay, joined by line feeds; other columns as they were.
+    """``docs`` whose texts keep the lines that stay, joined by line feeds; other columns as they were, whatever their names.
 
     Identifiers must not repeat. A null text stays null; a text all of whose lines go becomes empty.
     """
@@ -166,7 +242,8 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = line_classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), "line_no")
     both = lines.join(kept, lines["id"].eqNullSafe(kept["id"]) & (lines["line_no"] == kept["line_no"]), "left_semi")
     parts = both.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
-    texts = parts.select(F.col("id").alias("_id"), F.array_join("parts.line", "\n").alias("_text"))
-    out = docs.join(texts, docs[id_col].eqNullSafe(texts["_id"]), "left")
-    new = F.when(docs[text_col].isNotNull(), F.coalesce("_text", F.lit("")))
-    return out.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    texts = parts.select(F.col("id").alias("of"), F.array_join("parts.line", "\n").alias("new"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("mine"))
+    out = rows.join(texts, F.col("mine").eqNullSafe(F.col("of")), "left")
+    new = F.when(F.col("row")[text_col].isNotNull(), F.coalesce("new", F.lit("")))
+    return out.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

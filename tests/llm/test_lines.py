@@ -63,19 +63,24 @@ def test_matches_brute_force(spark):
 
 def test_verification_is_exact(spark):
     rows = [(1, "abcdefghij klmnop"), (2, "abcdefghij klmnopq"), (3, "abcdefghij zzz"), (4, "ab"), (5, "abc")]
-    distinct = spark.createDataFrame([(k, k, x) for k, x in rows], "key long, lid long, norm string")
+    texts = spark.createDataFrame(rows, "lid long, norm string")
     pairs = [(a, b) for a, _ in rows for b, _ in rows if a < b]
-    got = {tuple(r) for r in lines.verified(spark.createDataFrame(pairs, "a long, b long"), distinct).collect()}
+    got = {tuple(r) for r in lines.verified(spark.createDataFrame(pairs, "a long, b long"), texts, lines.shingle_set).collect()}
     text = dict(rows)
     assert got == {(a, b) for a, b in pairs if len(shingles(text[a]) & shingles(text[b])) >= 0.8 * len(shingles(text[a]) | shingles(text[b]))}
 
 
-def test_filter_and_empty(spark):
+@pytest.mark.parametrize("clash", ["line", "_text", "row", "new", "mine", "of", "id"])
+def test_filter_and_empty(spark, clash):
     rows = [(2, "same line here\nother", "k"), (1, "Same  line here\n\nown", "l"), (None, "other", "m"), (3, None, "n")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {clash} string")
     kept = lines.drop_duplicate_lines(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id: (r.text, r.line) for r in kept.collect()} == {2: ("other", "k"), 1: ("Same  line here\n\nown", "l"), None: ("", "m"), 3: (None, "n")}
+    assert {r.doc_id: (r.text, r[2]) for r in kept.collect()} == {2: ("other", "k"), 1: ("Same  line here\n\nown", "l"), None: ("", "m"), 3: (None, "n")}
+    if clash != "line":
+        return
+    texts = spark.createDataFrame([("b", "one line of text"), ("a", "one line of text")], "doc_id string, text string")
+    assert {r.doc_id: r.class_doc_id for r in lines.line_classes(texts).collect()} == {"a": "a", "b": "a"}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_classes(empty).count() == 0 and lines.drop_duplicate_lines(empty).count() == 0
 
@@ -101,13 +106,53 @@ def short_pairs(kind, n, seed):
             n -= 1
 
 
-@pytest.mark.parametrize("crowded", [64, 1])
-def test_short_lines_urls_and_unspaced_scripts(spark, monkeypatch, crowded):
-    """Recall of 98 % for each kind of line, also where every open band is cut."""
-    monkeypatch.setattr(lines, "CROWDED", crowded, raising=False)
-    kinds = ["url", "unspaced", 6, 8, 12]
+@pytest.mark.parametrize("block", [4096, 2])
+def test_short_lines_urls_and_unspaced_scripts(spark, monkeypatch, block):
+    """Recall of 98 % for each kind of line, also where bands meet in blocks of two."""
+    monkeypatch.setattr(lines, "BLOCK_ROWS", block)
+    kinds = ["url", "unspaced", 4, 6, 8, 12]
     pairs = [p for i, k in enumerate(kinds) for p in short_pairs(k, 200, i)]
     docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
     found = {r.doc_id for r in lines.line_classes(docs).where("class_size = 2 and not kept").collect()}
     for i, kind in enumerate(kinds):
         assert len(found & set(range(200 * i, 200 * i + 200))) >= 196, kind
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x4E00, 0x5200)))])
+def test_space_free_lines_just_above_the_threshold(spark, alphabet):
+    """Latin, Thai and ideograph lines without spaces, similarity 0.80 to 0.86; lines of one half in common stay apart."""
+    rng = np.random.default_rng(len(alphabet))
+    pairs = []
+    while len(pairs) < 300:
+        a = "".join(rng.choice(list(alphabet), 120))
+        at = rng.choice(np.arange(5, 115, 6), 2, replace=False)
+        b = "".join(str(rng.choice(list(alphabet))) if i in at else c for i, c in enumerate(a))
+        if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) <= 0.86:
+            pairs.append((a, b))
+    half = "".join(rng.choice(list(alphabet), 60))
+    rows = [(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)]
+    rows += [(1000 + i, half + "".join(rng.choice(list(alphabet), 60))) for i in range(200)]
+    got = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id < 1000 and r.class_size == 2 and not r.kept for r in got) >= 294
+    assert all(r.class_size == 1 for r in got if r.doc_id >= 1000)
+
+
+def test_sketches_and_sizes_lose_no_near_pair():
+    """Whatever the sets, a pair that the filters turn away is below 0.8."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in rng.integers(5, 2000, 40)]
+    sets = [np.unique(np.concatenate((b[: int(len(b) * keep)], rng.integers(0, 2**63, int(len(b) * (1 - keep)) + 1, dtype=np.uint64)))) for b in base for keep in (1, 0.95, 0.9, 0.8, 0.5)]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    made = lines.signed(pa.array(range(len(sets))), row, np.concatenate(sets)).to_pylist()
+    turned = 0
+    for i, a in enumerate(made):
+        for j in range(i // 5 * 5, i):
+            b = made[j]
+            odd = sum(((a[s] ^ b[s]) & (2**64 - 1)).bit_count() for s in lines.SKETCH)
+            near = len(np.intersect1d(sets[i], sets[j])) * 9 >= (len(sets[i]) + len(sets[j])) * 4
+            allowed = odd * 9 <= a["n"] + b["n"] and min(a["n"], b["n"]) * 5 >= max(a["n"], b["n"]) * 4
+            assert allowed or not near
+            turned += not allowed
+    assert turned > 100
