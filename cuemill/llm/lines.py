@@ -2,10 +2,12 @@
 
 1. Equal lines (lower-cased, white space collapsed) become one row before anything else, so a line that a third of all
    documents hold is one line.
-2. Signatures: all five-character shingles of a line, the very ones that are verified, give 64 minima under as many
-   hashes, and a sketch: one parity bit for each of 512 hash values.
-3. High-recall banding: sixteen bands of four minima; a pair at 0.8 shares one in 99.98 % of the cases. The lines of a
-   band are first held against the band's smallest member only, a star instead of all pairs.
+2. Signatures: all five-character shingles of a line, the very ones that are verified, give 90 minima, and a sketch:
+   one parity bit for each of 512 hash values. Sets of up to 160 shingles take minima of independent hashes. Sets of
+   more than 128 take the rotations of one hash, h - p for 90 points p, whose minima are found by binary search; a pair at
+   0.8 has both sizes on one side, so it has one kind of minima in common.
+3. High-recall banding: eighteen bands of five minima; a pair at 0.8 shares one in 99.9 % of the cases. The lines of a
+   band are first held against its smallest member, of a larger band against three members more: stars, not all pairs.
 4. The sketch rules pairs out before their texts are fetched. Two sets at 0.8 differ in at most a ninth of their summed
    sizes, and each parity that differs needs an element that only one of the two has, so no near pair is lost.
 5. Exact verification: Jaccard similarity of the two lines' sets of five-character shingles, 0.8 or more.
@@ -29,26 +31,37 @@ from pyspark.sql import functions as F
 from cuemill.llm.common import mix, pin, small_batches
 from cuemill.llm.components import connected_components
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 18, 5
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Parity bits of a sketch, held in columns of 64.
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Sets of up to so many shingles have minima of independent hashes; larger ones than four fifths of it, rotations.
+SMALL = 160
+#: Members of a band from which on it has four pivots.
+LARGE_BAND = 8
 #: Rows of a band that meet in one block.
 BLOCK_ROWS = 4096
 #: Characters that one numpy pass takes at once; a longer line is a pass of its own.
-PASS_CHARS = 1 << 17
-#: Minimum i is over (shingle hash ^ mask i) * factor i.
-MASKS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+PASS_CHARS = 1 << 15
+_MINIMA = BANDS * ROWS
+#: Minimum i is over (shingle hash ^ mask i) * factor i, or over shingle hash - point i.
+MASKS = mix(np.arange(1, _MINIMA + 1, dtype=np.uint64))
 FACTORS = mix(MASKS) | np.uint64(1)
+POINTS = np.arange(_MINIMA, dtype=np.uint64) * np.uint64(2**48 // _MINIMA) + np.uint64(12345)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_SQUARED = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 _LOW = np.uint64((1 << 48) - 1)
 SIGNED = "lid long, n int, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    """Lower case, runs of white space as one blank, none at the ends."""
+    plain = ~line.contains("  ")
+    for mark in "\t\x0b\f\r":
+        plain = plain & ~line.contains(mark)
+    return F.lower(F.trim(F.when(plain, line).otherwise(F.regexp_replace(line, r"\s+", " "))))
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,11 +84,34 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     two = code[:-1] * _STEP + code[1:]
-    four = two[:-2] * (_STEP * _STEP) + two[2:]
+    four = two[:-2] * _STEP_SQUARED + two[2:]
     five = mix(four[:-1] * _STEP + code[4:])
-    line = np.repeat(np.arange(len(padded)), size)[: len(five)]
-    inside = np.arange(len(five)) + SHINGLE <= np.cumsum(size)[line]
-    return line[inside], five[inside]
+    inside = np.ones(len(code), bool)
+    stop = np.cumsum(size)
+    for k in range(1, SHINGLE):
+        inside[stop - k] = False
+    return np.repeat(np.arange(len(padded)), size - SHINGLE + 1), five[inside[: len(five)]]
+
+
+def _minima(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Minima of independent hashes for the sets that begin at ``first``."""
+    value = ((key & _LOW) >> np.uint64(16)).astype(np.uint32)
+    masks, factors = MASKS.astype(np.uint32), FACTORS.astype(np.uint32)
+    return np.stack([np.minimum.reduceat((value ^ m) * f, first) for m, f in zip(masks, factors, strict=True)], axis=1).astype(np.uint64)
+
+
+def _rotations(key: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first hash at or after each point, or else the smallest: the minimum over h - point, for the sorted sets of ``row``."""
+    asked = (row.astype(np.uint64)[:, None] << np.uint64(48)) | POINTS
+    at = np.searchsorted(key, asked.ravel()).reshape(asked.shape)
+    return key[np.where(at == stop[:, None], first[:, None], at)] & _LOW
+
+
+def _banded(minima: np.ndarray, kind: int) -> np.ndarray:
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS), (len(minima), BANDS)).copy()
+    for r in range(ROWS):
+        band = mix((band + np.uint64(1)) * _STEP ^ minima[:, r::ROWS])
+    return band.view(np.int64)
 
 
 def signed(lid: pa.Array, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
@@ -85,23 +121,19 @@ def signed(lid: pa.Array, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     key = key[np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))]
     row = (key >> np.uint64(48)).astype(np.int64)
     n = np.bincount(row, minlength=rows)
-    full = np.flatnonzero(n)
-    bands = np.zeros((rows, BANDS), np.uint64)
-    if len(full):
-        first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-        value = ((key & _LOW) >> np.uint64(16)).astype(np.uint32)
-        band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()
-        masks, factors = MASKS.astype(np.uint32), FACTORS.astype(np.uint32)
-        for i in range(BANDS * ROWS):
-            least = np.minimum.reduceat((value ^ masks[i]) * factors[i], first)
-            b = i // ROWS
-            band[:, b] = mix((band[:, b] + np.uint64(1)) * _STEP ^ least.astype(np.uint64))
-        bands[full] = band
+    stop = np.cumsum(n)
+    small, large = np.flatnonzero((n > 0) & (n <= SMALL)), np.flatnonzero(n * 5 > SMALL * 4)
+    owner, made = [small, large], [np.zeros((0, BANDS), np.int64)] * 2
+    if len(small):
+        mine = (n[row] <= SMALL) if len(small) < np.count_nonzero(n) else slice(None)
+        made[0] = _banded(_minima(key[mine], np.concatenate(([0], np.cumsum(n[small])[:-1]))), 0)
+    if len(large):
+        made[1] = _banded(_rotations(key, large, stop[large] - n[large], stop[large]), 1)
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    count = np.bincount(np.concatenate(owner), minlength=rows) * BANDS
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(np.concatenate(made)[order].ravel()))
     odd = np.bincount(row * SKETCH_BITS + (key & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
     sketch = np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1, bitorder="little").view("<i8")
-    has = np.repeat((n > 0).astype(np.int32) * BANDS, 1)
-    offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32())
-    listed = pa.ListArray.from_arrays(offsets, pa.array(bands[full].view(np.int64).ravel()))
     columns = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]
     return pa.RecordBatch.from_arrays([lid, pa.array(n.astype(np.int32)), listed, *columns], names=["lid", "n", "bands", *SKETCH])
 
@@ -165,9 +197,12 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
 def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
     """(node, component) of the ids that have a near copy. ``signatures`` is of ``signed``, ``texts`` (lid, norm); ids are unique."""
     bands = signatures.select("lid", F.explode("bands").alias("band"))
-    reps = pin(bands.groupBy("band").agg(F.min("lid").alias("rep"), F.max("lid").alias("top")).where("rep < top").select("band", "rep"))
-    member = pin(bands.join(reps, "band"))
-    tried = member.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = pin(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    member = pin(bands.join(shared, "band"))
+    least = [F.min(F.struct(F.xxhash64("lid", F.lit(i)), "lid"))["lid"] for i in range(3)]
+    pivots = F.when(F.first("members") >= LARGE_BAND, F.array(F.min("lid"), *least)).otherwise(F.array(F.min("lid")))
+    tried = member.join(member.groupBy("band").agg(pivots.alias("pivots")), "band").select(F.col("lid").alias("a"), F.explode("pivots").alias("b"))
+    tried = tried.where("a <> b").distinct()
     links = verified(possible(tried, signatures), texts, set_of)
     found = connected_components(links)
     more = verified(possible_between(member, found, signatures), texts, set_of)
@@ -178,7 +213,7 @@ def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable) -
 
 def possible_between(member: DataFrame, found: DataFrame, signatures: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines that share a band, lie in different components and pass sizes and sketches."""
-    placed = member.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
+    placed = member.select("band", "lid").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
     placed = pin(placed)
     sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
