@@ -2,11 +2,11 @@
 
 1. Equal lines (lower-cased, white space collapsed) become one row before anything else, so a line that a third of all
    documents hold is one line.
-2. Signatures: all five-character shingles of a line, the very ones that are verified, give 90 minima, and a sketch:
+2. Signatures: all five-character shingles of a line, the very ones that are verified, give 80 minima, and a sketch:
    one parity bit for each of 512 hash values. Sets of up to 160 shingles take minima of independent hashes. Sets of
-   more than 128 take the rotations of one hash, h - p for 90 points p, whose minima are found by binary search; a pair at
+   more than 128 take the rotations of one hash, h - p for 80 points p, whose minima are found by binary search; a pair at
    0.8 has both sizes on one side, so it has one kind of minima in common.
-3. High-recall banding: eighteen bands of five minima; a pair at 0.8 shares one in 99.9 % of the cases. The lines of a
+3. High-recall banding: sixteen bands of five minima; a pair at 0.8 shares one in 99.8 % of the cases. The lines of a
    band are first held against its smallest member, of a larger band against three members more: stars, not all pairs.
 4. The sketch rules pairs out before their texts are fetched. Two sets at 0.8 differ in at most a ninth of their summed
    sizes, and each parity that differs needs an element that only one of the two has, so no near pair is lost.
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import mix, pin, small_batches
+from cuemill.llm.common import join_small, mix, pin, small_batches
 from cuemill.llm.components import connected_components
 
-BANDS, ROWS = 18, 5
+BANDS, ROWS = 16, 5
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Parity bits of a sketch, held in columns of 64.
@@ -178,8 +178,11 @@ def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
     """Of pairs (a, b) of ids, those whose texts (lid, norm) have sets with a Jaccard similarity of 0.8 or more.
 
-    The side that many pairs share, ``b``, is joined first, while rows are still short.
+    The texts that pairs name are put aside first; the side that many pairs share, ``b``, is joined while rows are short.
     """
+    pairs = pin(pairs)
+    named = pin(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
+    texts = pin(join_small(texts, named, ["lid"], "left_semi"))
     both = pairs.join(_side(texts, "b", "norm"), "b").join(_side(texts, "a", "norm"), "a").select("a", "b", "a_norm", "b_norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
