@@ -17,6 +17,10 @@ of documents other than the smallest identifier are repeats.
 
 Equal suffixes of one chunk travel once, for their smallest identifier, so a passage that a third of all documents
 share costs one row per chunk. The number of buckets follows the text, so a bucket stays as large as it is.
+
+A gram that occurs more often than ``CROWDED``, such as a run of blanks between differing neighbours, would bring all its
+contexts to one bucket. Its suffixes are keyed by the whole window instead, one digit of the full depth for each placing:
+a chunk settles what repeats inside it, sends each distinct window once, and Spark aggregates the smallest identifier.
 """
 
 from __future__ import annotations
@@ -37,19 +41,21 @@ THRESHOLD = 50
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 4096
 BUCKET_BYTES = 1 << 23
+#: Occurrences of a gram beyond which its suffixes are keyed by their whole windows.
+CROWDED = 1 << 16
 NULL_ID = np.iinfo(np.int64).max
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids array<long>, sizes array<long>, body binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of known types as one compressed value, led by the length of the first."""
     raw = np.array([len(arrays[0])], "<u4").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(value: bytes, *kinds) -> list[np.ndarray]:
+def unpack(value: bytes, *kinds) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(value)
     n, at, out = int(np.frombuffer(raw, "<u4", 1)[0]), 4, []
     for kind in kinds:
@@ -131,7 +137,7 @@ def filed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), (h >> np.uint64(24)) * np.uint64(1 << 24) + bucket
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, extra: list[str], chunk_bytes: int) -> DataFrame:
     """Documents in chunks of about a megabyte, written once so that a chunk stays as it is."""
     rest = F.struct(*extra) if extra else F.lit(None).cast("struct<none: int>")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
@@ -156,7 +162,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> Da
                 bodies.append(text)
                 others.append(column.slice(i, 1))
                 size += len(text)
-                if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
+                if size >= chunk_bytes or len(ids) >= CHUNK_DOCS:
                     yield out()
                     ids, bodies, others, size = [], [], [], 0
         if ids:
@@ -181,13 +187,13 @@ class Chunk:
         return np.searchsorted(self.ends, places, "right")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
@@ -195,10 +201,11 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def first_digit(chunks: DataFrame, depth: Depth, buckets: int) -> DataFrame:
-    """(chunk, blob) of the gram names in each chunk that two documents or more have somewhere."""
+    """(chunk, blob, crowd) of the gram names in each chunk that two documents or more have somewhere, and whether they are crowded."""
+    crowded = CROWDED
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in chunk_rows(batches):
             c = Chunk(row, depth)
             bucket, name = filed(c.hashes, buckets)
             doc = c.order[c.doc_of(c.places)]
@@ -207,8 +214,9 @@ def first_digit(chunks: DataFrame, depth: Depth, buckets: int) -> DataFrame:
             new = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
             heads = np.flatnonzero(new)
             shared = (np.maximum.reduceat(doc, heads) != doc[heads]) if len(heads) else np.zeros(0, bool)
+            count = np.diff(np.append(heads, len(name))).astype("<u4")
             name, bucket = name[heads], bucket[heads]
-            got = [(k, _pack((name[i] >> np.uint64(24)).view(np.int64).astype("<u8").view("V8"), shared[i])) for k, i in _by_bucket(bucket)]
+            got = [(k, pack((name[i] >> np.uint64(24)).view(np.int64).astype("<u8").view("V8"), shared[i], count[i])) for k, i in by_bucket(bucket)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in got], pa.int64()), pa.array([c.chunk] * len(got), pa.int64()), pa.array([v for _, v in got], pa.binary())],
                 names=["bucket", "chunk", "blob"],
@@ -216,21 +224,21 @@ def first_digit(chunks: DataFrame, depth: Depth, buckets: int) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         bucket, chunks_, parts = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist(), table.column("blob").to_pylist()
-        got = [_unpack(p, "<u8", bool) for p in parts]
-        name = np.concatenate([g[0] for g in got])
-        shared = np.concatenate([g[1] for g in got])
+        got = [unpack(p, "<u8", bool, "<u4") for p in parts]
+        name, shared, count = (np.concatenate([g[i] for g in got]) for i in range(3))
         at = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         order = np.argsort(name, kind="stable")
         name, shared, at = name[order], shared[order], at[order]
         heads = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         size = np.diff(np.append(heads, len(name)))
         alive = np.repeat((size > 1) | np.logical_or.reduceat(shared, heads), size)
+        crowd = np.repeat(np.add.reduceat(count[order].astype(np.int64), heads) > crowded, size)[alive]
         name, at = name[alive] * np.uint64(1 << 24) + np.uint64(bucket), at[alive]
-        out = [(chunks_[k], _pack(name[i])) for k, i in _by_bucket(at)]
-        return pa.table({"chunk": pa.array([k for k, _ in out], pa.int64()), "blob": pa.array([v for _, v in out], pa.binary())})
+        out = [(chunks_[k], pack(name[i], crowd[i]), bool(crowd[i].any())) for k, i in by_bucket(at)]
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary()), "crowd": pa.array([x[2] for x in out], pa.bool_())})
 
     sent = chunks.select("chunk", "ids", "sizes", "body").mapInArrow(send, "bucket long, chunk long, blob binary")
-    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, blob binary"))
+    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, blob binary, crowd boolean"))
 
 
 def contexts(c: Chunk, alive: np.ndarray, depth: Depth, buckets: int):
@@ -265,11 +273,11 @@ def contexts(c: Chunk, alive: np.ndarray, depth: Depth, buckets: int):
     return place, number, c.order[doc] == least[number] if len(heads) else np.zeros(0, bool), left, right, (bucket[heads], name[heads], least, left[heads], right[heads], form[heads, :-2])
 
 
-def _words_hash(form: np.ndarray) -> np.ndarray:
+def _words_hash(form: np.ndarray, seed: int = 0) -> np.ndarray:
     """One 64-bit value per row of bytes; rows that are not equal may, very rarely, share it and are told apart later."""
     pad = -form.shape[1] % 8
     words = np.pad(form, ((0, 0), (0, pad))).view("<u8")
-    h = np.zeros(len(form), np.uint64)
+    h = np.full(len(form), seed, np.uint64)
     for i in range(words.shape[1]):
         h = mix(h * np.uint64(_STEP) + words[:, i])
     return h
@@ -343,17 +351,18 @@ def repeated_placings(name: np.ndarray, ids: np.ndarray, left: np.ndarray, right
 
 def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: int) -> DataFrame:
     """(chunk, answers blob) for the chunks with repeated windows: numbers of distinct suffixes and their placings."""
-    joined = chunks.select("chunk", "ids", "sizes", "body").join(alive, "chunk")
+    joined = chunks.select("chunk", "ids", "sizes", "body").join(alive.drop("crowd"), "chunk")
     span = f"V{depth.span}"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in chunk_rows(batches):
             c = Chunk(row, depth)
-            *_, forms = contexts(c, _names(row["alive"]), depth, buckets)
-            bucket, name, doc, left, right, ctx = forms
+            names, crowd = _names(row["alive"])
+            *_, forms = contexts(c, names, depth, buckets)
+            at = np.flatnonzero(~np.isin(forms[1], crowd)).astype("<i4")
+            bucket, name, doc, left, right, ctx = (x[at] for x in forms)
             ctx = np.ascontiguousarray(ctx).view(span).ravel()
-            at = np.arange(len(name), dtype="<i4")
-            out = [(k, _pack(name[i], doc[i], at[i], left[i], right[i], ctx[i])) for k, i in _by_bucket(bucket)]
+            out = [(k, pack(name[i], doc[i], at[i], left[i], right[i], ctx[i])) for k, i in by_bucket(bucket)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in out], pa.int64()), pa.array([c.chunk] * len(out), pa.int64()), pa.array([v for _, v in out], pa.binary())],
                 names=["bucket", "chunk", "blob"],
@@ -361,7 +370,7 @@ def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: in
 
     def answer(table: pa.Table) -> pa.Table:
         chunks_ = table.column("chunk").to_pylist()
-        got = [_unpack(p, "<u8", "<i8", "<i4", "u1", "u1", span) for p in table.column("blob").to_pylist()]
+        got = [unpack(p, "<u8", "<i8", "<i4", "u1", "u1", span) for p in table.column("blob").to_pylist()]
         size = [len(g[0]) for g in got]
         name, doc, at, left, right, ctx = (np.concatenate(x) for x in zip(*got, strict=True))
         ctx = ctx.view(np.uint8).reshape(len(name), depth.span)
@@ -371,15 +380,60 @@ def deeper_digits(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: in
         for k, (a, b) in enumerate(zip(stop - size, stop, strict=True)):
             some = np.flatnonzero(mask[a:b]) + a
             if len(some):
-                out.append((chunks_[k], _pack(at[some], mask[some])))
+                out.append((chunks_[k], pack(at[some], mask[some])))
         return pa.table({"chunk": pa.array([k for k, _ in out], pa.int64()), "blob": pa.array([v for _, v in out], pa.binary())})
 
     sent = joined.mapInArrow(send, "bucket long, chunk long, blob binary")
     return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, blob binary"))
 
 
-def _names(blobs: list[bytes]) -> np.ndarray:
-    return np.concatenate([_unpack(x, "<u8")[0] for x in blobs])
+def _names(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The surviving gram names of a chunk, and the crowded ones among them."""
+    got = [unpack(x, "<u8", bool) for x in blobs]
+    name, crowd = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    return name, name[crowd]
+
+
+def _windows(forms: tuple, crowd: np.ndarray, depth: Depth) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of crowded grams: distinct keys of 128 bits and the smallest identifier of each in the chunk; then for
+    each window its form, its placing as a bit, and the number of its key, as one array of three rows; and which windows
+    the chunk itself shows to be repeats."""
+    _, name, doc, left, right, ctx = forms
+    mine = np.flatnonzero(np.isin(name, crowd))
+    form, bit, key = [], [], []
+    for a in range(depth.placings):
+        able = mine[(left[mine] >= a) & (right[mine] >= depth.reach - a)]
+        window = np.ascontiguousarray(ctx[able, depth.reach - a : depth.reach - a + depth.threshold])
+        form.append(able)
+        bit.append(np.full(len(able), np.uint64(1) << np.uint64(a)))
+        key.append(np.stack([_words_hash(window, 1), _words_hash(window, 2)], axis=1))
+    form, bit, key = np.concatenate(form), np.concatenate(bit), np.ascontiguousarray(np.concatenate(key)).view("V16").ravel()
+    order = np.lexsort((doc[form], *key.view(np.uint64).reshape(-1, 2).T))
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[order][1:] != key[order][:-1]))
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = doc[form[order[new]]]
+    return key[order[new]], least, np.stack([form, number]), bit, doc[form] > least[number] if len(form) else np.zeros(0, bool)
+
+
+def crowded_windows(chunks: DataFrame, alive: DataFrame, depth: Depth, buckets: int) -> DataFrame:
+    """(chunk, beaten array<binary>): the window keys of crowded grams that a smaller identifier has in another chunk."""
+    joined = chunks.select("chunk", "ids", "sizes", "body").join(alive.where("crowd").select("chunk", "alive"), "chunk")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chunk_rows(batches):
+            names, crowd = _names(row["alive"])
+            c = Chunk(row, depth)
+            *_, forms = contexts(c, names, depth, buckets)
+            key, least, *_ = _windows(forms, crowd, depth)
+            for at in range(0, len(key), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                columns = [pa.array([c.chunk] * len(key[some]), pa.int64()), pa.array([x.tobytes() for x in key[some]], pa.binary()), pa.array(least[some])]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "key", "doc"])
+
+    rows = pin(joined.mapInArrow(send, "chunk long, key binary, doc long"))
+    beaten = rows.join(rows.groupBy("key").agg(F.min("doc").alias("least")), "key").where("doc > least")
+    return pin(beaten.groupBy("chunk").agg(F.collect_list("key").alias("beaten")))
 
 
 def _covered(row: dict, depth: Depth, buckets: int) -> tuple[Chunk, np.ndarray]:
@@ -387,11 +441,17 @@ def _covered(row: dict, depth: Depth, buckets: int) -> tuple[Chunk, np.ndarray]:
     c = Chunk(row, depth, bool(row["alive"]))
     edge = np.zeros(len(c.buf) + depth.threshold + 1, np.int32)
     if row["alive"]:
-        place, number, least, left, right, _ = contexts(c, _names(row["alive"]), depth, buckets)
+        names, crowd = _names(row["alive"])
+        place, number, least, left, right, forms = contexts(c, names, depth, buckets)
         mask = np.zeros(int(number.max()) + 1 if len(number) else 0, np.uint64)
         for x in row["answers"] or []:
-            at, bits = _unpack(x, "<i4", "<u8")
+            at, bits = unpack(x, "<i4", "<u8")
             mask[at] = bits
+        if len(crowd):
+            key, _, (form, of_key), bit, repeat = _windows(forms, crowd, depth)
+            beaten = np.isin(key, np.frombuffer(b"".join(row["beaten"] or []), "V16"))
+            hit = repeat | beaten[of_key]
+            np.bitwise_or.at(mask, form[hit], bit[hit])
         for a in range(depth.placings):
             hit = np.where(least, mask[number] >> np.uint64(a) & np.uint64(1) > 0, (left >= a) & (right >= depth.reach - a))
             start = place[hit] - a
@@ -412,11 +472,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     depth = Depth(threshold)
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else []
-    chunks = chunked(docs, id_col, text_col, extra)
+    chunks = chunked(docs, id_col, text_col, extra, CHUNK_BYTES)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = min(1 << 24, max(4 * shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES))
     with small_batches(docs.sparkSession, 8):
-        alive = first_digit(chunks, depth, buckets).groupBy("chunk").agg(F.collect_list("blob").alias("alive"))
+        alive = first_digit(chunks, depth, buckets).groupBy("chunk").agg(F.collect_list("blob").alias("alive"), F.max("crowd").alias("crowd"))
+        beaten = crowded_windows(chunks, alive, depth, buckets)
         answers = deeper_digits(chunks, alive, depth, buckets).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     rest = chunks.schema["rest"].dataType.elementType.simpleString()
 
@@ -425,7 +486,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                row = {k: one.column(k)[0].as_py() for k in ("chunk", "ids", "sizes", "body", "alive", "answers")}
+                row = {k: one.column(k)[0].as_py() for k in ("chunk", "ids", "sizes", "body", "alive", "answers", "beaten")}
                 c, gone = _covered(row, depth, buckets)
                 spans, kept, removed = [], [], []
                 for a, z in zip((c.ends - c.sizes).tolist(), c.ends.tolist(), strict=True):
@@ -441,8 +502,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     with small_batches(docs.sparkSession, 8):
         schema = f"id long, n_bytes long, n_removed long, spans array<struct<start: bigint, length: bigint>>, kept binary, rest {rest}"
-        found = chunks.join(alive, "chunk", "left").join(answers, "chunk", "left")
-        out = found.select("chunk", "ids", "sizes", "body", "alive", "answers", "rest").mapInArrow(apply, schema)
+        found = chunks.join(alive, "chunk", "left").join(answers, "chunk", "left").join(beaten, "chunk", "left")
+        out = pin(found.select("chunk", "ids", "sizes", "body", "alive", "answers", "beaten", "rest").mapInArrow(apply, schema))
     return out.withColumnRenamed("id", id_col) if keep_columns else out.drop("rest").withColumnRenamed("id", id_col)
 
 

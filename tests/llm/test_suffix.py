@@ -28,9 +28,11 @@ def got(spark, rows, t):
 
 
 @pytest.mark.parametrize("t", [50, 12, 2])
-@pytest.mark.parametrize("chunk", [1 << 20, 400])
-def test_matches_brute_force(spark, monkeypatch, t, chunk):
+@pytest.mark.parametrize("chunk,crowded", [(1 << 20, 1 << 16), (400, 1 << 16), (400, 3), (1 << 20, 0)])
+def test_matches_brute_force(spark, monkeypatch, t, chunk, crowded):
+    """In one chunk or many, with no gram, some grams or all grams keyed by whole windows."""
     monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix, "CROWDED", crowded)
     rng = np.random.default_rng(t)
     words = ["ab", "é", "the", "of", "xyz", "\n", "q r"]
     text = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
@@ -52,13 +54,30 @@ def test_long_document_over_many_blocks(spark):
     assert found == {1: (0, 0, long.encode()), 2: (80, 1, b"####"), 3: (0, 0, long[:49].encode()), 4: (50, 1, b"")}
 
 
+def test_a_run_of_blanks_in_all_documents(spark, monkeypatch):
+    """Documents that share but a run of blanks: their suffixes stay out of the buckets and results are the literal ones."""
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(suffix, "CROWDED", 500)
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 40)))
+    rows = [(i, word() + " " * 60 + word()) for i in range(600)]
+    assert got(spark, rows, 50) == brute(rows, 50)
+    depth = suffix.Depth(50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = suffix.chunked(docs, "doc_id", "text", [], 1 << 14)
+    alive = suffix.first_digit(chunks, depth, 8)
+    crowd = {n for r in alive.collect() for n in suffix._names([r.blob])[1].tolist()}
+    assert 0 < len(crowd) < 5  # the gram of blanks, and none of a single document
+
+
 def test_filter_keeps_columns_and_characters(spark):
     same = "x" * 49 + "é"
     docs = spark.createDataFrame([("en", 1, same, 5), ("fr", 2, "ab" + "x" * 49 + "ét", 6), ("de", 3, None, 7), ("en", 4, "x" * 49 + "è" * 3 + "x" * 49 + "è", 8)], "lang string, doc_id int, text string, size int")
     kept = suffix.drop_repeated_passages(docs)
     assert kept.columns == docs.columns and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     rows = {r.doc_id: (r.lang, r.text, r.size) for r in kept.collect()}
-    assert rows == {1: ("en", same, 5), 2: ("fr", "abt", 6), 3: ("de", "", 7), 4: ("en", "èè", 8)} or rows[2] == ("fr", "abt", 6)
+    want = {d: bytes(b).decode("utf-8", "ignore") for d, *_, b in brute([(1, same), (2, "ab" + "x" * 49 + "ét"), (3, None), (4, "x" * 49 + "è" * 3 + "x" * 49 + "è")], 50)}
+    assert rows == {1: ("en", want[1], 5), 2: ("fr", "abt", 6), 3: ("de", "", 7), 4: ("en", want[4], 8)} and want[1] == same
 
 
 def test_empty(spark):
