@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table that may be broadcast; above it the join shuffles both sides.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 #: Bytes of text that one numpy pass takes at once.
 BLOCK_BYTES = 1 << 20
@@ -56,7 +56,7 @@ def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
 
 
 def small_batches(spark: SparkSession, rows: int = 512):
-    """Arrow batches of few documents, so that a Python worker holds little text at once."""
+    """Arrow batches of few documents, so that a Python worker holds little text at once; for what is written inside the block."""
     return session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from cuemill.llm.common import join_small, pin, row_key, session_conf, shared_dir
 
+#: Copies of a text that are compared in one part.
+PART_ROWS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,8 +31,8 @@ def sha256(text: Column) -> Column:
 
 
 def _best() -> Column:
-    """Order of copies: most code points, then the smallest identifier (null last), then the locator."""
-    return F.struct(F.col("_n").alias("n"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("minus_id"), F.col("_at").alias("at"))
+    """Order of copies, the smallest best: most code points, then the smallest identifier (null last), then the locator."""
+    return F.struct((-F.col("_n")).alias("less"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
 
 
 def fold_digests(staged: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -42,7 +44,7 @@ def fold_digests(staged: DataFrame, path: str, files_per_batch: int | None = Non
     reader = spark.readStream.schema(staged.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    state = reader.parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max(_best()).alias("best"))
+    state = reader.parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(_best()).alias("best"))
     checkpoint = f"{path}-state"
     prefix = "spark__sql__streaming__stateStore__"
     conf = {
@@ -70,7 +72,7 @@ def exact_duplicates(
     """One row per document: (id, _digest, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical without ASCII white space. The copy with the most code points stays, then the one
-    with the smallest integer identifier. Null and empty texts are one group; a null identifier comes last in ties;
+    with the smallest identifier, of any type that has an order. Null and empty texts are one group; a null identifier comes last in ties;
     rows that repeat both identifier and text share a decision (``drop_exact_duplicates`` leaves one of them). Other
     columns are neither read nor returned, whatever their names. An empty table gives an empty table.
     """
@@ -85,8 +87,8 @@ def exact_duplicates(
     state = fold_digests(staged.select("_id", "digest", "_n", "_at"), path)
     hits = state.where("copies > 1")
     found = staged.join(state, "digest").select(
-        F.col("_id").alias(id_col), F.hex("digest").alias("_digest"), (-F.col("best.minus_id")).alias("keep_id"),
-        F.col("copies").alias("group_size"), F.col("_id").eqNullSafe(-F.col("best.minus_id")).alias("kept"), "text_sha256",
+        F.col("_id").alias(id_col), F.hex("digest").alias("_digest"), F.col("best.id").alias("keep_id"),
+        F.col("copies").alias("group_size"), F.col("_id").eqNullSafe(F.col("best.id")).alias("kept"), "text_sha256",
     )
     clashes = _clashes(source.withColumn("digest", digest(normalised("_text"))), hits)
     if clashes.isEmpty():
@@ -97,25 +99,29 @@ def exact_duplicates(
 def _clashes(source: DataFrame, hits: DataFrame) -> DataFrame:
     """Digests whose rows do not all have the bytes of the kept copy's content.
 
-    Only rows that hit a stored digest are read again; each is compared in full with the content at the locator.
+    Only rows that hit a stored digest are read again; each is compared in full with the content at the locator. Many
+    copies of one text are compared in parts, each with the stored content beside it.
     """
     again = source.withColumn("_at", F.input_file_name())
-    members = join_small(again, hits.select("digest", "best"), ["digest"], "inner")
-    members = members.select("digest", "_id", "_at", "best", normalised("_text").cast("binary").alias("content"))
-    located = F.col("_id").eqNullSafe(-F.col("best.minus_id")) & (F.col("_at") == F.col("best.at"))
-    kept = members.where(located).groupBy("digest").agg(F.min("content").alias("stored"))
-    return pin(members.join(kept, "digest").where("content <> stored").select("digest").distinct())
+    parts = F.ceil(F.col("copies") / PART_ROWS)
+    members = join_small(again, hits.select("digest", "best", parts.alias("parts")), ["digest"], "inner")
+    part = F.pmod(F.xxhash64("_id", "_at"), "parts")
+    members = members.select("digest", "_id", "_at", "best", "parts", part.alias("part"), normalised("_text").cast("binary").alias("content"))
+    located = F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_at") == F.col("best.at"))
+    kept = members.where(located).groupBy("digest").agg(F.min("content").alias("stored"), F.first("parts").alias("parts"))
+    kept = kept.select("digest", "stored", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return pin(members.join(kept, ["digest", "part"]).where("content <> stored").select("digest").distinct())
 
 
 def _by_text(source: DataFrame, found: DataFrame, clashes: DataFrame, id_col: str, digest: Callable) -> DataFrame:
     """The documents of clashing digests grouped by their whole text instead."""
     rows = join_small(source.withColumn("digest", digest(normalised("_text"))), clashes, ["digest"], "left_semi")
     rows = rows.select("_id", "digest", normalised("_text").alias("content"), F.length(F.coalesce("_text", F.lit(""))).alias("_n"), F.lit("").alias("_at"))
-    groups = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.max(_best()).alias("best"))
+    groups = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min(_best()).alias("best"))
     apart = rows.join(groups, "content").select(
         F.col("_id").alias(id_col), F.concat_ws("-", F.hex("digest"), F.md5(F.col("content").cast("binary"))).alias("_digest"),
-        (-F.col("best.minus_id")).alias("keep_id"), F.col("copies").alias("group_size"),
-        F.col("_id").eqNullSafe(-F.col("best.minus_id")).alias("kept"), F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
+        F.col("best.id").alias("keep_id"), F.col("copies").alias("group_size"),
+        F.col("_id").eqNullSafe(F.col("best.id")).alias("kept"), F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
     )
     rest = found.join(clashes.select(F.hex("digest").alias("_digest")), "_digest", "left_anti")
     return rest.unionByName(apart)
@@ -125,16 +131,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
     Only the identifiers of dropped copies are joined back, so clean documents are never shuffled while those fit a
-    size-checked broadcast. Documents whose identifier repeats or is null are settled by row number in their group.
+    size-checked broadcast. Of rows that repeat identifier and text one stays. Columns may have any names.
     """
     marked = pin(exact_duplicates(docs, id_col, text_col))
-    key = row_key(docs, id_col)
     lost = marked.select(row_key(marked, id_col).alias("_key"), F.col("text_sha256").alias("_sha"), "kept")
     twins = pin(lost.where("kept").groupBy("_key", "_sha").count().where("count > 1").select("_key", "_sha"))
     lost = pin(lost.where("not kept").select("_key", "_sha").distinct())
-    rows = docs.withColumns({"_key": key, "_sha": F.sha2(normalised(text_col).cast("binary"), 256)})
+    sha = F.sha2(normalised(text_col).cast("binary"), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key(docs, id_col).alias("_key"), sha.alias("_sha"))
     rows = join_small(rows, lost, ["_key", "_sha"], "left_anti")
     if not twins.isEmpty():
         once = rows.join(twins, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"])
         rows = rows.join(twins, ["_key", "_sha"], "left_anti").unionByName(once)
-    return rows.select(*docs.columns)
+    return rows.select("_row.*")

@@ -31,6 +31,21 @@ def test_matches_brute_force(spark, digest):
     assert got == brute(ROWS)
 
 
+@pytest.mark.parametrize("size", [256, 1])
+def test_many_copies_are_compared_in_parts(spark, monkeypatch, size):
+    """Text identifiers, columns named as the operator's own, and a digest that two different texts share."""
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", size)
+    rows = [(f"d{i:03}", "same text" if i % 4 else f"own {i}", i, str(i), "r") for i in range(120)] + [(None, "same text", 0, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _key long, _sha string, _row string").repartition(5)
+    clash = lambda c: F.when(F.length(c) > 6, F.lit(b"1")).otherwise(F.lit(b"2"))
+    for digest in (exact_dedup.sha256, clash):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, digest=digest).collect()}
+        assert got == {d: (("d001", 91) if t == "same text" else (d, 1)) for d, t, *_ in rows}
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[1] != "same text" or r[0] == "d001")
+
+
 def test_filter_keeps_one_row_each(spark):
     rows = [*ROWS, ROWS[0], ROWS[2]]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -58,5 +73,5 @@ def test_state_goes_on_from_its_checkpoint(spark):
     staged = exact_dedup.pin(keyed, path)
     assert exact_dedup.fold_digests(staged, path).count() == 2
     keyed.where("_id = 2").withColumn("_id", F.lit(7).cast("long")).write.mode("append").parquet(path)
-    state = {r.copies: -r.best.minus_id for r in exact_dedup.fold_digests(staged, path).collect()}
+    state = {r.copies: r.best.id for r in exact_dedup.fold_digests(staged, path).collect()}
     assert state == {1: 1, 2: 2}
