@@ -1,170 +1,189 @@
 """Language-model scores: cross-entropy difference between a target and a background model (Moore and Lewis, 2010).
 
-Both models are interpolated bigram models over one vocabulary, the words that are frequent in all documents; every
-other word is one unknown word. Counts are summed over the whole corpus by Spark. What a task needs for scoring is
-bounded by parameters: the vocabulary and the table of frequent bigrams are cut where a histogram of counts (a few
-hundred bins, whatever the size of the corpus) says that the bound is met.
+Both models are interpolated bigram models over one vocabulary, all words of all documents; nothing is cut. A document
+is scored by models without its own counts, so that what only it says is new to both.
+
+Counts never meet in one place. Documents travel in chunks of about two megabytes; a chunk sends the words and bigrams
+it holds, once each with their counts, to buckets by hash, a bucket adds them up and answers each chunk with the totals
+of what it asked for, and the chunk scores its documents. A word that every document has is one number a chunk. The
+number of buckets follows the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import blocks, pin, small_batches, utf8, words_of
+from cuemill.llm.common import blocks, mix, pin, shuffle_partitions, small_batches, words_of
+from cuemill.llm.suffix import by_bucket, chunk_rows, chunked, pack, unpack
 
-#: Bounds of the vocabulary and of the bigram table.
-WORDS, BIGRAMS = 8192, 1 << 19
 #: Weight of the bigram estimate.
 WEIGHT = 0.7
-#: Distinct keys that a task holds before it passes their counts on.
-HELD = 1 << 20
-
-
-def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their (background, target) counts."""
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    rows = np.concatenate(counts)
-    return key, np.stack([np.bincount(at, rows[:, k], len(key)) for k in (0, 1)], axis=1).astype(np.int64)
-
-
-def _count(source: DataFrame, keys_of) -> DataFrame:
-    """(key, background, target) over all documents; each task adds its own up before they travel.
-
-    ``keys_of(texts)`` yields (keys, document of each key).
+#: Text bytes of one chunk and of one bucket.
+CHUNK_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 23
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(1)
+#: Stand for the place before the first word and after the last; words have even keys, bigrams odd ones.
+START, END = mix(np.array([1, 2], np.uint64)) & ~_ODD
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _STEP + second) | _ODD
+
+
+class Words:
+    """The words of a chunk: key, key of the bigram that ends in it, and document of each; and what the chunk counts."""
+
+    def __init__(self, row: dict, sizes: list[int], target: np.ndarray):
+        body = zstandard.ZstdDecompressor().decompress(row["body"])
+        ends = np.cumsum(sizes)
+        words, docs = [], []
+        for buf, starts, owner in blocks([body[e - s : e] for s, e in zip(sizes, ends.tolist(), strict=True)]):
+            h, d = words_of(buf, starts, owner)
+            words.append(h & ~_ODD)
+            docs.append(d)
+        self.word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        n = len(self.word)
+        self.first = np.concatenate((np.ones(min(1, n), bool), self.doc[1:] != self.doc[:-1]))
+        before = np.concatenate((np.full(min(1, n), START), self.word[:-1]))
+        before[self.first] = START
+        heads = np.flatnonzero(self.first)
+        last = np.append(heads[1:], n)[: len(heads)] - 1
+        every = np.concatenate((self.word, _pair(before, self.word), _pair(self.word[last], np.full(len(last), END)), np.full(len(last), START)))
+        owner = np.concatenate((self.doc, self.doc, self.doc[last], self.doc[last]))
+        self.key, at = np.unique(every, return_inverse=True)
+        self.at_word, self.at_pair = at[:n], at[n : 2 * n]
+        self.counts = np.stack([np.bincount(at, minlength=len(self.key)), np.bincount(at, target[owner], len(self.key))]).astype(np.int64)
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often the key of each word's place occurs in the word's document."""
+        _, back, count = np.unique(self.doc * max(1, len(self.key)) + at, return_inverse=True, return_counts=True)
+        return count[back]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """Keys in 48 bits, the lowest as it was. In a bucket, which holds about a million keys, two alike are rare."""
+    return (key >> np.uint64(17)) << np.uint64(1) | (key & _ODD)
+
+
+def _planes(short: np.ndarray) -> np.ndarray:
+    """The six bytes of ascending short keys, highest first, each byte of all keys together, which compresses better."""
+    return np.ascontiguousarray(short.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).ravel()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(planes) // 6, 8), np.uint8)
+    wide[:, 2:] = planes.reshape(6, -1).T
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _chunk_words(row: dict) -> tuple[Words, np.ndarray]:
+    target = np.array([bool(r["target"]) for r in row["rest"]], np.float64)
+    return Words(row, row["sizes"], target), target
+
+
+def totals(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, blob of total counts), and a row a bucket without chunk: its words, target words and distinct words."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chunk_rows(batches):
+            w, _ = _chunk_words(row)
+            b, t = w.counts
+            short = _short(w.key)
+            got = [(k, pack(b[i].astype("<u4"), t[i].astype("<u4"), _planes(short[i]))) for k, i in by_bucket(_bucket(w.key, buckets))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in got], pa.int64()), pa.array([row["chunk"]] * len(got), pa.int64()), pa.array([v for _, v in got], pa.binary())],
+                names=["bucket", "chunk", "blob"],
+            )
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket, chunk = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+        got = [unpack(x, "<u4", "<u4", "V6") for x in table.column("blob").to_pylist()]
+        key, at = np.unique(np.concatenate([_from_planes(g[2].view(np.uint8)) for g in got]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([g[i] for g in got]), len(key)).astype(np.int64) for i in (0, 1)]
+        word = (key & _ODD == 0) & (key != _short(START))
+        stop = np.cumsum([len(g[0]) for g in got])
+        blobs = [pack(sums[0][at[e - len(g[0]) : e]], sums[1][at[e - len(g[0]) : e]]) for g, e in zip(got, stop.tolist(), strict=True)]
+        stats = [int(sums[0][word].sum()), int(sums[1][word].sum()), int(word.sum())]
+        n = len(chunk)
+        return pa.table({
+            "chunk": pa.array([*chunk, None], pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int64()), "blob": pa.array([*blobs, None], pa.binary()),
+            **{c: pa.array([0] * n + [x], pa.int64()) for c, x in zip(("words", "target_words", "distinct"), stats, strict=True)},
+        })
+
+    sent = chunks.select("chunk", "sizes", "body", "rest").mapInArrow(send, "bucket long, chunk long, blob binary")
+    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, blob binary, words long, target_words long, distinct long"))
+
+
+def losses(w: Words, target: np.ndarray, found: np.ndarray, all_words: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each document of a chunk, and the sum of its losses in nats under (background, target).
+
+    ``found`` holds the (background, target) totals of the chunk's keys. A document's own counts are taken off, from
+    the target only where it is in it. A first word unseen elsewhere leaves the whole weight to single words.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            key, n = _summed(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["key", "background", "target"])
-
-        for b in batches:
-            target = b.column("target").to_numpy(zero_copy_only=False)
-            for key, doc in keys_of(utf8(b.column("text").to_pylist())):
-                if not len(key):
-                    continue
-                key, at = np.unique(key.view(np.int64), return_inverse=True)
-                keys.append(key)
-                counts.append(np.stack([np.bincount(at), np.bincount(at, target[doc])], axis=1))
-                held += len(key)
-                if held > 2 * HELD:
-                    key, n = _summed(keys, counts)
-                    keys, counts, held = [key], [n], len(key)
-                    if held > HELD:
-                        yield out()
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield out()
-
-    with small_batches(source.sparkSession, 256):
-        sent = source.mapInArrow(run, "key long, background long, target long")
-    return pin(sent.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-
-
-def _frequent(counts: DataFrame, bound: int):
-    """Keys and counts of all keys above the least count at which at most ``bound`` are left, ordered by key."""
-    bins = counts.groupBy(F.floor(F.log2("background") * 16).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("background").alias("low"))
-    total, least = 0, None
-    for r in sorted(bins.collect(), key=lambda r: -r["bin"]):
-        total += r["n"]
-        if total > bound:
-            break
-        least = r["low"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    got = counts.where(F.col("background") >= least).orderBy("key").toPandas()
-    return got["key"].to_numpy(np.int64), got[["background", "target"]].to_numpy(np.int64)
-
-
-def _tokens(texts: list[bytes], words: np.ndarray):
-    """Blocks of (word number, number of the word before it, document); 0 to V-1 known, V unknown, V + 1 the start."""
-    last_doc, last_id = -1, len(words) + 1
-    for buf, starts, docs in blocks(texts):
-        h, doc = words_of(buf, starts, docs)
-        if not len(h):
-            continue
-        h = h.view(np.int64)
-        at = np.searchsorted(words, h)
-        ids = np.where(words[np.minimum(at, len(words) - 1)] == h, at, len(words)) if len(words) else np.zeros(len(h), np.int64)
-        before = np.concatenate(([last_id if doc[0] == last_doc else len(words) + 1], ids[:-1]))
-        before[1:][doc[1:] != doc[:-1]] = len(words) + 1
-        last_doc, last_id = doc[-1], ids[-1]
-        yield ids, before, doc
-
-
-@dataclass
-class Models:
-    """The two models. Column 0 is the background, column 1 the target."""
-
-    words: np.ndarray  # sorted word hashes
-    single: np.ndarray  # (V + 1) x 2: smoothed word probabilities
-    pairs: np.ndarray  # sorted bigram keys
-    given: np.ndarray  # bigrams x 2: relative frequency of the second word after the first
-    left: np.ndarray  # (V + 2) x 2: weight that a first word leaves to single words
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 2
-
-    def losses(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each text, and the sum of its losses in nats under either model."""
-        n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2))
-        for ids, before, doc in _tokens(texts, self.words):
-            key = before * self.size + ids
-            at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-            known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-            n += np.bincount(doc, minlength=len(texts))
-            for k in (0, 1):
-                p = self.left[before, k] * self.single[ids, k]
-                if len(self.pairs):
-                    p = p + np.where(known, WEIGHT * self.given[at, k], 0)
-                total[:, k] += np.bincount(doc, -np.log(p), len(texts))
+    docs = len(target)
+    n = np.bincount(w.doc, minlength=docs)
+    total = np.zeros((docs, 2))
+    if not len(w.word):
         return n, total
-
-
-def fit(source: DataFrame, words: int = WORDS, bigrams: int = BIGRAMS) -> Models:
-    """Models from (text, target boolean): the background is every row, the target those marked."""
-    single = _count(source, lambda texts: ((h, d) for h, d in (words_of(*b) for b in blocks(texts))))
-    all_words = np.array(single.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first(), np.int64)
-    known, counts = _frequent(single, words)
-    counts = np.concatenate((counts, (all_words - counts.sum(0))[None]))
-    size = len(known) + 2
-    pairs = _count(source, lambda texts: ((b * size + i, d) for i, b, d in _tokens(texts, known)))
-    first = pairs.groupBy(F.expr(f"key div {size}").alias("first")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).toPandas()
-    before = np.zeros((size, 2))
-    before[first["first"].to_numpy(np.int64)] = first[["b", "t"]].to_numpy()
-    key, n = _frequent(pairs, bigrams)
-    given = n / np.maximum(before[key // size], 1)
-    held = np.stack([np.bincount(key // size, given[:, k], size) for k in (0, 1)], axis=1)
-    return Models(known, (counts + 1) / (all_words + len(counts)), key, given, 1 - WEIGHT * held)
-
-
-def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bigrams: int = BIGRAMS) -> DataFrame:
+    own_word, own_pair = w.own(w.at_word), w.own(w.at_pair)
+    before = np.concatenate(([0], w.at_word[:-1]))
+    before[w.first] = np.searchsorted(w.key, START)
+    own_before = np.where(w.first, 1, np.concatenate(([0], own_word[:-1])))
+    for k in (0, 1):
+        mine = np.ones(len(w.word)) if k == 0 else target[w.doc]
+        single = (found[k][w.at_word] - mine * own_word + 1) / (all_words[k] - mine * n[w.doc] + distinct)
+        context = found[k][before] - mine * own_before
+        seen = context > 0
+        given = np.where(seen, (found[k][w.at_pair] - mine * own_pair) / np.maximum(context, 1), 0)
+        total[:, k] = np.bincount(w.doc, -np.log(WEIGHT * given + np.where(seen, 1 - WEIGHT, 1) * single), docs)
+    return n, total
+
+
+def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, n_words, target_loss, background_loss, score), losses in nats per word.
 
     ``score`` is the target's loss less the background's: the lower, the more a document resembles the target. Words
     are lower-cased runs of letters and digits. A text without words, or null, has losses and score 0. A null ``target``
-    counts as not in the target. Rows that repeat an identifier are scored each. An empty table gives an empty table.
+    counts as not in the target. Rows that repeat an identifier are scored each, and identifiers of any type come back
+    as they were. An empty table gives an empty table; other columns are not read.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    models = docs.sparkSession.sparkContext.broadcast(fit(source.select("text", "target"), words, bigrams))
+    source = docs.select(F.lit(0).alias("place"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target"))
     kind = dict(source.dtypes)["id"]
+    chunks = chunked(source, "place", "text", ["id", "target"], CHUNK_BYTES)
+    size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = min(1 << 24, max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES))
+    with small_batches(docs.sparkSession, 1):
+        answers = totals(chunks, buckets)
+    stats = answers.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target_words", "distinct"))).first()
+    all_words, distinct = np.array(stats[:2], np.float64), stats[2]
+    parts = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, total = models.value.losses(utf8(b.column("text").to_pylist()))
+            ids = b.column("rest").flatten().field("id")
+            (row,) = b.to_pylist()
+            w, flags = _chunk_words(row)
+            found, blobs = np.zeros((2, len(w.key))), {p["bucket"]: p["blob"] for p in row["parts"] or []}
+            for k, i in by_bucket(_bucket(w.key, buckets)):
+                found[:, i] = unpack(blobs[k], "<i8", "<i8")
+            n, total = losses(w, flags, found, all_words, distinct)
             mean = np.round(total / np.maximum(n, 1)[:, None], 9)
-            arrays = [b.column("id"), pa.array(n), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(np.round(mean[:, 1] - mean[:, 0], 6))]
+            arrays = [ids, pa.array(n), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(np.round(mean[:, 1] - mean[:, 0], 6))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_words", "target_loss", "background_loss", "score"])
 
-    with small_batches(docs.sparkSession, 256):
-        out = source.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, target_loss double, background_loss double, score double")
+    joined = chunks.join(parts, "chunk", "left").select("chunk", "sizes", "body", "rest", "parts")
+    with small_batches(docs.sparkSession, 1):
+        out = pin(joined.mapInArrow(run, f"id {kind}, n_words long, target_loss double, background_loss double, score double"))
     return out.withColumnRenamed("id", id_col)

@@ -12,78 +12,60 @@ ROWS = [(i, " ".join(np.random.default_rng(i).choice(["the", "of", "Ab", "cd", "
 ROWS += [(100, None, True), (101, "", None), (102, "...", False), (None, "the of zz", None), (5, "of the", True), (103, "word the " * 200_000, False)]
 
 
-def brute(rows, words, bigrams):
-    """Both models and all losses from plain counters."""
-    tok = lambda t: re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", (t or "")) and [w.lower() for w in re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", t)]
-    docs = [(d, tok(t) or [], bool(y)) for d, t, y in rows]
-    single = [Counter(), Counter()]
-    for _, ws, y in docs:
-        single[0].update(ws)
-        if y:
-            single[1].update(ws)
+def brute(rows):
+    """Losses of each document under models of all other documents, from plain counters."""
+    tok = lambda t: [w.lower() for w in re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", t or "")]
+    docs = [(d, tok(t), bool(y)) for d, t, y in rows]
 
-    def frequent(counter, bound):
-        total, least = 0, None
-        bins = {}
-        for k, n in counter.items():
-            bins.setdefault(math.floor(math.log2(n) * 16), []).append(n)
-        for b in sorted(bins, reverse=True):
-            total += len(bins[b])
-            if total > bound:
-                break
-            least = min(bins[b])
-        return set() if least is None else {k for k, n in counter.items() if n >= least}
+    def counted(some):
+        word, pair, first = Counter(), Counter(), Counter()
+        for ws in some:
+            word.update(ws)
+            pair.update(zip(["<s>", *ws], ws))
+            first.update(["<s>", *ws] if ws else [])  # the last word is followed by the end
+        return word, pair, first
 
-    known = frequent(single[0], words)
-    name = lambda w: w if w in known else "<unk>"
-    uni, pair, before = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
-    for _, ws, y in docs:
-        ids = [name(w) for w in ws]
+    whole = [counted([ws for _, ws, y in docs if y or k == 0]) for k in (0, 1)]
+    distinct, out = len(whole[0][0]), []
+    for d, ws, y in docs:
+        own, loss = counted([ws]), [0.0, 0.0]
         for k in (0, 1):
-            if k == 0 or y:
-                uni[k].update(ids)
-                pair[k].update(zip(["<s>", *ids], ids))
-                before[k].update(["<s>", *ids][: len(ids)])
-    kept = frequent(pair[0], bigrams)
-    out = []
-    for d, ws, _ in docs:
-        ids, loss = [name(w) for w in ws], [0.0, 0.0]
-        for v, w in zip(["<s>", *ids], ids):
-            for k in (0, 1):
-                p1 = (uni[k][w] + 1) / (sum(uni[k].values()) + len(known) + 1)
-                held = sum(n for (a, b), n in pair[k].items() if a == v and (a, b) in kept) / max(1, before[k][v]) if (k, v) not in cache else cache[k, v]
-                cache[k, v] = held
-                p = (1 - lm_score.WEIGHT * held) * p1 + (lm_score.WEIGHT * pair[k][v, w] / max(1, before[k][v]) if (v, w) in kept else 0)
-                loss[k] -= math.log(p)
-        n = max(1, len(ids))
-        out.append((d, len(ids), loss[1] / n, loss[0] / n))
+            mine = 1 if y or k == 0 else 0
+            word, pair, first = whole[k]
+            size = sum(word.values()) - mine * len(ws) + distinct
+            for v, w in zip(["<s>", *ws], ws):
+                single = (word[w] - mine * own[0][w] + 1) / size
+                context = first[v] - mine * own[2][v]
+                given = (pair[v, w] - mine * own[1][v, w]) / context if context else 0
+                loss[k] -= math.log(lm_score.WEIGHT * given + (1 - lm_score.WEIGHT if context else 1) * single)
+        n = max(1, len(ws))
+        out.append((d, len(ws), loss[1] / n, loss[0] / n))
     return out
 
 
-cache: dict = {}
-
-
-@pytest.mark.parametrize("words,bigrams", [(8192, 1 << 19), (5, 12), (0, 0)])
-def test_matches_brute_force(spark, monkeypatch, words, bigrams):
-    cache.clear()
-    monkeypatch.setattr(lm_score, "HELD", 16)
-    docs = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, text string, good boolean, score string").repartition(3)
-    got = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in lm_score.score_documents(docs, F.col("good"), words=words, bigrams=bigrams).collect())
-    want = sorted((str(a), *b) for a, *b in brute(ROWS, words, bigrams))
+@pytest.mark.parametrize("chunk", [1 << 21, 200])
+def test_matches_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", chunk)
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in ROWS], "doc_id long, text string, good boolean, score string, place long, rest string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in lm_score.score_documents(docs, F.col("good")).collect())
+    want = sorted((str(a), *b) for a, *b in brute(ROWS))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-6)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(t, bool(y)) for _, t, y in ROWS[:60]], "text string, target boolean")
-    m = lm_score.fit(docs, 6, 20)
-    for v in range(m.size):
-        for k in (0, 1):
-            own = m.pairs // m.size == v
-            total = m.left[v, k] * m.single[:, k].sum() + lm_score.WEIGHT * m.given[own, k].sum()
-            assert abs(total - 1) < 1e-9
+def test_every_word_counts(spark):
+    """A word of few documents tells target from background, whatever the number of words in the corpus."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice([f"w{k}" for k in range(20_000)], 200))
+    rows = [(i, text() + (" rarity" if i < 2 else " seldom" if i < 4 else ""), i < 2 or i > 60) for i in range(100)]
+    rows += [(200 + i, f"{t} {word}", False) for i, t in enumerate([text()] * 2) for word in [("rarity", "seldom")[i]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+    score = {r.doc_id: r.score for r in lm_score.score_documents(docs, F.col("good")).collect()}
+    assert score[200] < score[201]
 
 
-def test_empty(spark):
+def test_text_identifiers_and_empty(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    assert {r.doc_id: r.n_words for r in lm_score.score_documents(docs, F.col("doc_id") == "a").collect()} == {"a": 2, "b": 2}
     docs = spark.createDataFrame([], "doc_id long, text string, good boolean")
     assert lm_score.score_documents(docs, F.col("good")).count() == 0
