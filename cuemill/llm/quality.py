@@ -242,5 +242,5 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "weak_label", "score", "kept"])
 
     with small_batches(spark, 256):
-        out = source.mapInArrow(run, f"id {kind}, weak_label double, score double, kept boolean")
+        out = pin(source.mapInArrow(run, f"id {kind}, weak_label double, score double, kept boolean"))
     return out.withColumnRenamed("id", id_col)

@@ -123,7 +123,9 @@ def forest(key: np.ndarray, own: np.ndarray, fp: np.ndarray, distance: int = DIS
 
 
 def near_links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of fingerprints that connect exactly the fingerprints reachable over distances up to three."""
+    """Links (a, b) of fingerprints that connect exactly the fingerprints reachable over distances up to ``distance``, at most three."""
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError("two segments with balls of radius one find distances up to three")
     rows = _filed(classes)
     crowded = pin(rows.where("own").groupBy("k").count().where(F.col("count") > CROWDED).select("k"))
     if not crowded.isEmpty():
@@ -176,8 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` with the smallest identifier of each component; rows that repeat it stay together."""
+    """``docs`` with the smallest identifier of each component; rows that repeat it, and rows without one, stay."""
     marked = near_duplicates(docs, id_col, text_col, words)
     lost = pin(marked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost")).distinct())
-    rows = docs.withColumn("_lost", F.col(id_col))
-    return join_small(rows, lost, ["_lost"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_lost"))
+    return join_small(rows, lost, ["_lost"], "left_anti").select("_row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import small_batches
+from cuemill.llm.common import pin, small_batches
 
 MARK = "▁"
 #: Stretches and pairs that a worker remembers; more are worked out each time.
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_ids", "ids", "ids_crc32"])
 
     with small_batches(docs.sparkSession, 256):
-        return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_ids long, ids binary, ids_crc32 long").withColumnRenamed("id", id_col)
+        return pin(source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_ids long, ids binary, ids_crc32 long")).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,7 +218,7 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     with small_batches(encoded.sparkSession, 256):
-        return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
+        return pin(source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text string")).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,5 +241,5 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_ids", "ids_crc32", "n_chars", "text_crc32", "same"])
 
     with small_batches(docs.sparkSession, 256):
-        out = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_ids long, ids_crc32 long, n_chars long, text_crc32 long, same boolean")
+        out = pin(source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_ids long, ids_crc32 long, n_chars long, text_crc32 long, same boolean"))
     return out.withColumnRenamed("id", id_col)
