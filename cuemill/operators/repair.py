@@ -190,11 +190,15 @@ def merge_points(points: Column, most: int = 10) -> Column:
 
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:
-    """Token edit ratio and size ratio of (first_pass, observed): tokens become single characters for one edit distance."""
+    """Token edit ratio and size ratio of (first_pass, observed): tokens become single characters for one edit distance.
+
+    The characters are of the planes beyond the first, a million of them, one for each distinct token of the pair.
+    """
     rows = pairs.withColumn("a", X.tokens(F.col("first_pass"))).withColumn("b", X.tokens(F.col("observed")))
-    both = F.array_distinct(F.concat("a", "b"))
-    letter = lambda arr: F.array_join(F.transform(F.col(arr), lambda t: F.substring(F.lit(_ALPHABET), F.array_position("all", t).cast("int"), F.lit(1))), "")
-    rows = rows.withColumn("all", both).where(F.size("all") <= len(_ALPHABET)).withColumn("ca", letter("a")).withColumn("cb", letter("b"))
+    rows = rows.withColumn("all", F.array_distinct(F.concat("a", "b")))
+    point = lambda t: F.lpad(F.hex(F.array_position("all", t) + 0xFFFF), 8, "0")
+    letters = lambda arr: F.decode(F.unhex(F.array_join(F.transform(arr, point), "")), "UTF-32")
+    rows = rows.withColumn("ca", letters("a")).withColumn("cb", letters("b"))
     longest = F.greatest(F.size("a"), F.size("b"), F.lit(1))
     return rows.select(
         *pairs.columns, F.round(F.levenshtein("ca", "cb") / longest, 6).alias("edit_ratio"),
@@ -202,10 +206,6 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
-#: Characters that stand for the tokens of a pair, one for each distinct token.
-_ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4096))
-
-
 def safety_gate(metrics: DataFrame, edit: float = 0.55, context: float = 0.65, coverage: float = 0.35) -> DataFrame:
     """Decision on a proposed rewrite from its metrics, with the reasons against it."""
     grounded = F.col("time_grounded") & (F.col("coverage") >= coverage)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
@@ -27,13 +33,35 @@ def token_bucket(token) -> "Column":  # noqa: F821
 
 
 def hashed_vectors(tokens: DataFrame, *keys: str) -> DataFrame:
-    """Sparse unit vectors (keys, bucket, weight) of token counts (T2). Each distinct token is hashed once."""
-    words = tokens.select("token").distinct().withColumn("bucket", token_bucket(F.col("token")))
-    counts = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n")).join(words, "token").groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    """Sparse unit vectors (keys, bucket, weight) of token counts (T2). A token is hashed once for each text it is in."""
+    counts = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", token_bucket(F.col("token")))
+    counts = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
     return counts.select(*keys, "bucket", (F.col("n") / norm).alias("weight"))
 
 
+def embed_corpus(df: DataFrame, column: str, embed: Callable[[list[str]], list], dim: int) -> DataFrame:
+    """``df`` with ``vector array<double>`` from a batch function of texts: unit norm, ``dim`` long, zeros for blank texts.
+
+    ``embed`` runs in the Python workers, on batches; where it needs a model it should load it once and keep it. A vector of
+    another length is an error. ``hashed_vectors`` is what to use without a model.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf[column]]
+            full = [i for i, t in enumerate(texts) if t.strip()]
+            out = np.zeros((len(texts), dim))
+            if full:
+                out[full] = np.asarray(embed([texts[i] for i in full]), np.float64).reshape(len(full), dim)
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+            yield pdf.assign(vector=list(out))
+
+    return df.mapInPandas(run, schema)
+
+
 def build_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings (token, video_id, chunk_idx, tf, length) and their document counts (T4)."""
     words = tokenize(chunks, "text", "video_id", "chunk_idx")
@@ -47,9 +75,13 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> Dat
 
     With ``video_id`` in the queries only that video's chunks are ranked.
     """
-    postings, frequency = build_index(chunks)
-    stats = postings.select("video_id", "chunk_idx", "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    words = X.tokens(F.col("text"))
+    stats = chunks.select(F.size(words).alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     wanted = tokenize(queries, "query", "query_id", "video_id").select("query_id", "video_id", "token").distinct()
+    # only the words that are asked for go on; the rest of the corpus is counted, not shuffled
+    held = chunks.select("video_id", "chunk_idx", F.size(words).alias("length"), F.explode(words).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    postings = held.groupBy("token", "video_id", "chunk_idx", "length").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     hits = postings.join(wanted, ["token", "video_id"]).join(frequency, "token").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -70,14 +102,18 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     return _top(scored.where("score > 0"), k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = 256) -> DataFrame:
     """(query_id, vec_id, score, rank) by dot product of dense unit vectors; other lengths score 0 and go (K2).
 
     The stated queries are held against all vectors; the top-k limit is applied before the shuffle.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    dot = F.aggregate(F.zip_with("query", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(F.broadcast(q)).where(F.size("query") == F.size("embedding")).select("query_id", "vec_id", F.round(dot, 6).alias("score")).where("score > 0")
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).where("embedding is not null")
+    dot = F.aggregate(F.zip_with("one.query", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    # queries travel as a few rows of up to ``block`` each, so neither side grows with the other and no query is broadcast unchecked
+    packed = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block)))))
+    packed = packed.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
+    scored = vectors.where("embedding is not null").crossJoin(packed).select("vec_id", "embedding", F.explode("queries").alias("one"))
+    scored = scored.where(F.size("one.query") == F.size("embedding")).select("one.query_id", "vec_id", F.round(dot, 6).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -108,7 +144,50 @@ def best_segment(hits: DataFrame, chunks: DataFrame, seg: DataFrame, queries: Da
 def hybrid_search(queries: DataFrame, chunks: DataFrame, seg: DataFrame) -> DataFrame:
     """The five best chunks of each query in its video by words and by vectors, with their best segments (K6).
 
-    ``queries`` is (query_id, video_id, query). A query without tokens has no rows.
+    ``queries`` is (query_id, video_id, query). A query without tokens has no rows. Chunks are read several times: pass a
+    stored index (``read_index``), or they are kept on the executors.
+    """
+    chunks = chunks.persist()
+    asked = chunks.join(queries.select("video_id").distinct(), "video_id", "left_semi")
+    hits = rrf(bm25_topk(queries, chunks), vector_search(queries, asked))
+    return best_segment(hits, asked, seg, queries)
+
+
+PARTS = 64
+
+
+def _indexed(chunks: DataFrame) -> DataFrame:
+    return chunks.select(
+        "video_id", "chunk_idx", "start_ms", "end_ms", "segment_ids", "text", F.array_join(X.tokens(F.col("text")), " ").alias("content"),
+        F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).alias("part"),
+    )
+
+
+def reindex(path: str, chunks: DataFrame, videos: DataFrame) -> None:
+    """The index at ``path`` with the rows of ``videos`` (video_id) replaced by those of ``chunks``.
+
+    The index is a Parquet folder by hash part; only the parts of these videos are read and written again, by dynamic
+    partition overwrite through a staging folder beside it. A video without chunks leaves a marker row, which
+    ``read_index`` hides, so that a part may become empty.
     """
-    hits = rrf(bm25_topk(queries, chunks), vector_search(queries, chunks))
-    return best_segment(hits, chunks, seg, queries)
+    spark = chunks.sparkSession
+    ids = videos.select("video_id").distinct()
+    new = _indexed(chunks.join(ids, "video_id", "left_semi"))
+    gone = ids.join(new.select("video_id").distinct(), "video_id", "left_anti").withColumn("chunk_idx", F.lit(-1).cast("long"))
+    gone = gone.withColumn("part", F.pmod(F.xxhash64("video_id"), F.lit(PARTS)))
+    rows = new.unionByName(gone, allowMissingColumns=True)
+    try:
+        old = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException:  # no index yet
+        rows.write.partitionBy("part").parquet(path)
+        return
+    parts = ids.select(F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).alias("part")).distinct()
+    kept = old.join(F.broadcast(parts), "part", "left_semi").join(ids, "video_id", "left_anti").where("chunk_idx >= 0")  # at most 64 parts
+    staging = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"
+    kept.unionByName(rows).write.parquet(staging)
+    spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Stored chunks, for ``hybrid_search`` and ``bm25_topk``."""
+    return spark.read.parquet(path).where("chunk_idx >= 0").drop("part")

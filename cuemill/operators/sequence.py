@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.operators.joins import entity_variants
 
 
 def by_video():
@@ -103,39 +104,99 @@ def note_batches(seg: DataFrame, chars: int = 6000) -> DataFrame:
     return bins.select("video_id", "seg_idx", "bin", number.cast("long").alias("number"))
 
 
+#: Profiles whose words are written without spaces.
+CJK = ("Zh", "Ja", "Ko")
+
+
+def _profiled(seg: DataFrame) -> DataFrame:
+    """Segments with a ``profile`` column; Auto where there is none."""
+    return seg if "profile" in seg.columns else seg.withColumn("profile", F.lit("Auto"))
+
+
 def note_paragraphs(seg: DataFrame, gap_ms: int = 2500, chars: int = 220) -> DataFrame:
-    """Paragraphs: a new one after a gap of 2.5 s or once the current one holds 220 characters."""
-    rows = _ordered(seg.where(F.trim("text") != "").withColumn("t", F.trim("text")), "t", "start_ms", "end_ms")
+    """Paragraphs: a new one after a gap of 2.5 s or once the texts of the current one hold 220 characters.
+
+    Texts are joined by a blank, without one where ``profile`` is Zh, Ja or Ko.
+    """
+    rows = _ordered(_profiled(seg).where(F.trim("text") != "").withColumn("t", F.trim("text")), "t", "start_ms", "end_ms", "profile")
 
     def opens(a: Column, x: Column):
-        return (x["start_ms"] - a["end"] > gap_ms) | (a["size"] >= chars), F.length(x["t"]), a["size"] + 1 + F.length(x["t"])
+        return (x["start_ms"] - a["end"] > gap_ms) | (a["size"] >= chars), F.length(x["t"]), a["size"] + F.length(x["t"])
 
     bins = _bins(rows, opens)
-    parts = F.sort_array(F.collect_list(F.struct("seg_idx", "t")))
-    return bins.groupBy("video_id", "bin").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("paragraph"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "t"))), lambda p: p["t"])
+    joined = F.when(F.first("profile").isin(*CJK), F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
+    return bins.groupBy("video_id", "bin").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), joined.alias("paragraph"))
+
+
+#: A strong mark at the end, before closing quotes and brackets.
+STRONG_END = f"[{X.STRONG_MARKS}][\"'”’)\\]】》]*\\s*$"
 
 
-def merge_adjacent(seg: DataFrame, gap_ms: int = 420, chars: int = 120, span_ms: int = 8000) -> DataFrame:
-    """Neighbours joined while the left side ends without a strong mark and stays short; the sum is the next left side."""
-    rows = _ordered(seg.where(F.trim("text") != "").withColumn("t", F.trim("text")), "t", "start_ms", "end_ms")
+def _hard_starts(seg: DataFrame, evidence: DataFrame, near_ms: int) -> DataFrame:
+    """(video_id, seg_idx) of segments whose start, or whose predecessor's end, has a boundary of confidence 0.5 within reach."""
+    points = seg.withColumn("ended", F.lag("end_ms").over(by_video()))
+    points = points.select("video_id", "seg_idx", F.explode(F.array("start_ms", "ended")).alias("t")).where("t is not null")
+    cell = lambda c: F.floor(F.col(c) / (near_ms + 1))
+    points = points.withColumn("cell", F.explode(F.array(cell("t") - 1, cell("t"), cell("t") + 1)))
+    known = evidence.where(F.col("kind").isin("strong_punctuation", "alignment_boundary") & (F.col("confidence") >= 0.5))
+    known = known.select("video_id", "time_ms", cell("time_ms").alias("cell"))
+    return points.join(known, ["video_id", "cell"]).where(F.abs(F.col("t") - F.col("time_ms")) <= near_ms).select("video_id", "seg_idx").distinct()
+
+
+def merge_adjacent(seg: DataFrame, evidence: DataFrame | None = None, near_ms: int = 120) -> DataFrame:
+    """Neighbours joined while the left side has no strong end and both stay short; the sum is the next left side.
+
+    Limits by ``profile``: 120 characters, 8 s and a gap of 0.42 s for En, 0.45 s for others; 36, 6.5 s and 0.52 s for Zh, Ja
+    and Ko. Segments that overlap stay apart, as do those with boundary ``evidence`` (video_id, time_ms, kind, confidence)
+    within 0.12 s of the cut. ``parts`` holds the joined texts in order, which ``merge_log`` turns into log rows.
+    """
+    rows = _profiled(seg).where(F.trim("text") != "").withColumn("t", F.trim("text"))
+    rows = rows.withColumn("hard", F.lit(False)) if evidence is None else (
+        rows.join(_hard_starts(rows, evidence, near_ms).withColumn("hard", F.lit(True)), ["video_id", "seg_idx"], "left").withColumn("hard", F.coalesce("hard", F.lit(False)))
+    )
+    rows = _ordered(rows, "t", "start_ms", "end_ms", "profile", "hard")
     kind = "struct<bin:int,chars:int,start:bigint,end:bigint,open:boolean,n:int,out:array<int>>"
     start = F.from_json(F.lit('{"bin":0,"chars":0,"start":0,"end":0,"open":false,"n":0,"out":[]}'), kind)
 
     def step(a: Column, x: Column) -> Column:
-        size = a["chars"] + 1 + F.length(x["t"])
-        join = (a["n"] > 0) & a["open"] & (F.greatest(x["start_ms"] - a["end"], F.lit(0)) <= gap_ms) & (size <= chars) & (x["end_ms"] - a["start"] <= span_ms)
+        cjk = x["profile"].isin(*CJK)
+        size, gap = F.length(x["t"]), F.when(x["profile"] == "En", 420).when(cjk, 520).otherwise(450)
+        short = (a["chars"] + size <= F.when(cjk, 36).otherwise(120)) & (x["end_ms"] - a["start"] <= F.when(cjk, 6500).otherwise(8000))
+        join = (a["n"] > 0) & a["open"] & ~x["hard"] & (x["start_ms"] >= a["end"]) & (x["start_ms"] - a["end"] <= gap) & short
         number = a["bin"] + F.when(join | (a["n"] == 0), 0).otherwise(1)
         return F.struct(
-            number.cast("int").alias("bin"), F.when(join, size).otherwise(F.length(x["t"])).cast("int").alias("chars"), F.when(join, a["start"]).otherwise(x["start_ms"]).cast("bigint").alias("start"),
-            x["end_ms"].cast("bigint").alias("end"), (~x["t"].rlike(f"[{X.STRONG_MARKS}][\"')\\]”’]*$")).alias("open"), (a["n"] + 1).cast("int").alias("n"), F.concat(a["out"], F.array(number.cast("int"))).alias("out"),
+            number.cast("int").alias("bin"), F.when(join, a["chars"] + F.when(cjk, 0).otherwise(1) + size).otherwise(size).cast("int").alias("chars"),
+            F.when(join, a["start"]).otherwise(x["start_ms"]).cast("bigint").alias("start"), F.when(join, F.greatest(a["end"], x["end_ms"])).otherwise(x["end_ms"]).cast("bigint").alias("end"),
+            (~x["t"].rlike(STRONG_END)).alias("open"), (a["n"] + 1).cast("int").alias("n"), F.concat(a["out"], F.array(number.cast("int"))).alias("out"),
         )
 
     out = rows.withColumn("bins", F.aggregate("s", start, step, lambda a: a["out"])).select("video_id", F.explode(F.arrays_zip("s", "bins")).alias("x")).select("video_id", "x.s.*", "x.bins")
-    parts = F.sort_array(F.collect_list(F.struct("seg_idx", "t")))
-    return out.groupBy("video_id", "bins").agg(
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "t"))), lambda p: p["t"])
+    joined = out.groupBy("video_id", "bins").agg(
         F.min("seg_idx").alias("seg_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("merged"),
-        F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"),
-    ).drop("bins")
+        F.first("profile").alias("profile"), parts.alias("parts"),
+    )
+    text = F.when(F.col("profile").isin(*CJK), F.array_join("parts", "")).otherwise(F.array_join("parts", " "))
+    return joined.withColumn("text", text).drop("bins")
+
+
+def merge_log(merged: DataFrame) -> DataFrame:
+    """One log row for each join of ``merge_adjacent``: the texts before, with a bar between, and after."""
+    blank = F.when(F.col("profile").isin(*CJK), "").otherwise(" ")
+    rows = merged.where("merged > 1").select("video_id", "seg_idx", "parts", blank.alias("blank"), F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("n"))
+    left = F.expr("array_join(slice(parts, 1, n), blank)")
+    right = F.element_at("parts", F.col("n") + 1)
+    return log_rows(rows, "boundary", "merge_boundary", F.concat(left, F.lit(" | "), right), F.concat(left, "blank", right), "short_gap_without_sentence_terminal", 0.88)
+
+
+def log_rows(rows: DataFrame, stage: str, operation: str | Column, before: Column, after: Column, rule: str | Column, confidence: float | Column) -> DataFrame:
+    """Rows of the transform log: what a stage changed in a segment, by which rule, and how sure it is."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return rows.select(
+        "video_id", "seg_idx", F.lit(stage).alias("stage"), lit(operation).alias("operation"), before.alias("before"), after.alias("after"),
+        lit(rule).alias("rule_id"), lit(confidence).cast("double").alias("confidence"),
+    )
 
 
 def pauses(speech: DataFrame, least_ms: int = 200, most_ms: int = 3000) -> DataFrame:
@@ -186,16 +247,23 @@ def fixed_windows(totals: DataFrame, size_ms: int = 120_000) -> DataFrame:
 
 
 def collapse_loops(tok: DataFrame, times: int = 4, within_ms: int = 1500) -> DataFrame:
-    """Runs of the same token four times or more within 1.5 s as one token; islands, with the places they came from."""
-    order = Window.partitionBy("video_id").orderBy("seg_idx", "pos")
-    same = Window.partitionBy("video_id", "token").orderBy("seg_idx", "pos")
+    """Tokens, where a run of one token four times or more within 1.5 s in its segment is left once.
+
+    ``n`` is the size of the run a token stands for, ``source_ids`` the places it came from, ``span_end_ms`` its last end.
+    """
+    order = Window.partitionBy("video_id", "seg_idx").orderBy("pos")
+    same = Window.partitionBy("video_id", "seg_idx", "token").orderBy("pos")
+    run = Window.partitionBy("video_id", "seg_idx", "token", "island")
     rows = tok.withColumn("island", F.row_number().over(order) - F.row_number().over(same))
-    runs = rows.groupBy("video_id", "token", "island").agg(
-        F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min(F.struct("seg_idx", "pos")).alias("first"),
-        F.array_sort(F.array_distinct(F.collect_list(F.col("seg_idx") * 100_000 + F.col("pos")))).alias("source_ids"),
+    rows = rows.withColumn("k", F.row_number().over(run.orderBy("pos"))).withColumn("size", F.count(F.lit(1)).over(run))
+    loop = (F.col("size") >= times) & (F.max("end_ms").over(run) - F.min("start_ms").over(run) <= within_ms)
+    rows = rows.withColumn("loop", loop).withColumn("ids", F.collect_list("pos").over(run.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("last", F.max("end_ms").over(run)).where("not loop or k = 1")
+    ids = F.when(F.col("loop"), F.array_join(F.col("ids").cast("array<string>"), ",")).otherwise(F.col("pos").cast("string"))
+    return rows.select(
+        "video_id", "seg_idx", "pos", "token", "start_ms", "end_ms", F.when(F.col("loop"), F.col("last")).otherwise(F.col("end_ms")).alias("span_end_ms"),
+        F.when(F.col("loop"), F.col("size")).otherwise(1).cast("long").alias("n"), ids.alias("source_ids"),
     )
-    loops = runs.where((F.col("n") >= times) & (F.col("end_ms") - F.col("start_ms") <= within_ms))
-    return loops.select("video_id", "first.seg_idx", "first.pos", "token", "start_ms", "end_ms", "n", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"))
 
 
 def stitch_acronyms(tok: DataFrame, gap_ms: int = 500) -> DataFrame:
@@ -233,24 +301,42 @@ def anchors(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
 
 
 def drop_near_duplicates(seg: DataFrame, within_ms: int = 120) -> DataFrame:
-    """Segments whose text the one before has too, starting less than 0.12 s earlier, left out."""
-    before, start = F.lag(F.trim("text")).over(by_video()), F.lag("start_ms").over(by_video())
-    dup = (before == F.trim("text")) & (F.abs(F.col("start_ms") - start) <= within_ms)
-    return seg.withColumn("dup", F.coalesce(dup, F.lit(False))).where("not dup").drop("dup")
+    """Segments left out that have the text of the last one kept and start less than 0.12 s from it."""
+    rows = _ordered(seg.withColumn("t", F.trim("text")), "t", "start_ms")
+    start = F.from_json(F.lit('{"at":0,"n":0,"keep":[]}'), "struct<at:bigint,t:string,n:int,keep:array<boolean>>")
+
+    def step(a: Column, x: Column) -> Column:
+        again = (a["n"] > 0) & (a["t"] == x["t"]) & (F.abs(x["start_ms"] - a["at"]) < within_ms)
+        keep = ~F.coalesce(again, F.lit(False))
+        return F.struct(
+            F.when(keep, x["start_ms"]).otherwise(a["at"]).cast("bigint").alias("at"), F.when(keep, x["t"]).otherwise(a["t"]).alias("t"), F.lit(1).alias("n"),
+            F.concat(a["keep"], F.array(keep)).alias("keep"),
+        )
+
+    kept = rows.withColumn("keep", F.aggregate("s", start, step, lambda a: a["keep"])).select("video_id", F.explode(F.arrays_zip("s", "keep")).alias("x"))
+    return seg.join(kept.where("x.keep").select("video_id", "x.s.seg_idx"), ["video_id", "seg_idx"], "left_semi")
 
 
 def dedupe_overlap(seg: DataFrame, near_ms: int = 300, most: int = 16) -> DataFrame:
     """The longest token suffix of a segment that begins the next one is cut from the next, where they touch in time.
 
-    One token must have four characters. Each segment is held against the one before as it came in.
+    One token must have four characters. The left side is what an earlier cut has left of it; a segment that is cut away
+    whole is nobody's left side. ``rest`` is the text that stays, empty for a segment to drop.
     """
-    rows = seg.withColumn("units", X.tokens(F.col("text")))
-    before, end = F.lag("units").over(by_video()), F.lag("end_ms").over(by_video())
-    rows = rows.withColumn("left", before).withColumn("touches", F.coalesce(F.col("start_ms") <= end + near_ms, F.lit(False)))
-    lengths = F.sequence(F.lit(1), F.greatest(F.least(F.size("left"), F.size("units"), F.lit(most)), F.lit(1)))
-    equal = F.filter(lengths, lambda n: (F.slice("left", F.greatest(F.size("left") - n + 1, F.lit(1)), n) == F.slice("units", F.lit(1), n)) & ((n > 1) | (F.length(F.get("units", F.lit(0))) >= 4)))
-    cut = F.when(F.col("touches") & (F.size("left") > 0) & (F.size("units") > 0), F.coalesce(F.array_max(equal), F.lit(0))).otherwise(0)
-    return rows.withColumn("cut", cut.cast("long")).select("video_id", "seg_idx", "cut", F.array_join(F.slice("units", F.col("cut").cast("int") + 1, F.greatest(F.size("units") - F.col("cut").cast("int"), F.lit(0))), " ").alias("rest"))
+    rows = _ordered(seg.withColumn("units", X.tokens(F.col("text"))), "units", "start_ms", "end_ms")
+    start = F.from_json(F.lit('{"left":[],"end":0,"cuts":[]}'), "struct<left:array<string>,end:bigint,cuts:array<int>>")
+
+    def step(a: Column, x: Column) -> Column:
+        left, units = a["left"], x["units"]
+        lengths = F.sequence(F.lit(1), F.greatest(F.least(F.size(left), F.size(units), F.lit(most)), F.lit(1)))
+        equal = F.filter(lengths, lambda n: (F.slice(left, F.greatest(F.size(left) - n + 1, F.lit(1)), n) == F.slice(units, F.lit(1), n)) & ((n > 1) | (F.length(F.get(units, F.lit(0))) >= 4)))
+        touch = (F.size(left) > 0) & (F.size(units) > 0) & (x["start_ms"] <= a["end"] + near_ms)
+        cut = F.when(touch, F.coalesce(F.array_max(equal), F.lit(0))).otherwise(0).cast("int")
+        return F.struct(F.slice(units, cut + 1, F.size(units)).alias("left"), x["end_ms"].cast("bigint").alias("end"), F.concat(a["cuts"], F.array(cut)).alias("cuts"))
+
+    cuts = rows.withColumn("cuts", F.aggregate("s", start, step, lambda a: a["cuts"])).select("video_id", F.explode(F.arrays_zip("s", "cuts")).alias("x"))
+    rest = F.array_join(F.slice("x.s.units", F.col("x.cuts") + 1, F.size("x.s.units")), " ")
+    return cuts.select("video_id", "x.s.seg_idx", F.col("x.cuts").cast("long").alias("cut"), rest.alias("rest"))
 
 
 def monotone_starts(tok: DataFrame) -> DataFrame:
@@ -335,22 +421,53 @@ def split_sentences(seg: DataFrame) -> DataFrame:
     return rows.select("video_id", "seg_idx", F.col("part").cast("long").alias("part"), at(before).alias("start_ms"), at(before + size).alias("end_ms"), "sentence")
 
 
-def suspicions(seg: DataFrame, health: DataFrame, most: int = 16) -> DataFrame:
-    """Segments that look wrong by length, isolation, boundary and surface, scored, 16 a video by score, in order of time."""
-    h = health.select("video_id", "seg_idx", "words", "severe")
+def suspicions(seg: DataFrame, health: DataFrame, memory: DataFrame | None = None, names: DataFrame | None = None, most: int = 16) -> DataFrame:
+    """Segments that look wrong, by score, 16 a video, in order of time.
+
+    Reasons: micro (up to 1.4 s with six units or fewer, or up to 0.55 s) 0.36; isolated between longer neighbours within
+    1.2 s 0.34; boundary fragment, isolated within 0.6 s on both sides, 0.14; a name one or two letters off a known one
+    0.58; degenerate surface 0.92. From 0.52 on, and only with a segment on either side of the target unless degenerate.
+    The target of a boundary fragment takes in the previous segment where both stay within 8 s. ``hotwords`` are the known
+    names that variants stand for, then the video's most frequent ones, twelve at most. ``memory`` is (video_id,
+    normalized, canonical, rank), ``names`` the names in texts (video_id, seg_idx, normalized).
+    """
+    h = health.select("video_id", "seg_idx", "severe")
     rows = seg.join(h, ["video_id", "seg_idx"])
-    before = F.col("start_ms") - F.lag("end_ms").over(by_video())
-    after = F.lead("start_ms").over(by_video()) - F.col("end_ms")
-    duration = F.col("end_ms") - F.col("start_ms")
-    rows = rows.withColumn("before", before).withColumn("after", after)
-    micro = (duration <= 1200) & (F.col("words") <= 2)
-    isolated = (F.col("before") >= 650) & (F.col("after") >= 650)
-    fragment = ~F.trim("text").rlike(f"[{X.STRONG_MARKS}]$") & (F.col("words") <= 3)
-    score = F.when(micro, 36).otherwise(0) + F.when(isolated, 34).otherwise(0) + F.when(fragment, 14).otherwise(0) + F.when(F.col("severe"), 92).otherwise(0)
-    reasons = F.array_join(F.array_compact(F.array(F.when(micro, "micro"), F.when(isolated, "isolated"), F.when(fragment, "fragment"), F.when(F.col("severe"), "degenerate"))), ",")
-    rows = rows.withColumn("score", F.least(score, F.lit(100))).withColumn("reasons", reasons).where((F.col("score") >= 52) & (F.col("severe") | (F.col("before").isNotNull() & F.col("after").isNotNull())))
+    long = F.col("end_ms") - F.col("start_ms")
+    gap = F.greatest(F.col("start_ms") - F.lag("end_ms").over(by_video()), F.lit(0))
+    rows = rows.withColumn("long", long).withColumn("before", gap).withColumn("units", F.size(X.tokens(F.col("text"))))
+    rows = rows.withColumns({
+        "after": F.lead("before").over(by_video()), "long_before": F.lag("long").over(by_video()), "long_after": F.lead("long").over(by_video()),
+        "start_before": F.lag("start_ms").over(by_video()), "k": F.row_number().over(by_video()), "id_before": F.lag("seg_idx").over(by_video()),
+    })
+    if memory is None or names is None:
+        rows = rows.withColumn("variants", F.array().cast("array<string>")).withColumn("known", F.array().cast("array<string>"))
+    else:
+        near = entity_variants(names.select("video_id", F.col("normalized").alias("name")).distinct(), memory)
+        near = near.join(memory.select("video_id", F.col("normalized").alias("entity"), "canonical"), ["video_id", "entity"])
+        near = names.join(near.withColumnRenamed("name", "normalized"), ["video_id", "normalized"]).groupBy("video_id", "seg_idx").agg(F.sort_array(F.collect_set("canonical")).alias("variants"))
+        known = memory.groupBy("video_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "canonical"))), lambda x: x["canonical"]), 1, 12).alias("known"))
+        rows = rows.join(near, ["video_id", "seg_idx"], "left").join(known, "video_id", "left")
+        rows = rows.withColumn("variants", F.coalesce("variants", F.array().cast("array<string>"))).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    micro = ((F.col("long") <= 1400) & (F.col("units") <= 6)) | (F.col("long") <= 550)
+    isolated = F.coalesce(micro & (F.col("before") <= 1200) & (F.col("after") <= 1200) & (F.col("long_before") >= 1200) & (F.col("long_after") >= 1200), F.lit(False))
+    fragment = isolated & (F.col("before") <= 600) & (F.col("after") <= 600)
+    variant = F.size("variants") > 0
+    kinds = ((micro, 36, "micro"), (isolated, 34, "isolated"), (fragment, 14, "fragment"), (variant, 58, "variant"), (F.col("severe"), 92, "degenerate"))
+    score = F.least(sum((F.when(c, n).otherwise(0) for c, n, _ in kinds[1:]), F.when(micro, 36).otherwise(0)), F.lit(100))
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, name) for c, _, name in kinds))), ",")
+    wide = fragment & (F.col("long_before") <= 6000) & (F.col("end_ms") - F.col("start_before") <= 8000)
+    wide = F.coalesce(wide, F.lit(False))
+    inside = (F.col("k") - F.when(wide, 1).otherwise(0) > 1) & F.col("after").isNotNull()
+    low = F.transform("variants", lambda x: F.lower(x))
+    rows = rows.withColumns({
+        "score": score, "reasons": reasons, "first_target": F.when(wide, F.col("id_before")).otherwise(F.col("seg_idx")),
+        "hotwords": F.slice(F.concat("variants", F.filter("known", lambda x: ~F.array_contains(low, F.lower(x)))), 1, 12),
+    })
+    rows = rows.where((F.col("score") >= 52) & (F.col("severe") | inside))
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "start_ms"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("video_id", "seg_idx", (F.col("score") / 100).alias("score"), "reasons")
+    out = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    return out.select("video_id", "seg_idx", "first_target", (F.col("score") / 100).alias("score"), "reasons", "hotwords")
 
 
 def thin_cuts(seg: DataFrame, evidence: DataFrame, least: float = 0.5, chars: int = 1, apart_ms: int = 80) -> DataFrame:

@@ -5,18 +5,23 @@ Every query reads the test tables in full. Integers come out as BIGINT, doubles
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.operators import canonical as C
 from cuemill.operators import joins as J
+from cuemill.operators import notes as N
 from cuemill.operators import repair as P
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
 from cuemill.operators import sequence as W
 from cuemill.operators import tables as T
+from cuemill.operators import typography as Y
 from cuemill.operators import verify as A
 from cuemill.plans import views as V
 from cuemill.sources import formats as R
@@ -157,9 +162,13 @@ def _(spark, d):
     return S.media_fingerprint(V.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("s11_same_media", "SELECT sha256(strlen(text) || ':' || h || ':' || h || ':' || h) AS fingerprint, strlen(text) AS n_bytes, min(doc_id) AS first_id, count(*) AS files FROM (SELECT *, hex(encode(text)) AS h FROM documents WHERE strlen(text) <= 65536) GROUP BY 1, 2 HAVING count(*) > 1")
+@query(
+    "s11_same_media",
+    """SELECT sha256(n || ':' || upper(substr(h, 1, 131072)) || ':' || upper(substr(h, 2 * (greatest(n - 65536, 0) // 2) + 1, 131072)) || ':' || upper(substr(h, 2 * greatest(n - 65536, 0) + 1, 131072))) AS fingerprint, n AS n_bytes,
+        min(doc_id) AS first_id, count(*) AS files FROM (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents) GROUP BY 1, 2 HAVING count(*) > 1""",
+)
 def _(spark, d):
-    return S.same_media(S.media_fingerprint(V.table(spark, d, "documents").where("octet_length(text) <= 65536"), "doc_id", "text"), "doc_id")
+    return S.same_media(S.media_fingerprint(V.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 # --- projections and filters -------------------------------------------------------------------------------------
@@ -435,26 +444,48 @@ def _(spark, d):
 @query(
     "w3_paragraphs",
     """WITH r AS (SELECT video_id, seg_idx, trim(text) AS t, start_ms, end_ms, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM seg WHERE trim(text) <> ''),
-        walk AS (SELECT *, 0::BIGINT AS bin, length(t) AS size FROM r WHERE k = 1 UNION ALL SELECT r.*, CASE WHEN r.start_ms - w.end_ms > 2500 OR size >= 220 THEN bin + 1 ELSE bin END, CASE WHEN r.start_ms - w.end_ms > 2500 OR size >= 220 THEN length(r.t) ELSE size + 1 + length(r.t) END
-        FROM walk w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1) SELECT video_id, bin, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(t, ' ' ORDER BY k) AS paragraph FROM walk GROUP BY 1, 2""",
+        walk AS (SELECT *, 0::BIGINT AS bin, length(t) AS size FROM r WHERE k = 1 UNION ALL SELECT r.*, CASE WHEN r.start_ms - w.end_ms > 2500 OR size >= 220 THEN bin + 1 ELSE bin END, CASE WHEN r.start_ms - w.end_ms > 2500 OR size >= 220 THEN length(r.t) ELSE size + length(r.t) END
+        FROM walk w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1) SELECT video_id, bin, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN video_id % 3 = 0 THEN string_agg(t, '' ORDER BY k) ELSE string_agg(t, ' ' ORDER BY k) END AS paragraph FROM walk GROUP BY 1, 2""",
     "seg",
     recursive=True,
 )
 def _(spark, d):
-    return W.note_paragraphs(V.seg(spark, d))
+    return W.note_paragraphs(V.seg(spark, d).withColumn("profile", F.when(F.col("video_id") % 3 == 0, "Zh").otherwise("En")))
+
+
+def _profiled_lines(spark, d):
+    return V.line_seg(spark, d).withColumn("profile", F.when(F.col("video_id") % 3 == 0, "Zh").otherwise(X.language_profile(F.col("lang")))).withColumn("segment_id", F.concat_ws("-", "video_id", "seg_idx"))
+
+
+MERGED = """p AS (SELECT *, CASE WHEN video_id % 3 = 0 THEN 'Zh' WHEN lang = 'en' THEN 'En' ELSE 'Auto' END AS profile FROM line_seg),
+    r AS (SELECT video_id, seg_idx, trim(text) AS t, start_ms, end_ms, profile, profile = 'Zh' AS cjk, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM p),
+    walk AS (SELECT *, 0::BIGINT AS bin, length(t) AS size, start_ms AS s0 FROM r WHERE k = 1 UNION ALL SELECT r.*, CASE WHEN j THEN bin ELSE bin + 1 END, CASE WHEN j THEN size + CASE WHEN r.cjk THEN 0 ELSE 1 END + length(r.t) ELSE length(r.t) END, CASE WHEN j THEN s0 ELSE r.start_ms END
+    FROM (SELECT w.*, NOT regexp_matches(w.t, '[.?!。？！]["''”’)\\]】》]*$') AS open FROM walk w) w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1, LATERAL (SELECT w.open AND r.seg_idx % 5 <> 4 AND r.start_ms - w.end_ms BETWEEN 0 AND CASE r.profile WHEN 'En' THEN 420 WHEN 'Zh' THEN 520 ELSE 450 END
+        AND w.size + length(r.t) <= CASE WHEN r.cjk THEN 36 ELSE 120 END AND r.end_ms - w.s0 <= CASE WHEN r.cjk THEN 6500 ELSE 8000 END AS j)),
+    merged AS (SELECT video_id, min(seg_idx) AS seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS merged, CASE WHEN any_value(cjk) THEN string_agg(t, '' ORDER BY k) ELSE string_agg(t, ' ' ORDER BY k) END AS text FROM walk GROUP BY video_id, bin)"""
+
+
+def _merged(spark, d):
+    lines = _profiled_lines(spark, d)
+    evidence = lines.select("video_id", F.col("start_ms").alias("time_ms"), F.lit("strong_punctuation").alias("kind"), F.when(F.col("seg_idx") % 5 == 4, 0.9).otherwise(0.4).alias("confidence"))
+    return W.merge_adjacent(lines, evidence)
+
+
+@query("w12_merge_adjacent", f"WITH {MERGED} SELECT * FROM merged", "line_seg", recursive=True)
+def _(spark, d):
+    return _merged(spark, d).drop("parts", "profile")
 
 
 @query(
-    "w12_merge_adjacent",
-    """WITH r AS (SELECT video_id, seg_idx, trim(text) AS t, start_ms, end_ms, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM line_seg),
-        walk AS (SELECT *, 0::BIGINT AS bin, length(t) AS size, start_ms AS s0 FROM r WHERE k = 1 UNION ALL SELECT r.*, CASE WHEN j THEN bin ELSE bin + 1 END, CASE WHEN j THEN size + 1 + length(r.t) ELSE length(r.t) END, CASE WHEN j THEN s0 ELSE r.start_ms END
-        FROM (SELECT w.*, NOT regexp_matches(w.t, '[.?!。？！]["'')\\]”’]*$') AS open FROM walk w) w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1, LATERAL (SELECT w.open AND greatest(r.start_ms - w.end_ms, 0) <= 420 AND w.size + 1 + length(r.t) <= 120 AND r.end_ms - w.s0 <= 8000 AS j))
-        SELECT video_id, min(seg_idx) AS seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS merged, string_agg(t, ' ' ORDER BY k) AS text FROM walk GROUP BY video_id, bin""",
+    "w12_merge_log",
+    f"""WITH {MERGED}, n AS (SELECT *, min(seg_idx) OVER (PARTITION BY video_id, bin) AS head, row_number() OVER (PARTITION BY video_id, bin ORDER BY k) AS i FROM walk),
+        j AS (SELECT b.video_id, b.head AS seg_idx, b.t, b.cjk, CASE WHEN b.cjk THEN string_agg(a.t, '' ORDER BY a.k) ELSE string_agg(a.t, ' ' ORDER BY a.k) END AS l FROM n b JOIN n a ON a.video_id = b.video_id AND a.bin = b.bin AND a.i < b.i GROUP BY b.video_id, b.head, b.k, b.t, b.cjk)
+        SELECT video_id, seg_idx, 'boundary' AS stage, 'merge_boundary' AS operation, l || ' | ' || t AS before, l || CASE WHEN cjk THEN '' ELSE ' ' END || t AS after, 'short_gap_without_sentence_terminal' AS rule_id, 0.88::DOUBLE AS confidence FROM j""",
     "line_seg",
     recursive=True,
 )
 def _(spark, d):
-    return W.merge_adjacent(V.line_seg(spark, d))
+    return W.merge_log(_merged(spark, d))
 
 
 @query("w4_pauses", f"WITH {PAUSES} SELECT * FROM pauses", "speech")
@@ -503,9 +534,11 @@ def _(spark, d):
 
 @query(
     "w14_token_loops",
-    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, pos) - row_number() OVER (PARTITION BY video_id, token ORDER BY seg_idx, pos) AS island FROM (SELECT video_id, seg_idx, pos, CASE WHEN pos % 9 < 5 THEN 'la' ELSE token END AS token, start_ms // 10 AS start_ms, end_ms // 10 AS end_ms FROM tok))
-        SELECT video_id, min(seg_idx * 100000 + pos) // 100000 AS seg_idx, min(seg_idx * 100000 + pos) % 100000 AS pos, token, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n, string_agg((seg_idx * 100000 + pos)::VARCHAR, ',' ORDER BY seg_idx, pos) AS source_ids
-        FROM t GROUP BY video_id, token, island HAVING count(*) >= 4 AND max(end_ms) - min(start_ms) <= 1500""",
+    """WITH x AS (SELECT video_id, seg_idx, pos, CASE WHEN pos % 9 < 5 THEN 'la' ELSE token END AS token, start_ms // 10 AS start_ms, end_ms // 10 AS end_ms FROM tok),
+        t AS (SELECT *, row_number() OVER (PARTITION BY video_id, seg_idx ORDER BY pos) - row_number() OVER (PARTITION BY video_id, seg_idx, token ORDER BY pos) AS island FROM x),
+        r AS (SELECT *, count(*) OVER w AS size, min(start_ms) OVER w AS a, max(end_ms) OVER w AS b, min(pos) OVER w AS head, string_agg(pos::VARCHAR, ',') OVER (w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids FROM t WINDOW w AS (PARTITION BY video_id, seg_idx, token, island)),
+        l AS (SELECT *, size >= 4 AND b - a <= 1500 AS loop FROM r)
+        SELECT video_id, seg_idx, pos, token, start_ms, end_ms, CASE WHEN loop THEN b ELSE end_ms END AS span_end_ms, CASE WHEN loop THEN size ELSE 1 END AS n, CASE WHEN loop THEN ids ELSE pos::VARCHAR END AS source_ids FROM l WHERE NOT loop OR pos = head""",
     "tok",
 )
 def _(spark, d):
@@ -526,36 +559,41 @@ def _(spark, d):
 
 @query(
     "w18_anchors",
-    """WITH b AS (SELECT a.video_id, a.pos AS i, b.pos AS j FROM (SELECT * FROM tok WHERE seg_idx = 0) a JOIN (SELECT * FROM tok WHERE seg_idx = 1) b USING (video_id, token)), r AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, i - j ORDER BY i) AS island FROM b)
+    """WITH b AS (SELECT a.video_id * 1000 + a.seg_idx AS video_id, a.pos AS i, b.pos AS j FROM tok a JOIN tok b ON a.video_id = b.video_id AND b.seg_idx = a.seg_idx + 1 AND a.token = b.token), r AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, i - j ORDER BY i) AS island FROM b)
         SELECT video_id, min(i) AS i, min(j) AS j, count(*) AS n FROM r GROUP BY video_id, i - j, island HAVING count(*) >= 2""",
     "tok",
 )
 def _(spark, d):
+    """Every segment against the next one; a pair's key is the video and the left segment."""
     tok = V.tok(spark, d)
-    return W.anchors(tok.where("seg_idx = 0"), tok.where("seg_idx = 1"))
+    left = tok.select((F.col("video_id") * 1000 + F.col("seg_idx")).alias("video_id"), "token", "pos")
+    return W.anchors(left, tok.where("seg_idx > 0").select((F.col("video_id") * 1000 + F.col("seg_idx") - 1).alias("video_id"), "token", "pos"))
 
 
 @query(
     "w13_overlap",
-    r"""WITH r AS (SELECT video_id, seg_idx, u, lag(u) OVER w AS l, coalesce(start_ms <= lag(end_ms) OVER w + 300, FALSE) AS touch FROM (SELECT *, regexp_extract_all(lower(CASE WHEN seg_idx % 2 = 1 THEN coalesce(p, '') || ' ' || text ELSE text END), '([0-9a-z_]+|[^\s0-9a-z_!-/:-@\[-`{-~])', 1) AS u
-        FROM (SELECT *, array_to_string(string_split(lag(text) OVER (PARTITION BY video_id ORDER BY seg_idx), ' ')[-3:], ' ') AS p FROM seg)) WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)),
-        c AS (SELECT *, CASE WHEN touch THEN coalesce(list_max(list_filter(generate_series(1, least(len(l), len(u), 16)), lambda n: l[len(l) - n + 1:len(l)] = u[1:n] AND (n > 1 OR length(u[1]) >= 4))), 0) ELSE 0 END AS cut FROM r)
-        SELECT video_id, seg_idx, cut, array_to_string(u[cut + 1:len(u)], ' ') AS rest FROM c""",
+    r"""WITH x AS (SELECT *, CASE WHEN seg_idx % 4 = 3 THEN lag(text) OVER v WHEN seg_idx % 2 = 1 THEN coalesce(array_to_string(string_split(lag(text) OVER v, ' ')[-3:], ' '), '') || ' ' || text ELSE text END AS own FROM seg WINDOW v AS (PARTITION BY video_id ORDER BY seg_idx)),
+        r AS (SELECT video_id, seg_idx, start_ms, end_ms, regexp_extract_all(lower(own), '([0-9a-z_]+|[^\s0-9a-z_!-/:-@\[-`{-~])', 1) AS u, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM x),
+        walk AS (SELECT video_id, seg_idx, k, end_ms, u, u AS kept, 0::BIGINT AS cut FROM r WHERE k = 1 UNION ALL SELECT r.video_id, r.seg_idx, r.k, r.end_ms, r.u, r.u[c + 1:len(r.u)], c FROM walk w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1,
+        LATERAL (SELECT CASE WHEN r.start_ms <= w.end_ms + 300 AND len(w.kept) > 0 AND len(r.u) > 0 THEN coalesce(list_max(list_filter(generate_series(1, least(len(w.kept), len(r.u), 16)), lambda n: w.kept[len(w.kept) - n + 1:len(w.kept)] = r.u[1:n] AND (n > 1 OR length(r.u[1]) >= 4))), 0) ELSE 0 END AS c))
+        SELECT video_id, seg_idx, cut, array_to_string(kept, ' ') AS rest FROM walk""",
     "seg",
+    recursive=True,
 )
 def _(spark, d):
     w = Window.partitionBy("video_id").orderBy("seg_idx")
     before = F.array_join(F.slice(F.split(F.lag("text").over(w), " "), F.greatest(-F.size(F.split(F.lag("text").over(w), " ")), F.lit(-3)), F.lit(3)), " ")
-    seg = V.seg(spark, d).withColumn("p", before).withColumn("text", F.when(F.col("seg_idx") % 2 == 1, F.concat(X.text_of("p"), F.lit(" "), "text")).otherwise(F.col("text")))
+    seg = V.seg(spark, d).withColumn("p", before).withColumn("text", F.when(F.col("seg_idx") % 4 == 3, F.lag("text").over(w)).when(F.col("seg_idx") % 2 == 1, F.concat(X.text_of("p"), F.lit(" "), "text")).otherwise(F.col("text")))
     return W.dedupe_overlap(seg)
 
 
-@query("w21_near_dups", "SELECT video_id, seg_idx FROM seg UNION ALL SELECT video_id, seg_idx FROM seg WHERE seg_idx % 3 <> 1", "seg")
+@query("w21_near_dups", "SELECT video_id, seg_idx, copy FROM seg, (SELECT unnest([0, 1, 2]) AS copy) WHERE copy <> 1 OR seg_idx % 3 <> 1", "seg")
 def _(spark, d):
-    seg = V.seg(spark, d)
-    twin = seg.withColumn("start_ms", F.col("start_ms") + F.when(F.col("seg_idx") % 3 == 1, 60).otherwise(500))
-    both = seg.withColumn("seg_idx", F.col("seg_idx") * 2).unionByName(twin.withColumn("seg_idx", F.col("seg_idx") * 2 + 1))
-    return W.drop_near_duplicates(both).select("video_id", F.floor(F.col("seg_idx") / 2).alias("seg_idx"))
+    """A copy at 60 ms goes where it is that near; one at 150 ms stays, measured from the last one kept."""
+    copies = V.seg(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("own", F.col("seg_idx"))
+    late = F.when(F.col("own") % 3 == 1, F.element_at(F.array(F.lit(0), F.lit(60), F.lit(150)), F.col("copy") + 1)).otherwise(F.col("copy") * 130)
+    near = copies.withColumn("start_ms", F.col("start_ms") + late)
+    return W.drop_near_duplicates(near.withColumn("seg_idx", F.col("own") * 3 + F.col("copy"))).select("video_id", F.col("own").alias("seg_idx"), "copy")
 
 
 @query("w22_monotone", "SELECT video_id, seg_idx, pos, max(s) OVER (PARTITION BY video_id ORDER BY seg_idx, pos) AS start_ms FROM (SELECT *, start_ms - CASE WHEN pos % 4 = 3 THEN 900 ELSE 0 END AS s FROM tok)", "tok")
@@ -588,7 +626,8 @@ def _(spark, d):
 @query("w20_suspicions")
 def _(spark, d):
     lines = V.line_seg(spark, d)
-    return W.suspicions(lines, S.surface_health(lines))
+    names = P.entity_candidates(lines).select("video_id", "seg_idx", "normalized").distinct()
+    return W.suspicions(lines, S.surface_health(lines), P.entity_memory(lines), names)
 
 
 @query(
@@ -636,10 +675,10 @@ def _(spark, d):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("k2_vector_topk", "SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5) WHERE score > 0) WHERE rank <= 40")
+@query("k2_vector_topk", "SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE score > 0) WHERE rank <= 40")
 def _(spark, d):
     vectors = V.table(spark, d, "embeddings")
-    return K.vector_topk(vectors.where("vec_id < 5"), vectors)
+    return K.vector_topk(vectors.where("vec_id % 50 = 0"), vectors)
 
 
 @query("k3_bm25", f"WITH {CHUNKS}, {BM25} SELECT * FROM lexr", "seg", recursive=True)
@@ -647,7 +686,19 @@ def _(spark, d):
     return K.bm25_topk(_queries(spark, d), W.chunk_segments(V.seg(spark, d)))
 
 
-@query("k6_hybrid_search")
+VEC = f"""qt AS (SELECT query_id, video_id, unnest(regexp_extract_all(lower(query), '{_RX}', 1)) AS token FROM q), hb AS (SELECT token, ({FNV} % 256)::BIGINT AS bucket FROM (SELECT token FROM words UNION SELECT token FROM qt)),
+    qb AS (SELECT query_id, video_id, bucket, count(*) AS n FROM qt JOIN hb USING (token) GROUP BY ALL), qw AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY query_id, video_id)) AS w FROM qb),
+    cb AS (SELECT video_id, chunk_idx, bucket, count(*) AS n FROM words JOIN hb USING (token) GROUP BY ALL), cw AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY video_id, chunk_idx)) AS w FROM cb),
+    vec AS (SELECT query_id, qw.video_id, chunk_idx, round(sum(qw.w * cw.w), 6) AS score FROM qw JOIN cw USING (video_id, bucket) GROUP BY ALL),
+    vecr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) AS rank FROM vec WHERE score > 0) WHERE rank <= 40),
+    fused AS (SELECT query_id, video_id, chunk_idx, round(sum(1 / (rank + 60)), 9) AS score FROM (SELECT query_id, video_id, chunk_idx, rank FROM lexr UNION ALL SELECT query_id, video_id, chunk_idx, rank FROM vecr) GROUP BY ALL),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) AS rank FROM fused) WHERE rank <= 5),
+    parts AS (SELECT top.*, c.start_ms AS chunk_start_ms, c.text AS snippet, ids[i] AS segment_id, i AS place, query FROM top JOIN (SELECT *, string_split(segment_ids, ',') AS ids, unnest(generate_series(1, len(string_split(segment_ids, ',')))) AS i FROM chunks) c USING (video_id, chunk_idx) JOIN q USING (query_id)),
+    known AS (SELECT p.*, contains(lower(s.text), trim(lower(query))) OR contains(lower(coalesce(s.translated_text, '')), trim(lower(query))) AS whole,
+        len(list_intersect(list_distinct(regexp_extract_all(lower(query), '{_RX}', 1)), regexp_extract_all(lower(s.text), '{_RX}', 1))) + len(list_intersect(list_distinct(regexp_extract_all(lower(query), '{_RX}', 1)), regexp_extract_all(lower(coalesce(s.translated_text, '')), '{_RX}', 1))) AS words FROM parts p JOIN seg s USING (segment_id))"""
+
+
+@query("k6_hybrid_search", f"WITH {CHUNKS}, {BM25}, {VEC} SELECT query_id, video_id, chunk_idx, score, rank, chunk_start_ms, snippet, arg_max(segment_id, (whole::INT, CASE WHEN whole THEN 0 ELSE words END, -place)) AS best_segment_id FROM known GROUP BY ALL", "seg", recursive=True)
 def _(spark, d):
     seg = V.seg(spark, d)
     return K.hybrid_search(_queries(spark, d), W.chunk_segments(seg), seg)
@@ -754,11 +805,11 @@ def _(spark, d):
 # --- repair, verification, memory --------------------------------------------------------------------------------
 
 
-@query("t6_spoken_numbers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '共12.5元和' || '30%' WHEN doc_id % 3 = 1 THEN '二百五和 ' || doc_id || '.5' ELSE text END AS text FROM documents")
+@query("t6_spoken_numbers", r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '共12.5元和30% ' WHEN 1 THEN '二百五和 ' || doc_id || '.5 ' ELSE '' END || regexp_replace(text, '(\d+)\s*\.\s*(\d+)', '\1.\2', 'g') AS text FROM documents")
 def _(spark, d):
-    text = F.when(F.col("doc_id") % 3 == 0, "共十二点五元和百分之三十").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("二百五和 "), "doc_id", F.lit(" . 5"))).otherwise(F.col("text"))
-    docs = V.table(spark, d, "documents").select("doc_id", text.alias("text"), (F.col("doc_id") % 3).alias("k"), F.col("text").alias("own"))
-    return P.normalise_numbers(docs).select("doc_id", F.when(F.col("k") == 2, F.col("own")).otherwise(F.col("text")).alias("text"))
+    """Whole texts, two thirds of them behind a phrase of spoken numbers."""
+    head = F.when(F.col("doc_id") % 3 == 0, "共十二点五元和百分之三十 ").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("二百五和 "), "doc_id", F.lit(" . 5 "))).otherwise("")
+    return P.normalise_numbers(V.table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", "text")
 
 
 @query("t9_punctuation", "SELECT video_id, seg_idx, CASE WHEN k <= 0 OR k >= length(text) OR regexp_matches(text[1:k], '[.?!。？！]\\s*$') THEN text ELSE regexp_replace(text[1:k], '[,;:，；：、]?\\s*$', '.') || text[k + 1:length(text)] END AS text FROM (SELECT *, CASE WHEN seg_idx % 2 = 0 THEN length(text) // 2 ELSE 0 END AS k FROM seg)", "seg")
@@ -786,29 +837,35 @@ def _(spark, d):
     return c.select("conv_id", "turn", X.clean_asr(F.concat(F.lit("<|zh|>[S01] [0.00] "), "text", F.lit(" [12.5]<|end|>"))).alias("clean"))
 
 
-@query("t14_json_objects", "SELECT conv_id, turn, '{\"a\": {\"t\": \"}\"}, \"n\": ' || turn || '}' AS json FROM conversations")
+@query("t14_json_objects", """SELECT conv_id, turn, '{"a":{"t":' || to_json(text) || '},"n":' || turn || '}' AS json FROM conversations""")
 def _(spark, d):
-    noisy = F.concat(F.lit("Sure {x} here: ```json\n"), F.lit('{"a": {"t": "}"}, "n": '), F.col("turn").cast("string"), F.lit("}\n``` end"))
+    own = F.to_json(F.struct(F.struct(F.col("text").alias("t")).alias("a"), F.col("turn").alias("n")))
+    noisy = F.concat(F.lit("Sure {x} here: ```json\n"), own, F.lit("\n``` end"))
     return P.extract_json(V.table(spark, d, "conversations").select("conv_id", "turn", noisy.alias("raw")), "raw").select("conv_id", "turn", "json")
 
 
-@query("t16_pair_metrics", "SELECT video_id, seg_idx, round(least(n // 5, n) / greatest(n, 1), 6)::DOUBLE AS edit_ratio, round((n - n // 5) / greatest(n, 1), 6)::DOUBLE AS size_ratio, n // 5 = 0 AS equivalent FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2)", "tok")
+KEPT = "CASE WHEN seg_idx % 3 = 2 THEN (n + 3) // 4 ELSE n - n // 5 END"
+
+
+@query("t16_pair_metrics", f"SELECT video_id, seg_idx, round((n - m) / n, 6)::DOUBLE AS edit_ratio, round(m / n, 6)::DOUBLE AS size_ratio, n = m AS equivalent, round(m / n, 6)::DOUBLE AS context FROM (SELECT *, {KEPT} AS m FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2))", "tok")
 def _(spark, d):
-    return P.pair_metrics(_verdict_pairs(spark, d)).select("video_id", "seg_idx", "edit_ratio", "size_ratio", "equivalent")
+    return A.context_share(P.pair_metrics(_verdict_pairs(spark, d))).select("video_id", "seg_idx", "edit_ratio", "size_ratio", "equivalent", "context")
 
 
 def _verdict_pairs(spark, d):
+    """Every text, and the same without each fifth word, or with each fourth only."""
     words = V.seg(spark, d).withColumn("w", X.tokens(F.col("text"))).where(F.size("w") > 0)
-    return words.select("video_id", "seg_idx", F.array_join("w", " ").alias("first_pass"), F.array_join(F.filter("w", lambda x, i: i % 5 != 4), " ").alias("observed"))
+    few = F.col("seg_idx") % 3 == 2
+    kept = F.filter("w", lambda x, i: F.when(few, i % 4 == 0).otherwise(i % 5 != 4))
+    return words.select("video_id", "seg_idx", F.array_join("w", " ").alias("first_pass"), F.array_join(kept, " ").alias("observed"))
 
 
-GATE = "SELECT video_id, seg_idx, CASE WHEN n // 5 = 0 AND safe THEN 'VERIFIED' WHEN safe AND n // 5 <= 0.55 * n THEN 'CORRECTED' ELSE 'UNCERTAIN' END AS decision FROM (SELECT *, seg_idx % 3 <> 2 AND seg_idx % 4 <> 3 AS safe FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2))"
+GATE = f"SELECT video_id, seg_idx, CASE WHEN n = m AND safe THEN 'VERIFIED' WHEN safe AND n - m <= 0.55 * n THEN 'CORRECTED' ELSE 'UNCERTAIN' END AS decision FROM (SELECT *, m >= 0.4 * n AND seg_idx % 4 <> 3 AS safe FROM (SELECT *, {KEPT} AS m FROM (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2)))"
 
 
 def _verdicts(spark, d):
-    metrics = P.pair_metrics(_verdict_pairs(spark, d))
-    i = F.col("seg_idx")
-    return P.safety_gate(metrics.withColumns({"time_grounded": i % 4 != 3, "text_aligned": F.lit(False), "coverage": F.lit(0.9), "context": F.when(i % 3 == 2, 0.2).otherwise(0.8)}))
+    metrics = A.context_share(P.pair_metrics(_verdict_pairs(spark, d)))
+    return P.safety_gate(metrics.withColumns({"time_grounded": F.col("seg_idx") % 4 != 3, "text_aligned": F.lit(False), "coverage": F.lit(0.9)}))
 
 
 @query("t18_safety_gate", GATE, "tok")
@@ -834,11 +891,14 @@ def _(spark, d):
     return P.entity_memory(V.line_seg(spark, d))
 
 
-@query("a12_key_points", "SELECT doc_id, array_to_string(list_filter([trim(string_split(text, chr(10))[1]), trim(string_split(text, chr(10))[2])], lambda x: x IS NOT NULL AND x <> '')[1:CASE WHEN trim(string_split(text, chr(10))[1]) = trim(string_split(text, chr(10))[2]) THEN 1 ELSE 2 END], '|') AS points FROM documents")
+@query(
+    "a12_key_points",
+    r"""WITH l AS (SELECT doc_id, i, trim(regexp_replace(parts[i], '^\s*(?:[-*•·]|\d+[.)、])\s*', '')) AS p FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+        f AS (SELECT doc_id, p, min(i) AS i FROM l WHERE p <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
+        SELECT d.doc_id, coalesce(string_agg(p, '|' ORDER BY k) FILTER (k <= 10), '') AS points FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1""",
+)
 def _(spark, d):
-    lines = F.slice(F.split("text", "\n"), 1, 2)
-    twice = F.concat(F.transform(lines, lambda x: F.concat(F.lit(" - "), x)), lines, F.array(F.lit("2) "), F.lit("  ")))
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(P.merge_points(twice), "|").alias("points"))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(P.merge_points(F.split("text", "\n")), "|").alias("points"))
 
 
 @query("j10_match_results", "WITH k AS (SELECT video_id, source_url, rtrim(regexp_replace(lower(source_url), '[?#].*$', ''), '/') AS key FROM video), r AS (SELECT page_id AS result_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN url || '#z' ELSE 'https://nowhere.org/' END AS url FROM pages) SELECT result_id, coalesce(u, v) AS video_id, CASE WHEN u IS NOT NULL THEN 'url' WHEN v IS NOT NULL THEN 'key' END AS matched_by FROM r LEFT JOIN (SELECT source_url AS url, min(video_id) AS u FROM k GROUP BY 1) USING (url) LEFT JOIN (SELECT key, min(video_id) AS v FROM k GROUP BY 1) x ON x.key = rtrim(regexp_replace(lower(r.url), '[?#].*$', ''), '/')", "video")
@@ -868,15 +928,21 @@ def _(spark, d):
     return P.clean_chapters(seg.select("video_id", F.col("seg_idx").alias("start_idx"), F.concat(F.lit("Part "), F.floor(F.col("seg_idx") / 2)).alias("title"), F.col("text").alias("content")), seg)
 
 
-@query("w15_acronyms", "SELECT video_id, CASE WHEN seg_idx % 2 = 0 THEN 'NASA' ELSE 'ABCDEF' END AS acronym, seg_idx * 100000 AS start_ms, seg_idx * 100000 + CASE WHEN seg_idx % 2 = 0 THEN 390 ELSE 590 END AS end_ms FROM seg", "seg")
+@query(
+    "w15_acronyms",
+    """WITH w AS (SELECT video_id, upper(token) AS t, seg_idx * 10000000 + pos * 10000 AS t0 FROM tok WHERE regexp_matches(token, '^[a-z]+$')), p AS (SELECT *, unnest(generate_series(0, (length(t) - 1) // 6)) AS k FROM w)
+        SELECT video_id, substr(t, k * 6 + 1, 6) AS acronym, t0 + k * 600 AS start_ms, t0 + (k * 6 + length(substr(t, k * 6 + 1, 6)) - 1) * 100 + 90 AS end_ms FROM p WHERE length(substr(t, k * 6 + 1, 6)) >= 3""",
+    "tok",
+)
 def _(spark, d):
-    word = F.when(F.col("seg_idx") % 2 == 0, "nasa").otherwise("abcdefgh")
-    rows = V.seg(spark, d).select("video_id", "seg_idx", F.posexplode(F.split(word, "")).alias("pos", "token"))
-    start = F.col("seg_idx") * 100_000 + F.col("pos") * 100
-    return W.stitch_acronyms(rows.select("video_id", "seg_idx", F.col("pos").cast("long").alias("pos"), "token", start.alias("start_ms"), (start + 90).alias("end_ms")))
+    """Every word of the table spelt letter by letter."""
+    words = V.tok(spark, d).where(F.col("token").rlike("^[a-z]+$"))
+    rows = words.select("video_id", "seg_idx", F.col("pos").alias("word"), F.posexplode(F.split("token", "")).alias("k", "token"))
+    start = F.col("seg_idx") * 10_000_000 + F.col("word") * 10_000 + F.col("k") * 100
+    return W.stitch_acronyms(rows.select("video_id", "seg_idx", (F.col("word") * 1000 + F.col("k")).alias("pos"), "token", start.alias("start_ms"), (start + 90).alias("end_ms")))
 
 
-@query("t19_keep_surface", "SELECT video_id, seg_idx, CASE WHEN n * n > 40000 THEN lower(text) ELSE text END AS kept FROM seg JOIN (SELECT video_id, seg_idx, count(*) AS n FROM tok GROUP BY 1, 2) USING (video_id, seg_idx)", "tok")
+@query("t19_keep_surface", "SELECT video_id, seg_idx, text AS kept FROM seg WHERE len(regexp_extract_all(lower(text), '([0-9a-z_]+|[^\\s0-9a-z_!-/:-@\\[-`{-~])', 1)) > 0", "seg")
 def _(spark, d):
     pairs = V.seg(spark, d).where(F.size(X.tokens(F.col("text"))) > 0)
     return A.keep_surface(pairs.select("video_id", "seg_idx", F.col("text").alias("first_pass"), F.lower("text").alias("observed"))).select("video_id", "seg_idx", "kept")
@@ -926,3 +992,103 @@ def _(spark, d):
     places = seg.select("video_id", "seg_idx", "start_ms", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("char_offset"))
     evidence = places.select("video_id", "seg_idx", "char_offset", (F.col("start_ms") + F.col("char_offset") * 37).alias("time_ms"), F.when(F.col("char_offset") % 7 < 3, 0.7).otherwise(0.4).alias("confidence"))
     return W.thin_cuts(seg, evidence)
+
+
+@query("t3_embedded", "SELECT doc_id, round(a / n, 6)::DOUBLE AS a, round(e / n, 6)::DOUBLE AS e, round(o / n, 6)::DOUBLE AS o FROM (SELECT *, sqrt(a * a + e * e + o * o) AS n FROM (SELECT doc_id, " + ", ".join(f"1 + length(text) - length(replace(text, '{c}', '')) AS {c}" for c in "aeo") + " FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''))")
+def _(spark, d):
+    """A batch function that counts three vowels stands for a model."""
+    docs = V.table(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", "text")
+    out = K.embed_corpus(docs, "text", lambda texts: [[1 + t.count(c) for c in "aeo"] for t in texts], 3)
+    return out.select("doc_id", *(F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate("aeo")))
+
+
+@query("t4_postings", f"WITH {CHUNKS}, words AS (SELECT video_id, chunk_idx, unnest(regexp_extract_all(lower(text), '{_RX}', 1)) AS token FROM chunks), len AS (SELECT video_id, chunk_idx, count(*) AS length FROM words GROUP BY ALL) SELECT video_id, chunk_idx, token, count(*) AS tf, any_value(length) AS length FROM words JOIN len USING (video_id, chunk_idx) GROUP BY ALL", "seg", recursive=True)
+def _(spark, d):
+    return K.build_index(W.chunk_segments(V.seg(spark, d)))[0]
+
+
+def _shared(spark, name):
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/cuemill-{name}-{uuid.uuid4().hex}"
+
+
+@query("i7_reindex", f"WITH {CHUNKS} SELECT video_id, chunk_idx, array_to_string(regexp_extract_all(lower(text), '{_RX}', 1), ' ') || CASE WHEN video_id % 3 = 1 THEN ' again' ELSE '' END AS content FROM chunks WHERE video_id % 3 <> 2", "seg", recursive=True)
+def _(spark, d):
+    """All videos are indexed; then a third of them change and a third lose their transcripts."""
+    path, chunks = _shared(spark, "index"), W.chunk_segments(V.seg(spark, d))
+    ids = chunks.select("video_id").distinct()
+    K.reindex(path, chunks, ids)
+    changed = chunks.where("video_id % 3 = 1").withColumn("text", F.concat("text", F.lit(" again")))
+    K.reindex(path, changed, ids.where("video_id % 3 <> 0"))
+    return K.read_index(spark, path).select("video_id", "chunk_idx", "content")
+
+
+@query("t8_typography")
+def _(spark, d):
+    return Y.typography(_loud_lines(spark, d)).select("video_id", "seg_idx", "text", "before", "operation", "rule_id")
+
+
+def _loud_lines(spark, d):
+    """Lines, each third one in capitals, with names and addresses in between."""
+    text = F.when(F.col("seg_idx") % 3 == 1, F.upper("text")).otherwise(F.concat(F.lit("we met Gray of CLTC; "), "text"))
+    return _profiled_lines(spark, d).withColumn("profile", X.language_profile(F.col("lang"))).withColumn("text", text)
+
+
+@query(
+    "t15_notes",
+    """WITH d AS (SELECT video_id, seg_idx, trim(text) AS t, seg_idx // 4 AS part, start_ms FROM seg), p AS (SELECT video_id, part, count(*) AS n FROM d GROUP BY 1, 2), v AS (SELECT video_id, count(*) AS parts FROM p GROUP BY 1)
+        SELECT video_id, CASE WHEN parts = 1 THEN (SELECT substr('Part 0 of ' || d.t, 1, 2000) FROM d WHERE d.video_id = v.video_id AND d.seg_idx = 0) ELSE 'All of ' || video_id END AS summary,
+        CASE WHEN parts = 1 THEN 'point 0' ELSE 'merged|points' END AS points, (SELECT string_agg(start_ms || ' C' || seg_idx, '|' ORDER BY start_ms) FROM d WHERE d.video_id = v.video_id AND seg_idx % 4 = 0) AS chapters FROM v""",
+    "seg",
+)
+def _(spark, d):
+    """One draft for four segments, its chapter given twice by the segment's number, the points with bullets."""
+    seg = V.seg(spark, d).withColumn("part", F.floor(F.col("seg_idx") / 4))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "start_ms", F.trim("text").alias("t")))), lambda x: x)
+    parts = seg.groupBy("video_id", "part").agg(rows.alias("s"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    first = F.get("s", F.lit(0))
+    chapter = F.struct(F.lit(1).cast("long").alias("start_id"), F.lit(None).cast("long").alias("timestamp_ms"), F.concat(F.lit(" C"), first["seg_idx"].cast("string"), F.lit(" ")).alias("title"), F.lit("what it says").alias("content"))
+    drafts = parts.select(
+        "video_id", "part", F.concat(F.lit("  Part "), F.col("part").cast("string"), F.lit(" of "), first["t"]).alias("summary"),
+        F.array(F.concat(F.lit(" - point "), F.col("part").cast("string")), F.concat(F.lit("2) point "), F.col("part").cast("string")), F.lit(" ")).alias("key_points"), F.array(chapter, chapter).alias("chapters"),
+    )
+    batches = parts.select("video_id", "part", "start_ms", "end_ms", F.transform("s", lambda x: x["start_ms"]).alias("starts"))
+    merged = parts.select("video_id").distinct().select("video_id", F.concat(F.lit("All of "), "video_id").alias("summary"), F.array(F.lit("merged"), F.lit("points"), F.lit("merged")).alias("key_points"))
+    notes = N.merge_notes(N.normalize_drafts(drafts, batches), merged)
+    chapters = F.array_join(F.transform("chapters", lambda c: F.concat(c["timestamp_ms"].cast("string"), F.lit(" "), c["title"])), "|")
+    return notes.select("video_id", "summary", F.array_join("key_points", "|").alias("points"), chapters.alias("chapters"))
+
+
+@query("w19_bridges")
+def _(spark, d):
+    """Neighbours whose cut is spoilt, and a bridge that has both sides whole."""
+    w = Window.partitionBy("video_id").orderBy("seg_idx")
+    rows = V.seg(spark, d).select("video_id", "seg_idx", F.col("text").alias("l"), F.lead("text").over(w).alias("r")).where("r is not null")
+    pairs = rows.select("video_id", "seg_idx", F.concat("l", F.lit(" zq")).alias("left"), F.concat(F.lit("qz "), "r").alias("right"), F.concat("l", F.lit(". "), "r").alias("bridge"))
+    return A.bridge_rewrite(pairs).select("video_id", "seg_idx", "new_left", "new_right", "matched")
+
+
+@query("t21_word_times")
+def _(spark, d):
+    """The words of each segment against a table of timed words that misses some and misspells others."""
+    tok = V.tok(spark, d)
+    word = F.when(F.col("pos") % 4 == 1, F.concat("token", F.lit("x"))).otherwise(F.col("token"))
+    timed = tok.where("pos % 6 <> 5").select("video_id", "seg_idx", F.col("pos").alias("at"), word.alias("word"), "start_ms", "end_ms")
+    return A.align_words(V.seg(spark, d), timed)
+
+
+def _canonical(spark, d):
+    lines = _loud_lines(spark, d)
+    half = F.floor(F.length("text") / 2)
+    punctuation = lines.where("seg_idx % 7 = 3").select("video_id", "seg_idx", half.alias("char_offset"), F.lit(0.9).alias("confidence"))
+    return C.canonicalize_corpus(lines, {"punctuation": punctuation})
+
+
+@query("t23_canonical")
+def _(spark, d):
+    return _canonical(spark, d)[0]
+
+
+@query("t23_log")
+def _(spark, d):
+    return _canonical(spark, d)[1]

@@ -121,7 +121,7 @@ def read_search_results(bodies: DataFrame) -> DataFrame:
     item = "array<struct<bvid:string,title:string,author:string,pic:string,duration:string,play:bigint,pubdate:bigint>>"
     rows = bodies.select("page", F.posexplode(F.from_json("body", f"struct<data:struct<result:{item}>>")["data"]["result"]).alias("at", "r")).where("coalesce(r.bvid, '') <> ''")
     pic = X.text_of(F.col("r.pic"))
-    cover = F.when(pic.startswith("//"), F.concat(F.lit("https:"), pic)).when(pic.startswith("http://"), F.concat(F.lit("https://"), F.substring(pic, 8, 10_000))).otherwise(pic)
+    cover = F.when(pic.startswith("//"), F.concat(F.lit("https:"), pic)).when(pic.startswith("http://"), F.regexp_replace(pic, "^http://", "https://")).otherwise(pic)
     return rows.select(
         "page", F.col("at").cast("long").alias("at"), F.col("r.bvid").alias("id"), X.strip_html(F.col("r.title")).alias("title"), F.col("r.author").alias("author"), cover.alias("cover"),
         F.concat(F.lit("https://www.bilibili.com/video/"), F.col("r.bvid")).alias("url"), X.play_count(F.coalesce("r.play", F.lit(0))).alias("plays"), X.china_date(F.coalesce("r.pubdate", F.lit(0))).alias("published"),

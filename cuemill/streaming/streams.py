@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from cuemill.functions import text as X
+from cuemill.operators.verify import stitch_onto
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CUES = "video_id long, cue long, start_ms long, end_ms long, text string"
@@ -96,23 +97,19 @@ def cue_stream(lines: DataFrame) -> DataFrame:
 
 
 class StitchProcessor(StatefulProcessor):
-    """Cues of a video without repeats of its last six texts within 1.2 s; starts never fall back."""
+    """Cues stitched onto the last six of their video, which are the state: the step of ``verify.stitch_chunks``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", "texts array<string>, end_ms long, start_ms long")
+        self.state = handle.getValueState("tail", "starts array<double>, ends array<double>, texts array<string>")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        texts, end, start = self.state.get() if self.state.exists() else ([], -(10**9), 0)
-        out, texts = [], list(texts)
-        for r in pd.concat(list(rows)).sort_values(["cue"]).itertuples(index=False):
-            text = r.text.strip()
-            if not text or (r.start_ms - end <= 1200 and any(text in t for t in texts)):
-                continue
-            start = max(start, int(r.start_ms))
-            end = max(start, int(r.end_ms))
-            texts = [*texts, text][-6:]
-            out.append((key[0], int(r.cue), start, end, text))
-        self.state.update((texts, end, start))
+        starts, ends, texts = self.state.get() if self.state.exists() else ([], [], [])
+        tail, out = list(zip(starts, ends, texts, strict=True)), []
+        for r in pd.concat(list(rows)).sort_values("cue").itertuples(index=False):
+            for start, end, text in stitch_onto(tail, [(r.start_ms / 1000, r.end_ms / 1000, r.text or "")]):
+                tail = [*tail, (start, end, text)][-6:]
+                out.append((key[0], int(r.cue), round(start * 1000), round(end * 1000), text))
+        self.state.update(([x[0] for x in tail], [x[1] for x in tail], [x[2] for x in tail]))
         yield pd.DataFrame(out, columns=["video_id", "cue", "start_ms", "end_ms", "text"])
 
     def close(self) -> None:
