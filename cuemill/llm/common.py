@@ -18,11 +18,16 @@ BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors both see.
+    """A new folder that driver and executors both see, inside the open ``scratch`` folder if there is one.
 
     The place comes from ``spark.checkpoint.dir``; a session without it (local tests) gets a temporary folder.
     """
+    if _scratch:
+        return f"{_scratch[-1]}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -30,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cuemill-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is pinned in the block is deleted at its end; gives a folder beside it for the result, which stays."""
+    kept, folder = shared_dir(spark), shared_dir(spark)
+    _scratch.append(folder)
+    try:
+        yield kept
+    finally:
+        _scratch.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it back, which cuts its lineage.
 

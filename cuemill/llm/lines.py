@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import join_small, mix, pin, small_batches
+from cuemill.llm.common import join_small, mix, pin, scratch, small_batches
 from cuemill.llm.components import connected_components
 
 BANDS, ROWS = 16, 5
@@ -253,13 +253,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = lines.where(F.col("line").rlike(r"\S"))
     keyed = full.select(_key(norm).alias("key"), norm.alias("norm"), spot.alias("spot"))
     grouped = keyed.groupBy("key").agg(F.first("norm").alias("norm"), F.min("spot").alias("spot"), F.count(F.lit(1)).alias("n"))
-    distinct = pin(grouped.withColumn("lid", F.monotonically_increasing_id()))
-    texts = distinct.select("lid", "norm")
-    found = near_components(sign_lines(texts), texts, shingle_set)
-    named = distinct.select("lid", "key", "spot", "n").join(found.withColumnRenamed("node", "lid"), "lid", "left")
-    named = pin(named.select("key", "spot", "n", F.coalesce("component", "lid").alias("component")))
-    first = named.groupBy("component").agg(F.min("spot").alias("class"), F.sum("n").alias("class_size"))
-    classes = pin(named.select("key", "component").join(first, "component").select("key", "class", "class_size"))
+    with scratch(docs.sparkSession) as kept:
+        distinct = pin(grouped.withColumn("lid", F.monotonically_increasing_id()))
+        texts = distinct.select("lid", "norm")
+        found = near_components(sign_lines(texts), texts, shingle_set)
+        named = distinct.select("lid", "key", "spot", "n").join(found.withColumnRenamed("node", "lid"), "lid", "left")
+        named = pin(named.select("key", "spot", "n", F.coalesce("component", "lid").alias("component")))
+        first = named.groupBy("component").agg(F.min("spot").alias("class"), F.sum("n").alias("class_size"))
+        classes = pin(named.select("key", "component").join(first, "component").select("key", "class", "class_size"), kept)
     blank = ~F.col("line").rlike(r"\S")
     # blank lines find no class; a key from their place keeps them from meeting in one task
     key = F.when(blank, F.unhex(F.sha1(F.concat_ws(" ", F.col("id").cast("string"), "line_no").cast("binary")))).otherwise(_key(norm))

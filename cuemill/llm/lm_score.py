@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import blocks, mix, pin, shuffle_partitions, small_batches, words_of
+from cuemill.llm.common import blocks, mix, pin, scratch, shuffle_partitions, small_batches, words_of
 from cuemill.llm.suffix import by_bucket, chunk_rows, chunked, pack, unpack
 
 #: Weight of the bigram estimate.
@@ -159,6 +159,12 @@ def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", tex
     counts as not in the target. Rows that repeat an identifier are scored each, and identifiers of any type come back
     as they were. An empty table gives an empty table; other columns are not read.
     """
+    with scratch(docs.sparkSession) as kept:
+        return _scored(docs, target, id_col, text_col, kept).withColumnRenamed("id", id_col)
+
+
+def _scored(docs: DataFrame, target: Column, id_col: str, text_col: str, path: str) -> DataFrame:
+    """The rows of ``score_documents``, written to ``path``."""
     source = docs.select(F.lit(0).alias("place"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target"))
     kind = dict(source.dtypes)["id"]
     chunks = chunked(source, "place", "text", ["id", "target"], CHUNK_BYTES)
@@ -185,5 +191,4 @@ def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", tex
 
     joined = chunks.join(parts, "chunk", "left").select("chunk", "sizes", "body", "rest", "parts")
     with small_batches(docs.sparkSession, 1):
-        out = pin(joined.mapInArrow(run, f"id {kind}, n_words long, target_loss double, background_loss double, score double"))
-    return out.withColumnRenamed("id", id_col)
+        return pin(joined.mapInArrow(run, f"id {kind}, n_words long, target_loss double, background_loss double, score double"), path)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import BYTE_CODES, mix, pin, shuffle_partitions, small_batches, utf8
+from cuemill.llm.common import BYTE_CODES, mix, pin, scratch, shuffle_partitions, small_batches, utf8
 
 THRESHOLD = 50
 #: Text bytes of one chunk, unless a single document is longer, and of one bucket.
@@ -470,7 +470,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts as larger than all others; documents with equal identifiers do not remove from each other. Texts shorter
     than the threshold stay whole. An empty table gives an empty table.
     """
-    depth = Depth(threshold)
+    with scratch(docs.sparkSession) as kept:
+        out = _without_repeats(docs, id_col, text_col, Depth(threshold), keep_columns, kept)
+    return out.withColumnRenamed("id", id_col) if keep_columns else out.drop("rest").withColumnRenamed("id", id_col)
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, depth: Depth, keep_columns: bool, path: str) -> DataFrame:
+    """The rows of ``repeated_passages``, written to ``path``."""
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else []
     chunks = chunked(docs, id_col, text_col, extra, CHUNK_BYTES)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -503,8 +509,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with small_batches(docs.sparkSession, 8):
         schema = f"id long, n_bytes long, n_removed long, spans array<struct<start: bigint, length: bigint>>, kept binary, rest {rest}"
         found = chunks.join(alive, "chunk", "left").join(answers, "chunk", "left").join(beaten, "chunk", "left")
-        out = pin(found.select("chunk", "ids", "sizes", "body", "alive", "answers", "beaten", "rest").mapInArrow(apply, schema))
-    return out.withColumnRenamed("id", id_col) if keep_columns else out.drop("rest").withColumnRenamed("id", id_col)
+        out = pin(found.select("chunk", "ids", "sizes", "body", "alive", "answers", "beaten", "rest").mapInArrow(apply, schema), path)
+    return out
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
