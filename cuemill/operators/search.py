@@ -75,6 +75,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> Dat
 
     With ``video_id`` in the queries only that video's chunks are ranked.
     """
+    chunks = chunks.persist()  # read for the statistics and for the postings
     words = X.tokens(F.col("text"))
     stats = chunks.select(F.size(words).alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     wanted = tokenize(queries, "query", "query_id", "video_id").select("query_id", "video_id", "token").distinct()
