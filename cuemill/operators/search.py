@@ -75,12 +75,12 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> Dat
 
     With ``video_id`` in the queries only that video's chunks are ranked.
     """
-    chunks = chunks.persist()  # read for the statistics and for the postings
-    words = X.tokens(F.col("text"))
-    stats = chunks.select(F.size(words).alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    # read for the statistics and for the postings, so kept on the executors
+    listed = chunks.select("video_id", "chunk_idx", X.tokens(F.col("text")).alias("words")).persist()
+    stats = listed.select(F.size("words").alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     wanted = tokenize(queries, "query", "query_id", "video_id").select("query_id", "video_id", "token").distinct()
     # only the words that are asked for go on; the rest of the corpus is counted, not shuffled
-    held = chunks.select("video_id", "chunk_idx", F.size(words).alias("length"), F.explode(words).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    held = listed.select("video_id", "chunk_idx", F.size("words").alias("length"), F.explode("words").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
     postings = held.groupBy("token", "video_id", "chunk_idx", "length").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     hits = postings.join(wanted, ["token", "video_id"]).join(frequency, "token").crossJoin(F.broadcast(stats))
