@@ -369,3 +369,14 @@ def test_merge_limits_and_order(spark):
     assert sorted(r.merged for r in sequence.merge_adjacent(seg([(0, 2000, a), (2100, 4000, b + "b")])).collect()) == [1, 1]
     assert sequence.note_paragraphs(seg([(0, 1, "x" * 110), (2, 3, "y" * 109), (4, 5, "z")])).count() == 1
     assert sequence.note_paragraphs(seg([(0, 1, "x" * 110), (2, 3, "y" * 110), (4, 5, "z")])).count() == 2
+
+
+def test_j15_evidence_by_confidence_and_decision(spark):
+    from cuemill.operators import repair
+
+    repairs = spark.createDataFrame([(1, 0, 5, 0.49, True), (1, 0, 6, 0.5, True), (1, 1, 7, 0.58, True), (1, 1, 8, 0.9, False)], "video_id long, seg_idx long, char_offset long, confidence double, language_supported boolean")
+    results = spark.createDataFrame([(1, 0, "CORRECTED", False, "a"), (1, 1, "VERIFIED", True, "b"), (1, 2, "VERIFIED", False, "c"), (1, 3, "UNCERTAIN", True, "d")], "video_id long, seg_idx long, decision string, severe boolean, observed string")
+    got = {k: sorted(map(tuple, df.collect())) for k, df in repair.derive_evidence(repairs, results).items()}
+    assert got == {
+        "boundary": [(1, 0, 6, 0.5), (1, 1, 7, 0.58), (1, 1, 8, 0.9)], "punctuation": [(1, 1, 7, 0.58)], "rewrite": [(1, 0, "a")], "surface": [(1, 1, "b")],
+    }
