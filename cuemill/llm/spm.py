@@ -13,6 +13,7 @@ between two such places is encoded once per Python worker and then looked up.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -30,19 +31,26 @@ MARK = "▁"
 CACHE_STRETCHES, CACHE_PAIRS = 500_000, 500_000
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _OTHER = -1
+_NO_PIECE = float("-inf")
 
 
 class Pieces:
-    """The vocabulary of a model file, and the search over it."""
+    """The vocabulary of a BPE model file, and the search over it.
+
+    The model must have at most 65 536 pieces, and take texts as they are: no normaliser but blanks as space marks, one of
+    them before the text.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        if len(self.names) > 1 << 16:
+            raise ValueError("a model of over 65536 pieces; ids are held in 16 bits")
         plain = [not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i)) for i in range(len(self.names))]
         self.ids = {name: i for i, name in enumerate(self.names) if plain[i]}
-        self.score = [library.get_score(i) for i in range(len(self.names))]
+        self.rank = {name: library.get_score(i) for name, i in self.ids.items()}
         self.bytes = {int(name[3:5], 16): i for i, name in enumerate(self.names) if library.is_byte(i)}
         self.longest = max(map(len, self.ids))
         #: Id of each piece, and -1 for what only begins a piece.
@@ -55,13 +63,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by merging, best piece first and leftmost among equals."""
-        parts = list(text)
-        while True:
-            best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        parts, rank = list(text), self.rank.get
+        values = [rank(x + y, _NO_PIECE) for x, y in itertools.pairwise(parts)]
+        while values and (best := max(values)) != _NO_PIECE:
+            k = values.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del values[k]
+            for i in (k - 1, k):
+                if 0 <= i < len(values):
+                    values[i] = rank(parts[i] + parts[i + 1], _NO_PIECE)
+        return parts
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may come right after piece a."""
@@ -87,11 +98,81 @@ class Pieces:
         return np.frombuffer(b"".join(out), np.uint16)
 
     def _encode_stretch(self, stretch: str) -> bytes:
-        one = Stream(self)
-        ids = array("H", one.feed(stretch) + one.end()).tobytes()
+        if len(stretch) > 2 * self.longest:
+            one = Stream(self)
+            ids = one.feed(stretch) + one.end()
+        else:
+            ids = self._whole(stretch)
+        out = array("H", ids).tobytes()
         if len(self.stretches) < CACHE_STRETCHES and len(stretch) <= 64:
-            self.stretches[stretch] = ids
-        return ids
+            self.stretches[stretch] = out
+        return out
+
+    def _whole(self, text: str) -> list[int]:
+        """The ids of a text that fits the window: its end is where all paths meet, so the furthest position goes on first.
+
+        In whatever order positions are extended, each gets the one path it has.
+        """
+        find, pairs, longest, ids, n = self.table.get, self.pairs.get, self.longest, self.ids, len(text)
+        back, last, at = [0] * (n + 1), [_OTHER, *[None] * n], 0
+        open_steps: list[tuple[int, int, int]] = []
+        while at < n:
+            if text[at] not in ids:
+                open_steps.append((at, at + 1, _OTHER))  # a character that no piece has stands alone
+            for stop in range(at + 1, (at + longest if at + longest < n else n) + 1):
+                piece = find(text[at:stop])
+                if piece is None:
+                    break
+                if piece >= 0 and last[stop] is None:
+                    open_steps.append((at, stop, piece))
+            while True:
+                start, stop, piece = open_steps.pop()
+                if last[stop] is not None:
+                    continue
+                before = last[start]
+                if before < 0 or piece < 0:
+                    break
+                fits = pairs(before << 16 | piece)
+                if self.follows(before, piece) if fits is None else fits:
+                    break
+            last[stop], back[stop], at = piece, start, stop
+        return self.path(text, back, last, n)
+
+    def search(self, text: str, back: list[int], last: list[int | None], first: int, until: int) -> None:
+        """Extend the paths that end from ``first`` up to ``until`` by every compatible piece; what they reach has one path then."""
+        find, pairs, follows, longest, ids, n = self.table.get, self.pairs.get, self.follows, self.longest, self.ids, len(text)
+        for start in range(first, until):
+            before = last[start]
+            if before is None:
+                continue
+            for stop in range(start + 1, (start + longest if start + longest < n else n) + 1):
+                if last[stop] is not None:
+                    continue
+                piece = find(text[start:stop])
+                if piece is None:
+                    break
+                if piece < 0:
+                    continue
+                if before >= 0:
+                    fits = pairs(before << 16 | piece)
+                    if not (follows(before, piece) if fits is None else fits):
+                        continue
+                last[stop], back[stop] = piece, start
+            if last[start + 1] is None and text[start] not in ids:
+                last[start + 1], back[start + 1] = _OTHER, start  # a character that no piece has stands alone
+
+    def path(self, text: str, back: list[int], last: list[int | None], boundary: int) -> list[int]:
+        """The ids of the path to ``boundary``; a character without a piece gives those of its bytes."""
+        out: list[int] = []
+        while boundary > 0:
+            piece, start = last[boundary], back[boundary]
+            if piece == _OTHER:
+                out += [self.bytes[x] for x in reversed(text[start:boundary].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(piece)
+            boundary = start
+        out.reverse()
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
@@ -128,28 +209,10 @@ class Stream:
 
     def _search(self, until: int) -> None:
         """Extend the paths that end before ``until`` by every compatible piece; what they reach has one path then."""
-        text, back, last, p = self.text, self.back, self.last, self.pieces
-        find, pairs, follows, longest, n = p.table.get, p.pairs, p.follows, p.longest, len(self.text)
-        missing = n + 1 - len(last)
-        last += [None] * missing
-        back += [0] * missing
-        for start in range(self.done, until):
-            before = last[start]
-            if before is None:
-                continue
-            for stop in range(start + 1, (start + longest if start + longest < n else n) + 1):
-                piece = find(text[start:stop])
-                if piece is None:
-                    break
-                if piece < 0 or last[stop] is not None:
-                    continue
-                if before >= 0:
-                    fits = pairs.get(before << 16 | piece)
-                    if not (follows(before, piece) if fits is None else fits):
-                        continue
-                last[stop], back[stop] = piece, start
-            if last[start + 1] is None and text[start] not in p.ids:
-                last[start + 1], back[start + 1] = _OTHER, start  # a character that no piece has stands alone
+        missing = len(self.text) + 1 - len(self.last)
+        self.last += [None] * missing
+        self.back += [0] * missing
+        self.pieces.search(self.text, self.back, self.last, self.done, until)
         self.done = max(self.done, until)
 
     def _meeting(self) -> int:
@@ -162,14 +225,7 @@ class Stream:
         return open_ends.pop()
 
     def _commit(self, boundary: int) -> list[int]:
-        path, at = [], boundary
-        while at > 0:
-            path.append((self.back[at], at))
-            at = self.back[at]
-        out: list[int] = []
-        for start, stop in reversed(path):
-            piece = self.last[stop]
-            out += [piece] if piece != _OTHER else [self.pieces.bytes[x] for x in self.text[start:stop].encode("utf-8", "surrogatepass")]
+        out = self.pieces.path(self.text, self.back, self.last, boundary)
         if boundary:
             self.text = self.text[boundary:]
             self.back = [max(0, b - boundary) for b in self.back[boundary:]]

@@ -44,10 +44,33 @@ def test_stream_in_any_portions(both):
         assert got + stream.end() == want and held < 200
 
 
+def plain_merges(ours, library, text):
+    """Best piece first, leftmost among equals, everything looked at anew after each merge."""
+    parts = list(text)
+    while True:
+        found = [(library.get_score(ours.ids[x + y]), -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ours.ids]
+        if not found:
+            return parts
+        k = -max(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
 def test_merging_is_the_brute_force(both):
     ours, library = both
-    for word in ("▁thedhain", "▁ation", "schung", "ab"):
-        assert [ours.ids[p] for p in ours.merged(word)] == (ours.encode(word[1:]).tolist() if word[0] == spm.MARK else [ours.ids[p] for p in ours.merged(word)])
+    rng = random.Random(5)
+    words = ["▁thedhain", "▁ation", "schung", "ab", "aaaaaaa", "x", ""] + ["".join(rng.choice("etaoinshrdlu▁é") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    for word in words:
+        assert ours.merged(word) == plain_merges(ours, library, word), word
+
+
+def test_whole_stretches_and_streams_agree(both):
+    """The furthest position first or all positions in order: the ids are the same."""
+    ours, _ = both
+    rng = random.Random(6)
+    for _ in range(300):
+        stretch = "▁" + "".join(rng.choice("etaoinshrdlu.,\n日") for _ in range(rng.randint(0, 2 * ours.longest - 1)))
+        stream = ours.stream()
+        assert ours._whole(stretch) == stream.feed(stretch) + stream.end(), stretch
 
 
 def test_documents(spark, both):
