@@ -10,6 +10,8 @@ TOKEN = r"([0-9a-z_]+|[^\s0-9a-z_!-/:-@\[-`{-~])"
 #: ASCII words with inner apostrophes and hyphens.
 LEXICAL = r"([0-9a-z'’-]+)"
 STRONG_MARKS = ".?!。？！"
+WEAK_MARKS = ",;:，；：、"
+CJK_PROFILES = ("Zh", "Ja", "Ko")
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 # Scripts as ranges of code points.

@@ -56,10 +56,17 @@ def nearest_evidence(candidates: DataFrame, evidence: DataFrame, within: int = 1
 
 
 def locate(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """The first span (video_id, seg_idx, span_start, span_end) that holds a point, ends included, and the place in it."""
-    hit = points.join(spans, "video_id").where((F.col("t") >= F.col("span_start")) & (F.col("t") <= F.col("span_end")))
-    best = hit.groupBy("video_id", "t").agg(F.min(F.struct("span_start", "seg_idx")).alias("m"))
-    return best.select("video_id", "t", "m.seg_idx", (F.col("t") - F.col("m.span_start")).alias("local"))
+    """The first span (video_id, seg_idx, span_start, span_end) that holds a point, ends included, and the place in it.
+
+    Spans may touch but not overlap, as those of ``char_spans``. Points and span ends are put in one falling order, so that
+    the last end before a point is the nearest one after it, and nothing multiplies.
+    """
+    p = points.select("video_id", "t", F.lit(0).alias("kind"), F.lit(None).cast("struct<span_start:bigint,seg_idx:bigint>").alias("s"))
+    q = spans.select("video_id", F.col("span_end").alias("t"), F.lit(1).alias("kind"), F.struct("span_start", "seg_idx").alias("s"))
+    order = [F.desc(c) for c in ("t", "kind", "s.span_start", "s.seg_idx")]
+    w = Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = q.unionByName(p).withColumn("hit", F.last("s", ignorenulls=True).over(w)).where("kind = 0 and hit.span_start <= t")
+    return hit.select("video_id", "t", F.col("hit.seg_idx").alias("seg_idx"), (F.col("t") - F.col("hit.span_start")).alias("local"))
 
 
 def char_spans(seg: DataFrame) -> DataFrame:

@@ -88,23 +88,50 @@ def apply_glossary(seg: DataFrame, glossary: DataFrame, most: int = 100_000) ->
     return seg.withColumn("g", run("text")).withColumn("text", F.col("g.text")).withColumn("replaced", F.col("g.replaced")).drop("g")
 
 
+def set_strong_mark(t: Column, k: Column, cjk: Column, spaced: bool = True) -> Column:
+    """``t`` with a strong mark behind its first ``k`` characters, before blanks there: a weak mark is replaced, a strong one
+    stays. Outside Chinese, Japanese and Korean a blank follows, with ``spaced``, where neither blank nor closing mark does."""
+    left = F.rtrim(F.regexp_replace(F.substring(t, F.lit(1), k.cast("int")), r"\s+$", ""))
+    rest = F.substring(t, F.length(left) + 1, F.length(t))
+    mark = F.when(cjk, "。").otherwise(".")
+    blank = F.when(~cjk & rest.rlike(r"^[^\s)\]}】》〉”’\"']"), " ").otherwise("") if spaced else F.lit("")
+    return (
+        F.when((left == "") | left.rlike(f"[{X.STRONG_MARKS}]$"), t)
+        .when(left.rlike(f"[{X.WEAK_MARKS}]$"), F.concat(F.substring(left, F.lit(1), F.length(left) - 1), mark, rest))
+        .otherwise(F.concat(left, mark, blank, rest))
+    )
+
+
+def is_cjk(seg: DataFrame) -> Column:
+    """Whether a segment's profile, if it has one, is written without blanks."""
+    return F.coalesce(F.col("profile").isin(*X.CJK_PROFILES), F.lit(False)) if "profile" in seg.columns else F.lit(False)
+
+
+def plain_blanks(text: Column, cjk: Column) -> Column:
+    return F.when(cjk, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def apply_punctuation(seg: DataFrame, evidence: DataFrame, least: float = 0.58) -> DataFrame:
-    """A strong mark set at each boundary (video_id, seg_idx, char_offset, confidence) inside a text, from the right.
+    """Marks moved as evidence says: a strong mark set at each boundary (video_id, seg_idx, char_offset, confidence), and the
+    mark at (remove_seg_idx, remove_char_offset), where those columns are there and filled, taken out (T9).
 
-    A weak mark there is replaced; a strong one stays.
+    Offsets are of the text before; edits go from the right, at one place the removal first.
     """
-    good = evidence.where(F.col("confidence") >= least).groupBy("video_id", "seg_idx").agg(F.sort_array(F.collect_set("char_offset"), asc=False).alias("at"))
-
-    def put(t: Column, k: Column) -> Column:
-        k = k.cast("int")
-        left, right = F.substring(t, F.lit(1), k), F.substring(t, k + 1, F.length(t))
-        return (
-            F.when((k <= 0) | (k >= F.length(t)) | left.rlike(f"[{X.STRONG_MARKS}]\\s*$"), t)
-            .otherwise(F.concat(F.regexp_replace(left, r"^(?s)(.*?)[,;:，；：、]?\s*$", "$1."), right))
-        )
+    sure = evidence.where(F.col("confidence") >= least)
+    edits = sure.select("video_id", "seg_idx", F.struct(F.col("char_offset").cast("int").alias("at"), F.lit(False).alias("out")).alias("edit"))
+    if "remove_char_offset" in evidence.columns:
+        gone = sure.where("remove_seg_idx is not null and remove_char_offset is not null")
+        edits = edits.unionByName(gone.select("video_id", F.col("remove_seg_idx").alias("seg_idx"), F.struct(F.col("remove_char_offset").cast("int").alias("at"), F.lit(True).alias("out")).alias("edit")))
+    good = edits.groupBy("video_id", "seg_idx").agg(F.sort_array(F.collect_set("edit"), asc=False).alias("edits"))
+    cjk = is_cjk(seg)
+
+    def put(t: Column, e: Column) -> Column:
+        mark = F.substring(t, e["at"] + 1, F.lit(1)).rlike(f"[{X.STRONG_MARKS}{X.WEAK_MARKS}]")
+        without = F.when(mark & (e["at"] >= 0), F.concat(F.substring(t, F.lit(1), e["at"]), F.substring(t, e["at"] + 2, F.length(t)))).otherwise(t)
+        return F.when(e["out"], without).otherwise(set_strong_mark(t, e["at"], cjk))
 
     out = seg.join(good, ["video_id", "seg_idx"], "left")
-    return out.withColumn("text", F.when(F.col("at").isNotNull(), F.aggregate("at", F.col("text"), put)).otherwise(F.col("text"))).drop("at")
+    return out.withColumn("text", F.when(F.col("edits").isNotNull(), plain_blanks(F.aggregate("edits", F.col("text"), put), cjk)).otherwise(F.col("text"))).drop("edits")
 
 
 #: Words that are no names, and titles with their short forms.

@@ -105,7 +105,7 @@ def note_batches(seg: DataFrame, chars: int = 6000) -> DataFrame:
 
 
 #: Profiles whose words are written without spaces.
-CJK = ("Zh", "Ja", "Ko")
+CJK = X.CJK_PROFILES
 
 
 def _profiled(seg: DataFrame) -> DataFrame:

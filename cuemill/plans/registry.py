@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 from cuemill.operators import canonical as C
+from cuemill.operators import clauses as Z
 from cuemill.operators import joins as J
 from cuemill.operators import notes as N
 from cuemill.operators import repair as P
@@ -812,10 +813,21 @@ def _(spark, d):
     return P.normalise_numbers(V.table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", "text")
 
 
-@query("t9_punctuation", "SELECT video_id, seg_idx, CASE WHEN k <= 0 OR k >= length(text) OR regexp_matches(text[1:k], '[.?!。？！]\\s*$') THEN text ELSE regexp_replace(text[1:k], '[,;:，；：、]?\\s*$', '.') || text[k + 1:length(text)] END AS text FROM (SELECT *, CASE WHEN seg_idx % 2 = 0 THEN length(text) // 2 ELSE 0 END AS k FROM seg)", "seg")
+@query(
+    "t9_punctuation",
+    r"""WITH k AS (SELECT *, length(text) // 2 AS k, length(text) - 1 AS z FROM seg), r AS (SELECT *, CASE WHEN seg_idx % 4 = 0 AND regexp_matches(text, '[.?!。？！,;:，；：、]$') THEN text[1:z] ELSE text END AS cut FROM k),
+        l AS (SELECT *, regexp_replace(cut[1:k], '\s+$', '') AS l FROM r), e AS (SELECT *, cut[length(l) + 1:length(cut)] AS e FROM l)
+        SELECT video_id, seg_idx, CASE WHEN seg_idx % 2 = 1 THEN text ELSE trim(regexp_replace(CASE WHEN l = '' OR regexp_matches(l, '[.?!。？！]$') THEN cut
+        WHEN regexp_matches(l, '[,;:，；：、]$') THEN l[1:length(l) - 1] || '.' || e ELSE l || '.' || CASE WHEN regexp_matches(e, '^[^\s)\]}】》〉”’"'']') THEN ' ' ELSE '' END || e END, '\s+', ' ', 'g')) END AS text FROM e""",
+    "seg",
+)
 def _(spark, d):
+    """A stop in the middle of each second text, for which each fourth gives up the mark at its end."""
     seg = V.seg(spark, d)
-    evidence = seg.select("video_id", "seg_idx", F.floor(F.length("text") / 2).alias("char_offset"), F.when(F.col("seg_idx") % 2 == 0, 0.9).otherwise(0.3).alias("confidence"))
+    evidence = seg.select(
+        "video_id", "seg_idx", F.floor(F.length("text") / 2).alias("char_offset"), F.when(F.col("seg_idx") % 2 == 0, 0.9).otherwise(0.3).alias("confidence"),
+        F.when(F.col("seg_idx") % 4 == 0, F.col("seg_idx")).alias("remove_seg_idx"), (F.length("text") - 1).alias("remove_char_offset"),
+    )
     return P.apply_punctuation(seg, evidence).select("video_id", "seg_idx", "text")
 
 
@@ -948,6 +960,33 @@ def _(spark, d):
     return A.keep_surface(pairs.select("video_id", "seg_idx", F.col("text").alias("first_pass"), F.lower("text").alias("observed"))).select("video_id", "seg_idx", "kept")
 
 
+@query("t10_pause_stops")
+def _(spark, d):
+    """Whole texts without marks, said in twelve seconds, with pauses at every eleventh character."""
+    seg = V.seg(spark, d)
+    bare = seg.withColumn("text", F.regexp_replace("text", "[.?!]", "")).withColumn("end_ms", F.col("start_ms") + 12_000)
+    at = bare.select("video_id", "seg_idx", F.posexplode(F.sequence(F.lit(0), F.length("text"), F.lit(11))).alias("n", "char_offset"))
+    return A.stops_at_pauses(bare, at.select("video_id", "seg_idx", "char_offset", (300 + F.col("n") * 37 % 200).alias("gap_ms"), (0.6 + F.col("n") % 4 / 10).alias("confidence"))).select("video_id", "seg_idx", "text")
+
+
+def _clauses(spark, d):
+    """Lines, some of them behind a word that ties them to the one before, some before one that ties them to the next."""
+    n = F.col("seg_idx") % 7
+    head = F.when(n == 1, "And ").when(n == 3, "When ").when(n == 5, "Quite useless as ").otherwise("")
+    tail = F.when(n == 4, " it had become.").when(n == 6, " because").otherwise("")
+    return _profiled_lines(spark, d).withColumn("profile", X.language_profile(F.col("lang"))).withColumn("text", F.concat(head, "text", tail))
+
+
+@query("w25_clauses")
+def _(spark, d):
+    return Z.review_clauses(_clauses(spark, d))[0]
+
+
+@query("w25_log")
+def _(spark, d):
+    return Z.review_clauses(_clauses(spark, d))[1]
+
+
 @query("t17_local_rewrites")
 def _(spark, d):
     w = Window.partitionBy("video_id").orderBy("seg_idx")

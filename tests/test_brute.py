@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from cuemill.operators import sequence, typography, verify
+from cuemill.operators import clauses, joins, repair, sequence, typography, verify
 from cuemill.plans import registry, views
 
 DATA = "/root/testdata/sf0.001"
@@ -345,17 +345,22 @@ def test_t23_log_explains_every_change(spark, view):
     """Each canonical text follows from the log: a segment without a log row is the input's."""
     raw = {(v, s): (t.upper() if s % 3 == 1 else "we met Gray of CLTC; " + t).strip(" ") for v, s, t in view("line_seg", "video_id, seg_idx, text")}
     log = defaultdict(list)
+    operations = Counter()
     for r in run(spark, "t23_log"):
+        operations[r.operation] += 1
         log[r.video_id, r.seg_idx].append((r.stage, r.before, r.after))
+        if r.operation == "relocate_boundary":  # one row for both sides
+            log[r.video_id, r.seg_idx].append((r.stage, r.before, r.after.split(" | ")[0]))
+            log[r.video_id, "right"].append((r.stage, r.before, r.after.split(" | ")[1]))
     rows = {(r.video_id, r.seg_idx): r.text for r in run(spark, "t23_canonical")}
-    assert rows.keys() <= raw.keys() and {s for x in log.values() for s, *_ in x} >= {"punctuation", "typography"}
+    assert rows.keys() <= raw.keys() and {s for x in log.values() for s, *_ in x} >= {"punctuation", "typography", "semantic_boundary"}
     for k, text in rows.items():
         if k not in log:
-            assert text == raw[k]
+            assert text == raw[k] or any(after == text for _, _, after in log.get((k[0], "right"), []))
         else:
-            assert any(after == text for _, _, after in log[k])
+            assert any(after == text for _, _, after in log[k] + log.get((k[0], "right"), []))
     gone = raw.keys() - rows.keys()
-    joined = sum(len([x for x in v if x[0] == "boundary"]) for v in log.values())
+    joined = sum(operations[x] for x in ("merge_boundary", "merge_semantic_boundary"))
     removed = sum(1 for k in gone if any(after == "" for _, _, after in log[k]))
     assert len(gone) == joined + removed
 
@@ -380,3 +385,113 @@ def test_j15_evidence_by_confidence_and_decision(spark):
     assert got == {
         "boundary": [(1, 0, 6, 0.5), (1, 1, 7, 0.58), (1, 1, 8, 0.9)], "punctuation": [(1, 1, 7, 0.58)], "rewrite": [(1, 0, "a")], "surface": [(1, 1, "b")],
     }
+
+
+def reviewed(texts):
+    return [x[3] for x in clauses.review([(i, i * 100, i * 100 + 90, t, True) for i, t in enumerate(texts)])[0]]
+
+
+@pytest.mark.parametrize(
+    ("texts", "want"),
+    [
+        (["She finally understood all the money had become.", "Completely useless as she wept, she felt something."], ["She finally understood all the money had become completely useless.", "As she wept, she felt something."]),
+        (["She couldn't remember the last time.", "She had laughed with someone.", "Or shared a meal with a friend."], ["She couldn't remember the last time she had laughed with someone or shared a meal with a friend."]),
+        (["From that day on, hungry stray cats and dogs.", "Always found a bowl of food.", "And clean water waiting outside her shop."], ["From that day on, hungry stray cats and dogs always found a bowl of food and clean water waiting outside her shop."]),
+        (["One evening, as the sun began to set.", "Mrs. Stingy sat alone in her shop."], ["One evening, as the sun began to set, Mrs. Stingy sat alone in her shop."]),
+        (["Just then, dark clouds.", "Covered the sky."], ["Just then, dark clouds covered the sky."]),
+        (["Although she had money, she refused to spend it.", "She went home."], ["Although she had money, she refused to spend it.", "She went home."]),
+        (["We went home.", "And they came out.", "Yet despite that."], ["We went home.", "And they came out.", "Yet despite that."]),
+        (["Did he come?", "And left."], ["Did he come?", "And left."]),
+        (["word " * 60 + "and", "the rest " + "word " * 12], ["word " * 60 + "and", "the rest " + "word " * 12]),
+        (["", "And.", ""], ["", "And.", ""]),
+    ],
+)
+def test_w25_cases(texts, want):
+    assert reviewed(texts) == want
+
+
+def plain_review(rows):
+    """The same rules over one list with places, one step back after every change."""
+    segs, log = [list(r) for r in rows], []
+    for _ in range(4):
+        changed, i = False, 0
+        while i + 1 < len(segs):
+            a, b = segs[i], segs[i + 1]
+            new = clauses.moved(a[3], b[3]) if a[4] and b[4] else None
+            if new:
+                cut = b[1] + (b[2] - b[1]) * new[2] // len(b[3])
+                log.append((a[0], "relocate_boundary", f"{a[3]} | {b[3]}", f"{new[0]} | {new[1]}"))
+                a[3], a[2], b[3], b[1] = new[0], max(a[2], cut), new[1], cut
+            elif a[4] and b[4] and clauses.belong_together(a[3], b[3]):
+                text = clauses.joined(a[3], b[3])
+                log.append((a[0], "merge_semantic_boundary", f"{a[3]} | {b[3]}", text))
+                a[3], a[2] = text, max(a[2], b[2])
+                del segs[i + 1]
+            else:
+                i += 1
+                continue
+            changed, i = True, max(i - 1, 0)
+        if not changed:
+            break
+    return segs, log
+
+
+def test_w25_clauses_and_log(spark):
+    rows = registry._clauses(spark, DATA).select("video_id", "seg_idx", "start_ms", "end_ms", "text", "profile").collect()
+    segs, log = [], []
+    for video, own in by_video(sorted(rows, key=lambda r: (r.video_id, r.seg_idx))).items():
+        kept, changes = plain_review([(r.seg_idx, r.start_ms, r.end_ms, r.text, r.profile in clauses.PROFILES) for r in own])
+        segs += [(video, *x[:4]) for x in kept]
+        log += [(video, *x) for x in changes]
+    got = run(spark, "w25_clauses")
+    assert sorted((r.video_id, r.seg_idx, r.start_ms, r.end_ms, r.text) for r in got) == sorted(segs)
+    assert sorted((r.video_id, r.seg_idx, r.operation, r.before, r.after) for r in run(spark, "w25_log")) == sorted(log)
+    assert {x[2] for x in log} == {"relocate_boundary", "merge_semantic_boundary"} and len(got) < len(rows)
+
+
+def test_w25_frames(spark):
+    """Nulls, an empty table, other languages and other columns."""
+    schema = "video_id long, seg_idx long, start_ms long, end_ms long, text string, profile string, before string"
+    rows = [(1, 0, 0, 9, "He saw the", "En", "x"), (1, 1, 10, 19, None, "En", "x"), (2, 0, 0, 9, "we saw the", "Zh", "x"), (2, 1, 10, 19, "cat", "Zh", "x"), (None, 0, 0, 9, "the", None, None), (3, 0, None, None, "seen by", "Auto", "x"), (3, 1, 5, 9, "All.", "Auto", "x")]
+    out, log = clauses.review_clauses(spark.createDataFrame(rows[:5], schema))
+    assert out.count() == 5 and log.count() == 0
+    assert clauses.review_clauses(spark.createDataFrame([], schema))[0].count() == 0
+
+
+def test_t10_pause_stops(spark, view):
+    """Pauses chosen one by one, the surest and longest first."""
+    want, marked = [], 0
+    units = lambda t: len(re.findall(r"[0-9A-Za-z'’-]+", t))
+    for video, seg, text in view("seg", "video_id, seg_idx, text"):
+        bare = re.sub(r"[.?!]", "", text)
+        if units(bare) >= 10 and not re.search("[。？！]", bare):
+            flat, chosen = " ".join(bare.split()), []
+            found = [(-(0.6 + n % 4 / 10), -(300 + n * 37 % 200), at) for n, at in enumerate(range(0, len(bare) + 1, 11))]
+            for c, g, at in sorted(found):
+                if -c >= 0.66 and -g >= 320 and 0 < at < len(flat) and units(flat[:at]) >= 4 and units(flat[at:]) >= 3 and len(chosen) < 6 and all(abs(at - x) >= 16 for x in chosen):
+                    chosen.append(at)
+            for at in sorted(chosen, reverse=True):
+                left = flat[:at].rstrip()
+                rest = flat[len(left) :]
+                flat = flat if left[-1:] in ".?!。？！" else left[:-1] + "." + rest if left[-1:] in ",;:，；：、" else left + "." + rest
+            marked += len(chosen)
+            bare = " ".join(flat.split()) if chosen else bare
+        want.append((video, seg, bare))
+    assert sorted(map(tuple, run(spark, "t10_pause_stops"))) == sorted(want) and marked > 50
+
+
+def test_t9_moves_a_mark(spark):
+    text = "Yet she refused to buy new ones every morning although it was late."
+    seg = spark.createDataFrame([(1, 0, text, "En"), (1, 1, "他来了，然后走了", "Zh"), (2, 0, " as  it is ", "En"), (2, 1, None, "En")], "video_id long, seg_idx long, text string, profile string")
+    schema = "video_id long, seg_idx long, char_offset long, confidence double, remove_seg_idx long, remove_char_offset long"
+    at = text.index("although")
+    evidence = spark.createDataFrame([(1, 0, at, 0.9, 0, len(text) - 1), (1, 1, 4, 0.6, None, None), (1, 1, 99, 0.6, None, None), (2, 0, 3, 0.5, 0, 1), (2, 1, 3, 0.9, 1, 0)], schema)
+    got = {(r.video_id, r.seg_idx): r.text for r in repair.apply_punctuation(seg, evidence).collect()}
+    assert got == {(1, 0): "Yet she refused to buy new ones every morning. although it was late", (1, 1): "他来了。然后走了。", (2, 0): " as  it is ", (2, 1): None}
+
+
+def test_j6_touching_spans(spark):
+    spans = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 5, 9), (1, 2, 10, 10), (None, 0, 0, 9)], "video_id long, seg_idx long, span_start long, span_end long")
+    points = spark.createDataFrame([(1, t) for t in range(-1, 12)] + [(2, 0)], "video_id long, t long")
+    got = {r.t: (r.seg_idx, r.local) for r in joins.locate(points, spans).collect()}
+    assert got == {t: (0, t) for t in range(6)} | {t: (1, t - 5) for t in range(6, 10)} | {10: (2, 0)}
