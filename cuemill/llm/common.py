@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,12 +25,15 @@ _scratch: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors both see, inside the open ``scratch`` folder if there is one.
 
-    The place comes from ``spark.checkpoint.dir``; a session without it (local tests) gets a temporary folder.
+    The place comes from ``spark.checkpoint.dir``. A local session without it, as in tests, gets a temporary folder; on a
+    cluster, where such a folder is not shared, the setting must be there.
     """
     if _scratch:
         return f"{_scratch[-1]}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cuemill-{uuid.uuid4().hex}"
