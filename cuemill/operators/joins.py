@@ -18,13 +18,28 @@ def lookup_sources(requests: DataFrame, videos: DataFrame) -> DataFrame:
     return with_source_key(requests).join(found, "source_key", "left").select("pos", "source_url", "source_key", "video_id")
 
 
-def hydrate(videos: DataFrame, artifacts: DataFrame, queue: DataFrame) -> DataFrame:
-    """Videos with the states of their three artifacts, and their first open queue item."""
+def hydrate(videos: DataFrame, artifacts: DataFrame, queue: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Videos with the states of their three artifacts, and their first open queue item, by ``position`` or else ``ts``.
+
+    ``files`` (video_id, media_ok, transcript_ok, translation_ok, note_ok, language), one row a video, says which files are
+    there and valid: a ready artifact without its file counts as missing, a transcript as failed; ``media_status`` and
+    ``transcript_language`` come from it.
+    """
     kinds = {"standard_transcript": "transcript_status", "translation": "translation_status", "note": "note_status"}
     states = artifacts.groupBy("video_id").agg(*(F.max(F.when(F.col("artifact_type") == k, F.col("state"))).alias(v) for k, v in kinds.items()))
-    first = queue.where(~F.col("state").isin("cancelled", "completed")).groupBy("video_id").agg(F.min_by("item_id", F.struct("ts", "item_id")).alias("queue_item_id"))
+    order = F.struct("position" if "position" in queue.columns else "ts", "item_id")
+    first = queue.where(~F.col("state").isin("cancelled", "completed")).groupBy("video_id").agg(F.min_by("item_id", order).alias("queue_item_id"))
     out = videos.join(states, "video_id", "left").join(first, "video_id", "left")
-    return out.select("video_id", *(F.coalesce(v, F.lit("missing")).alias(v) for v in kinds.values()), "queue_item_id")
+    out = out.select("video_id", *(F.coalesce(v, F.lit("missing")).alias(v) for v in kinds.values()), "queue_item_id")
+    if files is None:
+        return out
+    held = out.join(files.select("video_id", "media_ok", "transcript_ok", "translation_ok", "note_ok", "language"), "video_id", "left")
+    there = lambda c: F.coalesce(c, F.lit(False))
+    valid = lambda status, ok, without: F.when((F.col(status) == "ready") & ~there(ok), without).otherwise(F.col(status)).alias(status)
+    return held.select(
+        "video_id", valid("transcript_status", "transcript_ok", "failed"), valid("translation_status", "translation_ok", "missing"), valid("note_status", "note_ok", "missing"),
+        "queue_item_id", F.when(there("media_ok"), "available").otherwise("missing").alias("media_status"), F.col("language").alias("transcript_language"),
+    )
 
 
 def asof_segment(points: DataFrame, seg: DataFrame, tolerance_ms: int | None = None) -> DataFrame:

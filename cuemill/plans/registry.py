@@ -5,6 +5,7 @@ Every query reads the test tables in full. Integers come out as BIGINT, doubles
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -260,13 +261,21 @@ def _(spark, d):
 
 @query(
     "j2_hydrate",
-    """SELECT v.video_id, coalesce(max(CASE WHEN artifact_type = 'standard_transcript' THEN a.state END), 'missing') AS transcript_status, coalesce(max(CASE WHEN artifact_type = 'translation' THEN a.state END), 'missing') AS translation_status,
+    """WITH h AS (SELECT v.video_id, coalesce(max(CASE WHEN artifact_type = 'standard_transcript' THEN a.state END), 'missing') AS transcript_status, coalesce(max(CASE WHEN artifact_type = 'translation' THEN a.state END), 'missing') AS translation_status,
         'missing' AS note_status, any_value(q.item_id) AS queue_item_id FROM video v LEFT JOIN artifact a USING (video_id)
-        LEFT JOIN (SELECT video_id, arg_min(item_id, ts) AS item_id FROM qstate WHERE state NOT IN ('cancelled', 'completed') GROUP BY 1) q USING (video_id) GROUP BY 1""",
+        LEFT JOIN (SELECT video_id, arg_min(item_id, ts) AS item_id FROM qstate WHERE state NOT IN ('cancelled', 'completed') GROUP BY 1) q USING (video_id) GROUP BY 1)
+        SELECT video_id, CASE WHEN transcript_status = 'ready' AND (video_id % 11 = 0 OR video_id % 5 = 0) THEN 'failed' ELSE transcript_status END AS transcript_status,
+        CASE WHEN translation_status = 'ready' AND (video_id % 11 = 0 OR video_id % 3 = 0) THEN 'missing' ELSE translation_status END AS translation_status, note_status, queue_item_id,
+        CASE WHEN video_id % 11 <> 0 AND video_id % 2 = 0 THEN 'available' ELSE 'missing' END AS media_status, CASE WHEN video_id % 11 <> 0 THEN 'en' END AS transcript_language FROM h""",
     "video artifact qstate",
 )
 def _(spark, d):
-    return J.hydrate(V.video(spark, d), V.artifact(spark, d), V.qstate(spark, d))
+    """All videos but each eleventh have files, of which some are not valid."""
+    ok = lambda n: (F.col("video_id") % n != 0).alias
+    files = V.video(spark, d).where("video_id % 11 <> 0").select(
+        "video_id", (F.col("video_id") % 2 == 0).alias("media_ok"), ok(5)("transcript_ok"), ok(3)("translation_ok"), F.lit(False).alias("note_ok"), F.lit("en").alias("language")
+    )
+    return J.hydrate(V.video(spark, d), V.artifact(spark, d), V.qstate(spark, d), files)
 
 
 def _points(spark, d, step=1000):
@@ -1047,8 +1056,11 @@ def _(spark, d):
 
 
 def _shared(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{root.rstrip('/')}/cuemill-{name}-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared one; a local session without the setting gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/cuemill-{name}-{uuid.uuid4().hex}"
 
 
 @query("i7_reindex", f"WITH {CHUNKS} SELECT video_id, chunk_idx, array_to_string(regexp_extract_all(lower(text), '{_RX}', 1), ' ') || CASE WHEN video_id % 3 = 1 THEN ' again' ELSE '' END AS content FROM chunks WHERE video_id % 3 <> 2", "seg", recursive=True)
