@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -19,7 +20,8 @@ BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 
 
-_scratch: list[str] = []
+#: The open ``scratch`` folder of the thread that asks: queries in other threads have their own.
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     The place comes from ``spark.checkpoint.dir``. A local session without it, as in tests, gets a temporary folder; on a
     cluster, where such a folder is not shared, the setting must be there.
     """
-    if _scratch:
-        return f"{_scratch[-1]}/{uuid.uuid4().hex}"
+    if _scratch.get():
+        return f"{_scratch.get()}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
@@ -43,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> Iterator[str]:
     """What is pinned in the block is deleted at its end; gives a folder beside it for the result, which stays."""
     kept, folder = shared_dir(spark), shared_dir(spark)
-    _scratch.append(folder)
+    outer = _scratch.set(folder)
     try:
         yield kept
     finally:
-        _scratch.pop()
+        _scratch.reset(outer)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
