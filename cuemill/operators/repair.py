@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 
+#: Bytes of a glossary that are broadcast at once.
+GLOSSARY_BYTES = 64 << 20
 # Chinese digits, and the units of numbers.
 DIGITS = {c: i for i, group in enumerate(("0零〇", "1一幺", "2二两", "3三", "4四", "5五", "6六", "7七", "8八", "9九")) for c in group}
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10_000, "亿": 100_000_000}
@@ -67,25 +72,69 @@ def normalise_numbers(seg: DataFrame) -> DataFrame:
     return out.withColumn("before", F.when(F.col("new") != F.col("text"), F.col("text"))).withColumn("text", F.col("new")).drop("new")
 
 
-def apply_glossary(seg: DataFrame, glossary: DataFrame, most: int = 100_000) -> DataFrame:
-    """Aliases of an external glossary replaced, earliest first, then longest, without overlap.
+def _matches(texts: Column, aliases: Broadcast) -> Column:
+    """All places (start, end, canonical) of a shard's aliases in a text, of those that start together the longest.
 
-    The glossary is a bounded table: one alternation, longest alias first, compiled once per Python worker.
+    One automaton over all aliases, built once in a Python worker; the time of a text does not depend on their number.
     """
-    rows = glossary.select("alias", "canonical").where("alias <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the glossary has more than {most} aliases")
-    table = {r["alias"]: r["canonical"] for r in rows}
-    if not table:
-        return seg.withColumn("replaced", F.lit(0).cast("long"))
-    pattern = "|".join(re.escape(a) for a in sorted(table, key=len, reverse=True))
 
-    @F.pandas_udf("struct<text:string,replaced:long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [re.subn(pattern, lambda m: table[m[0]], t or "") for t in texts]
-        return pd.DataFrame(found, columns=["text", "replaced"])
-
-    return seg.withColumn("g", run("text")).withColumn("text", F.col("g.text")).withColumn("replaced", F.col("g.replaced")).drop("g")
+    @F.pandas_udf("array<struct<start:int,end:int,canonical:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        for alias, canonical in aliases.value:
+            machine.add_word(alias, (len(alias), canonical))
+        machine.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch:
+                longest: dict[int, tuple[int, str]] = {}
+                for last, (size, canonical) in machine.iter(text or ""):
+                    start = last - size + 1
+                    if start not in longest or longest[start][0] <= last:
+                        longest[start] = (last + 1, canonical)
+                out.append([{"start": a, "end": z, "canonical": c} for a, (z, c) in sorted(longest.items())])
+            yield pd.Series(out)
+
+    return run(texts)
+
+
+def apply_glossary(seg: DataFrame, glossary: DataFrame, shard_bytes: int = GLOSSARY_BYTES) -> DataFrame:
+    """Aliases of an external glossary (alias, canonical) replaced, earliest first, then longest, without overlap.
+
+    ``replaced`` counts them. Of several canonical names of an alias the smallest counts; empty and null aliases none; null texts
+    stay null. The aliases are dealt by hash into shards of at most about ``shard_bytes``, so what is broadcast at once has that
+    size whatever the glossary's; each shard finds its places, and one fold over all of a text's places chooses.
+    """
+    spark = seg.sparkSession
+    aliases = glossary.where("alias <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical")).where("canonical is not null")
+    weight = F.octet_length("alias") + F.octet_length("canonical") + 64
+    shards = -(-(aliases.agg(F.sum(weight)).first()[0] or 0) // shard_bytes)
+    found = []
+    for k in range(shards):
+        part = aliases.where(F.pmod(F.xxhash64("alias"), F.lit(shards)) == k).collect() if shards > 1 else aliases.collect()
+        found.append(_matches(F.col("text"), spark.sparkContext.broadcast([tuple(r) for r in part])))
+    kind = "array<struct<start:int,end:int,canonical:string>>"
+    if shards <= 1:
+        rows = seg.withColumn("_places", found[0] if found else F.array().cast(kind))
+    else:  # a worker holds one shard: each has its own pass over the texts, which then meet again
+        keyed = seg.withColumn("_row", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+        texts = keyed.select("_row", "text").dropDuplicates(["_row"])
+        passes = [texts.select("_row", one.alias("_found")) for one in found]
+        every = passes[0]
+        for one in passes[1:]:
+            every = every.unionByName(one)
+        rows = keyed.join(every.groupBy("_row").agg(F.flatten(F.collect_list("_found")).alias("_places")), "_row", "left").drop("_row")
+
+    def choose(a: Column, x: Column) -> Column:
+        free = x["start"] >= a["at"]
+        text = F.concat(a["text"], F.substring("text", a["at"] + 1, x["start"] - a["at"]), x["canonical"])
+        return F.when(free, F.struct(x["end"].alias("at"), text.alias("text"), (a["n"] + 1).alias("n"))).otherwise(a)
+
+    order = F.array_sort("_places", lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["end"] - x["end"]))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))
+    rows = rows.withColumn("_g", F.aggregate(order, start, choose))
+    text = F.concat("_g.text", F.substring("text", F.col("_g.at") + 1, F.length("text")))
+    return rows.withColumn("replaced", F.coalesce("_g.n", F.lit(0).cast("long"))).withColumn("text", F.when(F.col("_g.n") > 0, text).otherwise(F.col("text"))).drop("_g", "_places")
 
 
 def set_strong_mark(t: Column, k: Column, cjk: Column, spaced: bool = True) -> Column:
@@ -271,9 +320,10 @@ def clean_chapters(drafts: DataFrame, seg: DataFrame, most: int = 8, near_ms: in
 
 def derive_evidence(repairs: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
     """The typed evidence tables that follow from pause repairs and verification results."""
+    moved = [c for c in ("remove_seg_idx", "remove_char_offset") if c in repairs.columns]
     return {
         "boundary": repairs.where("confidence >= 0.5").select("video_id", "seg_idx", "char_offset", "confidence"),
-        "punctuation": repairs.where("confidence >= 0.58 and language_supported").select("video_id", "seg_idx", "char_offset", "confidence"),
+        "punctuation": repairs.where("confidence >= 0.58 and language_supported").select("video_id", "seg_idx", "char_offset", *moved, "confidence"),
         "rewrite": results.where("decision = 'CORRECTED'").select("video_id", "seg_idx", "observed"),
         "surface": results.where("decision = 'VERIFIED' and severe").select("video_id", "seg_idx", "observed"),
     }

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.operators import bridges as G
 from cuemill.operators import canonical as C
 from cuemill.operators import clauses as Z
 from cuemill.operators import joins as J
 from cuemill.operators import notes as N
+from cuemill.operators import pauses as B
 from cuemill.operators import repair as P
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
@@ -1116,7 +1118,7 @@ def _(spark, d):
     w = Window.partitionBy("video_id").orderBy("seg_idx")
     rows = V.seg(spark, d).select("video_id", "seg_idx", F.col("text").alias("l"), F.lead("text").over(w).alias("r")).where("r is not null")
     pairs = rows.select("video_id", "seg_idx", F.concat("l", F.lit(" zq")).alias("left"), F.concat(F.lit("qz "), "r").alias("right"), F.concat("l", F.lit(". "), "r").alias("bridge"))
-    return A.bridge_rewrite(pairs).select("video_id", "seg_idx", "new_left", "new_right", "matched")
+    return G.bridge_rewrite(pairs).select("video_id", "seg_idx", "new_left", "new_right", "matched")
 
 
 @query("t21_word_times")
@@ -1128,6 +1130,48 @@ def _(spark, d):
     return A.align_words(V.seg(spark, d), timed)
 
 
+def _paused(spark, d):
+    """Segments whose words are heard with one gap, three words before the first mark; every other one is a pause of the detector too."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    units = lambda c: F.size(F.regexp_extract_all(c, F.lit("([0-9A-Za-z']+)"), F.lit(1)))
+    seg = V.seg(spark, d).select("video_id", "seg_idx", "start_ms", "end_ms", flat.alias("text"))
+    gap_at = F.greatest(units(F.regexp_extract("text", "^([^.?!]*)", 1)) - 3, F.lit(1))
+    words = F.regexp_extract_all("text", F.lit("([0-9A-Za-z']+)"), F.lit(1))
+    rows = seg.withColumn("gap_at", gap_at).withColumn("words", words).withColumn("n", F.size("words"))
+    rows = rows.select("*", F.posexplode("words").alias("at", "word"))
+    size = F.col("end_ms") - F.col("start_ms")
+    shift = F.when(F.col("at") >= F.col("gap_at"), F.floor(size * 0.3)).otherwise(0)
+    at = lambda k: (F.col("start_ms") + F.floor(size * 0.7 * k / F.col("n")) + shift).cast("long")
+    heard = rows.withColumn("s", at(F.col("at"))).withColumn("e", (at(F.col("at") + 1) - 20).cast("long"))
+    heard = heard.select("video_id", "seg_idx", "at", F.when(F.col("at") % 5 == 2, F.concat("word", F.lit("x"))).otherwise(F.col("word")).alias("word"), "s", "e", "gap_at")
+    pauses = heard.where("seg_idx % 2 = 0").groupBy("video_id", "seg_idx").agg(F.max(F.when(F.col("at") == F.col("gap_at") - 1, F.col("e"))).alias("gap_start"), F.max(F.when(F.col("at") == F.col("gap_at"), F.col("s"))).alias("gap_end"))
+    pauses = pauses.where("gap_end > gap_start").select("video_id", "gap_start", "gap_end")
+    windows = B.pause_windows(seg, pauses)
+    cell = lambda c: F.floor(F.col(c) / 10_000)
+    reach = windows.select("video_id", "window", "kind", "from_ms", "to_ms", F.explode(F.sequence(cell("from_ms"), cell("to_ms"))).alias("cell"))
+    inside = heard.withColumn("cell", cell("s")).join(reach, ["video_id", "cell"]).where((F.col("s") >= F.col("from_ms")) & (F.col("e") <= F.col("to_ms")))
+    timed = inside.select("video_id", "window", (F.col("seg_idx") * 10_000 + F.col("at")).alias("at"), "word", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    stopped = F.concat(F.col("word"), F.when(F.col("at") % 3 == 0, ". ").otherwise(" "))
+    spoken = timed.where("window % 3 = 0").withColumn("said", stopped)
+    hints = spoken.groupBy("video_id", "window").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "").alias("hint"))
+    return seg, timed, pauses, windows, hints
+
+
+@query("t22_pause_repairs")
+def _(spark, d):
+    out = B.pause_repairs(*_paused(spark, d))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("j15_evidence")
+def _(spark, d):
+    """The evidence that follows from pause repairs, which a verification of no segment joins."""
+    found = B.pause_repairs(*_paused(spark, d))
+    results = V.seg(spark, d).select("video_id", "seg_idx", F.lit("UNCERTAIN").alias("decision"), F.lit(False).alias("severe"), F.col("text").alias("observed"))
+    tables = P.derive_evidence(found, results)
+    return tables["boundary"].withColumn("table", F.lit("boundary")).unionByName(tables["punctuation"].withColumn("table", F.lit("punctuation")), allowMissingColumns=True).withColumn("confidence", F.round("confidence", 6))
+
+
 def _canonical(spark, d):
     lines = _loud_lines(spark, d)
     half = F.floor(F.length("text") / 2)

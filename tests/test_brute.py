@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
+from cuemill.functions import align
 from cuemill.operators import clauses, joins, repair, sequence, typography, verify
 from cuemill.plans import registry, views
 
@@ -273,7 +274,7 @@ def test_alignment_of_long_texts_is_the_plain_one():
 
     for n, m in ((0, 3), (5, 7), (600, 530), (257, 256)):
         a, b = ([rng.choice("abcdefg") for _ in range(k)] for k in (n, m))
-        assert verify._common(a, b) == plain(a, b) and verify.common_length(a, b) == len(plain(a, b))
+        assert align.common_pairs(a, b) == plain(a, b) and align.common_length(a, b) == len(plain(a, b))
     words = [f"w{i % 977}" for i in range(5000)]
     assert verify.kept_surface(" ".join(words).upper(), " ".join(words)) == " ".join(words).upper()
 
@@ -309,38 +310,6 @@ def test_t8_query_changes_only_case(spark, view):
     assert len(cased) > 20 and all(r.seg_idx % 3 == 1 or "cltc" in r.text.lower() for r in cased)
 
 
-def test_w19_literal_cases_and_query(spark, view):
-    new = verify.bridged("晚上可能我中了南墙才会回头吧，可能我见了黄河才会倒。", "死心吧，可能我偏要一条路走到黑吧，可能我还没遇见那个他吧。", "晚上可能我中了南墙才会回头吧，可能我见了黄河才会死心吧，可能我偏要一条路走到黑吧。")
-    assert new[0].endswith("可能我见了黄河才会死心吧，") and new[1].startswith("可能我偏要一条路走到黑吧")
-    assert verify.bridged("很多上班族", "足的一天。", "很多上班族的一天。")[:2] == ("很多上班族", "的一天。")
-    assert verify.bridged("a b", "c d", "e f") is None and verify.bridged("", "x", "y") is None
-    text = {(v, s): t for v, s, t in view("seg", "video_id, seg_idx, text")}
-    rows = run(spark, "w19_bridges")
-    repaired = [r for r in rows if r.matched]
-    assert len(repaired) > 0.5 * len(rows)
-    for r in repaired:  # what the spoilt cut had between the sides is gone
-        assert "zq" not in tokens(r.new_left) and "qz" not in tokens(r.new_right)
-        assert difflib.SequenceMatcher(None, " ".join(tokens(r.new_left + " " + r.new_right)), " ".join(tokens(text[r.video_id, r.seg_idx] + " " + text[r.video_id, r.seg_idx + 1]))).ratio() > 0.8
-
-
-def test_t21_word_times(spark, view):
-    assert verify.aligned_words(["hello", "big", "world"], ["hello", "worle"]) == [(0, 0, 1.0), (2, 1, 0.8)]
-    known = {(v, s, p): (t, a, b) for v, s, p, t, a, b in view("tok", "video_id, seg_idx, pos, token, start_ms, end_ms")}
-    size = Counter((v, s) for v, s, _ in known)
-    rows = run(spark, "t21_word_times")
-    assert len({(r.video_id, r.seg_idx) for r in rows}) > 0.9 * len(size)
-    exact = [r for r in rows if r.confidence == 1.0]
-    placed = Counter()
-    for r in exact:
-        want = [(a, b) for (v, s, p), (t, a, b) in known.items() if (v, s, t) == (r.video_id, r.seg_idx, r.token.lower())] if len(rows) < 500 else [(r.start_ms, r.end_ms)]
-        placed[(r.start_ms, r.end_ms) in want or any(a <= r.start_ms for a, _ in want)] += 1
-    assert placed[True] == len(exact)
-    last = defaultdict(int)
-    for r in sorted(rows, key=lambda r: (r.video_id, r.seg_idx, r.pos)):
-        assert last[r.video_id, r.seg_idx] <= r.start_ms <= r.end_ms and r.confidence >= 0.5
-        last[r.video_id, r.seg_idx] = r.start_ms
-
-
 def test_t23_log_explains_every_change(spark, view):
     """Each canonical text follows from the log: a segment without a log row is the input's."""
     raw = {(v, s): (t.upper() if s % 3 == 1 else "we met Gray of CLTC; " + t).strip(" ") for v, s, t in view("line_seg", "video_id, seg_idx, text")}
