@@ -106,6 +106,9 @@ LOWER[65:91] += 32
 #: Bytes of words: ASCII letters and digits, and every byte of a character beyond ASCII.
 IS_WORD = np.zeros(256, dtype=np.int8)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: The same with 2 for all other bytes but ASCII white space.
+KIND = np.where(IS_WORD == 1, 1, 2).astype(np.int8)
+KIND[[*range(9, 14), 32]] = 0
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -168,15 +171,19 @@ def _joined(parts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), starts, np.asarray(docs, np.int64)
 
 
-def words_of(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of a block, in order, and the document of each.
+def words_of(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray, prefixes: tuple[int, ...] = (), marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of a block, in order, and the document of each; with ``marks`` runs of marks too.
 
     With ``prefixes`` one row of hashes for each word: the word, then its first bytes by those counts (the word again
     where it is shorter).
     """
-    inside = IS_WORD[buf]
+    inside = (KIND if marks else IS_WORD)[buf]
     edges = np.flatnonzero(np.diff(inside, prepend=np.int8(0), append=np.int8(0)))
-    first, last = edges[::2], edges[1::2]
+    if marks:  # a run ends where the next one begins
+        kind = inside[edges[:-1]]
+        first, last = edges[:-1][kind > 0], edges[1:][kind > 0]
+    else:
+        first, last = edges[::2], edges[1::2]
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_CODES[LOWER[buf]] * up[:-1], out=total[1:])

@@ -1,7 +1,12 @@
 """Language-model scores: cross-entropy difference between a target and a background model (Moore and Lewis, 2010).
 
-Both models are interpolated bigram models over one vocabulary, all words of all documents; nothing is cut. A document
-is scored by models without its own counts, so that what only it says is new to both.
+Both models are interpolated bigram models over one vocabulary, all words of all documents; nothing is cut. They are
+matched: the background model is counted over a sample of the documents outside the target, chosen by a hash of the
+identifier at the rate that gives it the target's bytes (all of them where they have fewer), counts are discounted by
+the same number, and what a model leaves to words that it has not seen is one share of all probability, spread evenly
+over the vocabulary, the same in both. So a
+word that neither has seen says nothing, and what the score tells does not come from the models' sizes. A document that a
+model was counted over is scored by that model without the document's own counts, so that no document has seen itself.
 
 Counts never meet in one place. Documents travel in chunks of about two megabytes; a chunk sends the words and bigrams
 it holds, once each with their counts, to buckets by hash, a bucket adds them up and answers each chunk with the totals
@@ -22,8 +27,11 @@ from pyspark.sql import functions as F
 from cuemill.llm.common import blocks, mix, pin, scratch, shuffle_partitions, small_batches, words_of
 from cuemill.llm.suffix import by_bucket, chunk_rows, chunked, pack, unpack
 
-#: Weight of the bigram estimate.
+#: Weight of the bigram estimate, and what single words leave to the whole vocabulary alike.
 WEIGHT = 0.7
+UNSEEN = 0.1
+#: Occurrences of a word or bigram that say nothing, since a few copies of a document in either corpus have them too.
+DISCOUNT = 3
 #: Text bytes of one chunk and of one bucket.
 CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
@@ -40,12 +48,12 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a chunk: key, key of the bigram that ends in it, and document of each; and what the chunk counts."""
 
-    def __init__(self, row: dict, sizes: list[int], target: np.ndarray):
+    def __init__(self, row: dict, sizes: list[int], flags: np.ndarray):
         body = zstandard.ZstdDecompressor().decompress(row["body"])
         ends = np.cumsum(sizes)
         words, docs = [], []
         for buf, starts, owner in blocks([body[e - s : e] for s, e in zip(sizes, ends.tolist(), strict=True)]):
-            h, d = words_of(buf, starts, owner)
+            h, d = words_of(buf, starts, owner, marks=True)
             words.append(h & ~_ODD)
             docs.append(d)
         self.word = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -60,7 +68,7 @@ class Words:
         owner = np.concatenate((self.doc, self.doc, self.doc[last], self.doc[last]))
         self.key, at = np.unique(every, return_inverse=True)
         self.at_word, self.at_pair = at[:n], at[n : 2 * n]
-        self.counts = np.stack([np.bincount(at, minlength=len(self.key)), np.bincount(at, target[owner], len(self.key))]).astype(np.int64)
+        self.counts = np.stack([np.bincount(at, f[owner], len(self.key)) for f in flags]).astype(np.int64)
 
     def own(self, at: np.ndarray) -> np.ndarray:
         """How often the key of each word's place occurs in the word's document."""
@@ -89,12 +97,13 @@ def _from_planes(planes: np.ndarray) -> np.ndarray:
 
 
 def _chunk_words(row: dict) -> tuple[Words, np.ndarray]:
-    target = np.array([bool(r["target"]) for r in row["rest"]], np.float64)
-    return Words(row, row["sizes"], target), target
+    """The words of a chunk, and which documents the background and the target model are counted over."""
+    flags = np.array([[r["background"], r["target"]] for r in row["rest"]], np.float64).reshape(-1, 2).T
+    return Words(row, row["sizes"], flags), flags
 
 
 def totals(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, blob of total counts), and a row a bucket without chunk: its words, target words and distinct words."""
+    """(chunk, bucket, blob of both models' counts), and a row a bucket without chunk: words of each model, distinct words of all."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
@@ -119,20 +128,21 @@ def totals(chunks: DataFrame, buckets: int) -> DataFrame:
         n = len(chunk)
         return pa.table({
             "chunk": pa.array([*chunk, None], pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int64()), "blob": pa.array([*blobs, None], pa.binary()),
-            **{c: pa.array([0] * n + [x], pa.int64()) for c, x in zip(("words", "target_words", "distinct"), stats, strict=True)},
+            **{c: pa.array([0] * n + [x], pa.int64()) for c, x in zip(("background_words", "target_words", "distinct"), stats, strict=True)},
         })
 
     sent = chunks.select("chunk", "sizes", "body", "rest").mapInArrow(send, "bucket long, chunk long, blob binary")
-    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, blob binary, words long, target_words long, distinct long"))
+    return pin(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, blob binary, background_words long, target_words long, distinct long"))
 
 
-def losses(w: Words, target: np.ndarray, found: np.ndarray, all_words: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+def losses(w: Words, flags: np.ndarray, found: np.ndarray, all_words: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of each document of a chunk, and the sum of its losses in nats under (background, target).
 
-    ``found`` holds the (background, target) totals of the chunk's keys. A document's own counts are taken off, from
-    the target only where it is in it. A first word unseen elsewhere leaves the whole weight to single words.
+    ``found`` holds the (background, target) counts of the chunk's keys. A document's own counts are taken off the model
+    that was counted over it. A first word unseen elsewhere leaves the whole weight to single words, a model without words
+    all to the vocabulary.
     """
-    docs = len(target)
+    docs = flags.shape[1]
     n = np.bincount(w.doc, minlength=docs)
     total = np.zeros((docs, 2))
     if not len(w.word):
@@ -142,11 +152,13 @@ def losses(w: Words, target: np.ndarray, found: np.ndarray, all_words: np.ndarra
     before[w.first] = np.searchsorted(w.key, START)
     own_before = np.where(w.first, 1, np.concatenate(([0], own_word[:-1])))
     for k in (0, 1):
-        mine = np.ones(len(w.word)) if k == 0 else target[w.doc]
-        single = (found[k][w.at_word] - mine * own_word + 1) / (all_words[k] - mine * n[w.doc] + distinct)
+        mine = flags[k][w.doc]
+        size = all_words[k] - mine * n[w.doc]
+        known = size > 0
+        single = np.where(known, UNSEEN, 1) / distinct + (1 - UNSEEN) * np.maximum(found[k][w.at_word] - mine * own_word - DISCOUNT, 0) / np.maximum(size, 1)
         context = found[k][before] - mine * own_before
-        seen = context > 0
-        given = np.where(seen, (found[k][w.at_pair] - mine * own_pair) / np.maximum(context, 1), 0)
+        seen = context > DISCOUNT
+        given = np.where(seen, np.maximum(found[k][w.at_pair] - mine * own_pair - DISCOUNT, 0) / np.maximum(context, 1), 0)
         total[:, k] = np.bincount(w.doc, -np.log(WEIGHT * given + np.where(seen, 1 - WEIGHT, 1) * single), docs)
     return n, total
 
@@ -155,24 +167,34 @@ def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", tex
     """One row per document: (id, n_words, target_loss, background_loss, score), losses in nats per word.
 
     ``score`` is the target's loss less the background's: the lower, the more a document resembles the target. Words
-    are lower-cased runs of letters and digits. A text without words, or null, has losses and score 0. A null ``target``
+    are lower-cased runs of letters and digits, and runs of marks; only texts over a megabyte may be cut within marks. A text without words, or null, has losses and score 0. A null ``target``
     counts as not in the target. Rows that repeat an identifier are scored each, and identifiers of any type come back
-    as they were. An empty table gives an empty table; other columns are not read.
+    as they were; rows that share one are in the background sample together. Without any target, or nothing but target, the
+    model without words takes all words of the vocabulary for equally likely. An empty table gives an empty table; other columns are not read.
     """
     with scratch(docs.sparkSession) as kept:
         return _scored(docs, target, id_col, text_col, kept).withColumnRenamed("id", id_col)
 
 
+def sampled(id_col: str, rate: float) -> Column:
+    """Whether the hash of an identifier falls into the first ``rate`` of all hashes; a null identifier has one too."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) < int(rate * (1 << 30))
+
+
 def _scored(docs: DataFrame, target: Column, id_col: str, text_col: str, path: str) -> DataFrame:
     """The rows of ``score_documents``, written to ``path``."""
     source = docs.select(F.lit(0).alias("place"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.coalesce(target, F.lit(False)).alias("target"))
     kind = dict(source.dtypes)["id"]
-    chunks = chunked(source, "place", "text", ["id", "target"], CHUNK_BYTES)
+    weights = source.groupBy("target").agg(F.sum(F.octet_length("text"))).collect()  # two rows
+    weight = {r[0]: r[1] or 0 for r in weights}
+    rate = min(1.0, weight.get(True, 0) / max(1, weight.get(False, 0)))
+    source = source.withColumn("background", ~F.col("target") & sampled("id", rate))
+    chunks = chunked(source, "place", "text", ["id", "background", "target"], CHUNK_BYTES)
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = min(1 << 24, max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES))
     with small_batches(docs.sparkSession, 1):
         answers = totals(chunks, buckets)
-    stats = answers.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target_words", "distinct"))).first()
+    stats = answers.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("background_words", "target_words", "distinct"))).first()
     all_words, distinct = np.array(stats[:2], np.float64), stats[2]
     parts = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("parts"))
 

@@ -33,7 +33,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is the documents labelled as of good quality, the background all documents."""
+    """The target is the documents labelled as of good quality, the background as many words of other documents."""
     good = pin(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct())
     docs = join_small(table(spark, sf_dir, "documents"), good, ["doc_id"], "left")
     return lm_score.score_documents(docs, F.col("good"))
