@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cuemill.llm.common import BYTE_CODES, mix, pin, scratch, shuffle_partitions, small_batches, utf8
+from cuemill.llm.common import BYTE_CODES, join_small, mix, pin, scratch, shuffle_partitions, small_batches, utf8
 
 THRESHOLD = 50
 #: Text bytes of one chunk, unless a single document is longer, and of one bucket.
@@ -468,16 +469,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the characters that a cut took some bytes of. Texts are UTF-8 bytes; windows never
     cross documents; overlaps count; windows are judged on the input. A null text counts as empty; a null identifier
     counts as larger than all others; documents with equal identifiers do not remove from each other. Texts shorter
-    than the threshold stay whole. An empty table gives an empty table.
+    than the threshold stay whole. Identifiers of any type with an order will do; what is no whole number is put in order
+    first. An empty table gives an empty table. Grams with over ``CROWDED`` occurrences are compared by 128-bit hashes of
+    their windows, all others byte by byte.
     """
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     with scratch(docs.sparkSession) as kept:
-        out = _without_repeats(docs, id_col, text_col, Depth(threshold), keep_columns, kept)
-    return out.withColumnRenamed("id", id_col) if keep_columns else out.drop("rest").withColumnRenamed("id", id_col)
+        given = docs if whole else _numbered(docs, id_col)
+        out = _without_repeats(given, id_col if whole else _NUMBER, text_col, Depth(threshold), keep_columns, kept, [] if whole else [id_col])
+    own = F.col("id") if whole else F.col("rest")[id_col]
+    return out.select(own.alias(id_col), "n_bytes", "n_removed", "spans", "kept", *(["rest"] if keep_columns else []))
 
 
-def _without_repeats(docs: DataFrame, id_col: str, text_col: str, depth: Depth, keep_columns: bool, path: str) -> DataFrame:
-    """The rows of ``repeated_passages``, written to ``path``."""
-    extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else []
+_NUMBER = "__cuemill_number"
+
+
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with the place of each identifier among the different ones, null for null: ranges and counts, no sorted task."""
+    parts = shuffle_partitions(docs.sparkSession)
+    ids = pin(docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct())
+    row = F.col("_row")
+    ranged = ids.repartitionByRange(parts, "_id").sortWithinPartitions("_id").withColumn("_row", F.monotonically_increasing_id())
+    ranged = pin(ranged.select("_id", F.shiftright(row, 33).alias("_part"), row.bitwiseAND((1 << 33) - 1).alias("_in")))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = pin(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before")))  # a row a range
+    places = join_small(ranged, counts, ["_part"], "inner").select(F.col("_id").alias("__cuemill_id"), (F.col("_in") + F.col("_before")).alias(_NUMBER))
+    return docs.join(places, F.col(id_col) == F.col("__cuemill_id"), "left").drop("__cuemill_id")
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, depth: Depth, keep_columns: bool, path: str, carried: list[str]) -> DataFrame:
+    """The rows of ``repeated_passages``, written to ``path``; ``rest`` has the ``carried`` columns in any case."""
+    extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else carried
     chunks = chunked(docs, id_col, text_col, extra, CHUNK_BYTES)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = min(1 << 24, max(4 * shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES))

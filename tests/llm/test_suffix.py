@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import suffix
 
@@ -84,3 +85,24 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, other string")
     assert suffix.repeated_passages(docs).count() == 0
     assert suffix.drop_repeated_passages(docs).count() == 0
+
+
+def test_identifiers_of_other_types(spark):
+    """Text identifiers are compared as text, dates as dates; they come back as they were."""
+    rng = np.random.default_rng(9)
+    words = ["ab", "é", "the", "of", "xyz"]
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    shared = [text(30) for _ in range(3)]
+    texts = [shared[i % 3][i % 7 :] + text(5) for i in range(40)] + [None, shared[0]]
+    names = [f"d{i}" for i in rng.permutation(40)] + ["", None]
+    frame = spark.createDataFrame(list(zip(names, texts, texts)), "doc_id string, text string, _id string").repartition(3)
+    order = {n: k for k, n in enumerate(sorted(n for n in names if n is not None))} | {None: None}
+    back = {k: n for n, k in order.items()}
+    want = sorted(((back[r[0]], *r[1:]) for r in brute([(order[n], t) for n, t in zip(names, texts)], 12)), key=repr)
+    found = suffix.repeated_passages(frame, threshold=12)
+    assert found.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found.collect()), key=repr) == want
+    kept = suffix.drop_repeated_passages(frame, threshold=12)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(names)
+    days = frame.withColumn("doc_id", F.expr("date_add(DATE'2020-01-01', try_cast(substring(doc_id, 2) AS int))")).where("doc_id is not null")
+    assert suffix.repeated_passages(days, threshold=12).agg(F.sum("n_removed")).first()[0] > 100
