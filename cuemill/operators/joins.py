@@ -156,29 +156,3 @@ def hit_segments(hits: DataFrame, seg: DataFrame) -> DataFrame:
     """Segments that any hit (video_id, segment_ids) covers."""
     ids = hits.select("video_id", F.explode("segment_ids").alias("segment_id")).distinct()
     return seg.join(ids, ["video_id", "segment_id"], "left_semi")
-
-
-def apply_rewrites(seg: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """Rewrites (video_id, order, target_segment_ids, replacement_text) on disjoint, contiguous targets.
-
-    The first target takes the text, the others go; an empty text deletes all of them unless nothing would be left. A
-    rewrite whose targets are missing or not side by side does nothing.
-    """
-    places = seg.select("video_id", "segment_id", F.row_number().over(Window.partitionBy("video_id").orderBy("seg_idx")).alias("at"))
-    t = rewrites.select("video_id", "order", "replacement_text", F.size("target_segment_ids").alias("want"), F.explode("target_segment_ids").alias("segment_id")).join(places, ["video_id", "segment_id"])
-    per = Window.partitionBy("video_id", "order")
-    t = t.withColumns({"have": F.count(F.lit(1)).over(per), "low": F.min("at").over(per), "high": F.max("at").over(per)})
-    t = t.where("have = want and high - low = want - 1")
-    total = seg.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
-    t = t.join(total, "video_id").where("not (trim(replacement_text) = '' and want >= total)")
-    t = t.select("video_id", "segment_id", (F.col("at") == F.col("low")).alias("first"), "replacement_text")
-    out = seg.join(t, ["video_id", "segment_id"], "left").where("first is null or (first and trim(replacement_text) <> '')")
-    return out.withColumn("text", F.coalesce("replacement_text", "text")).select(*seg.columns)
-
-
-def apply_bridges(seg: DataFrame, bridges: DataFrame) -> DataFrame:
-    """Left and right texts of bridges replaced, the right segment dropped where asked; one bridge a segment."""
-    left = bridges.select("video_id", F.col("left_segment_id").alias("segment_id"), F.col("left_text").alias("lt"))
-    right = bridges.select("video_id", F.col("right_segment_id").alias("segment_id"), F.col("right_text").alias("rt"), "drop_right")
-    out = seg.join(left, ["video_id", "segment_id"], "left").join(right, ["video_id", "segment_id"], "left")
-    return out.where("drop_right is null or not drop_right").withColumn("text", F.coalesce("lt", "rt", "text")).select(*seg.columns)

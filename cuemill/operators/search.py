@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.functions.settle import settled
 
 K1, B = 1.2, 0.75
 BUCKETS = 256
@@ -75,8 +76,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> Dat
 
     With ``video_id`` in the queries only that video's chunks are ranked.
     """
-    # read for the statistics and for the postings, so kept on the executors
-    listed = chunks.select("video_id", "chunk_idx", X.tokens(F.col("text")).alias("words")).persist()
+    # read for the statistics, for the postings and for their counts: split into words once
+    listed = chunks.select("video_id", "chunk_idx", "words") if "words" in chunks.columns else settled(chunks.select("video_id", "chunk_idx", X.tokens(F.col("text")).alias("words")))
     stats = listed.select(F.size("words").alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     wanted = tokenize(queries, "query", "query_id", "video_id").select("query_id", "video_id", "token").distinct()
     # only the words that are asked for go on; the rest of the corpus is counted, not shuffled
@@ -98,7 +99,8 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The same over cosines of hashed vectors, above zero only (K2 over T2): a sparse join on buckets."""
     q = hashed_vectors(tokenize(queries, "query", "query_id", "video_id"), "query_id", "video_id")
-    c = hashed_vectors(tokenize(chunks, "text", "video_id", "chunk_idx"), "video_id", "chunk_idx").withColumnRenamed("weight", "other")
+    words = chunks.select("video_id", "chunk_idx", F.explode("words").alias("token")) if "words" in chunks.columns else tokenize(chunks, "text", "video_id", "chunk_idx")
+    c = hashed_vectors(words, "video_id", "chunk_idx").withColumnRenamed("weight", "other")
     scored = q.join(c, ["video_id", "bucket"]).groupBy("query_id", "video_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("score"))
     return _top(scored.where("score > 0"), k)
 
@@ -145,10 +147,10 @@ def best_segment(hits: DataFrame, chunks: DataFrame, seg: DataFrame, queries: Da
 def hybrid_search(queries: DataFrame, chunks: DataFrame, seg: DataFrame) -> DataFrame:
     """The five best chunks of each query in its video by words and by vectors, with their best segments (K6).
 
-    ``queries`` is (query_id, video_id, query). A query without tokens has no rows. Chunks are read several times: pass a
-    stored index (``read_index``), or they are kept on the executors.
+    ``queries`` is (query_id, video_id, query). A query without tokens has no rows. Chunks are made and split into words once, in
+    a checkpointed table; nothing stays cached.
     """
-    chunks = chunks.persist()
+    chunks = settled(chunks.withColumn("words", X.tokens(F.col("text"))))
     asked = chunks.join(queries.select("video_id").distinct(), "video_id", "left_semi")
     hits = rrf(bm25_topk(queries, chunks), vector_search(queries, asked))
     return best_segment(hits, asked, seg, queries)

@@ -321,9 +321,10 @@ def dedupe_overlap(seg: DataFrame, near_ms: int = 300, most: int = 16) -> DataFr
     """The longest token suffix of a segment that begins the next one is cut from the next, where they touch in time.
 
     One token must have four characters. The left side is what an earlier cut has left of it; a segment that is cut away
-    whole is nobody's left side. ``rest`` is the text that stays, empty for a segment to drop.
+    whole is nobody's left side. ``rest`` is the original text behind the last token that is cut, without the blanks and marks
+    that were between; the whole text where nothing is cut, empty for a segment to drop.
     """
-    rows = _ordered(seg.withColumn("units", X.tokens(F.col("text"))), "units", "start_ms", "end_ms")
+    rows = _ordered(seg.withColumn("units", X.tokens(F.col("text"))), "units", "text", "start_ms", "end_ms")
     start = F.from_json(F.lit('{"left":[],"end":0,"cuts":[]}'), "struct<left:array<string>,end:bigint,cuts:array<int>>")
 
     def step(a: Column, x: Column) -> Column:
@@ -335,7 +336,13 @@ def dedupe_overlap(seg: DataFrame, near_ms: int = 300, most: int = 16) -> DataFr
         return F.struct(F.slice(units, cut + 1, F.size(units)).alias("left"), x["end_ms"].cast("bigint").alias("end"), F.concat(a["cuts"], F.array(cut)).alias("cuts"))
 
     cuts = rows.withColumn("cuts", F.aggregate("s", start, step, lambda a: a["cuts"])).select("video_id", F.explode(F.arrays_zip("s", "cuts")).alias("x"))
-    rest = F.array_join(F.slice("x.s.units", F.col("x.cuts") + 1, F.size("x.s.units")), " ")
+    # tokens of the text in its own letters; a run of word characters never gives one back to the next token
+    skip, word, other = rf"[\s{X.ASCII_PUNCT}]*", "[0-9A-Za-z_]++", rf"[^\s0-9A-Za-z_{X.ASCII_PUNCT}]"
+    pattern = F.concat(F.lit(f"^(?:{skip}(?:{word}|{other})){{"), F.col("x.cuts").cast("string"), F.lit("}"))
+    text = F.coalesce("x.s.text", F.lit(""))
+    size = F.coalesce(F.length(F.regexp_substr(X.fold_width(text), pattern)), F.lit(0))
+    left = F.regexp_replace(F.substring(text, size + 1, F.length(text)), r"^[\s,.;:!?，。！？；：、]+", "")
+    rest = F.when(F.col("x.cuts") > 0, left).otherwise(text)
     return cuts.select("video_id", "x.s.seg_idx", F.col("x.cuts").cast("long").alias("cut"), rest.alias("rest"))
 
 

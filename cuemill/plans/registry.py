@@ -17,12 +17,14 @@ from cuemill.functions import text as X
 from cuemill.operators import bridges as G
 from cuemill.operators import canonical as C
 from cuemill.operators import clauses as Z
+from cuemill.operators import edits as D
 from cuemill.operators import joins as J
 from cuemill.operators import notes as N
 from cuemill.operators import pauses as B
 from cuemill.operators import repair as P
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
+from cuemill.operators import sentences as SE
 from cuemill.operators import sequence as W
 from cuemill.operators import tables as T
 from cuemill.operators import typography as Y
@@ -370,14 +372,30 @@ def _(spark, d):
     seg = V.seg(spark, d)
     ids = F.array(F.concat_ws("-", "video_id", F.lit(1)), F.concat_ws("-", "video_id", F.lit(2)))
     rewrites = seg.where("seg_idx = 0").select("video_id", F.lit(1).alias("order"), ids.alias("target_segment_ids"), F.concat(F.lit("rewritten "), "video_id").alias("replacement_text"))
-    return J.apply_rewrites(seg, rewrites).select("video_id", "seg_idx", "text")
+    return D.rewritten(seg, rewrites)[0].select("video_id", "seg_idx", "text")
+
+
+@query("j13_in_order", """SELECT video_id, seg_idx, CASE WHEN seg_idx = 0 AND n >= 2 THEN 'both ' || video_id WHEN seg_idx = 2 AND n >= 4 THEN 'later' ELSE text END AS text
+    FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM seg) WHERE NOT (seg_idx = 1 AND n >= 2) AND NOT (seg_idx = 3 AND n >= 4)""", "seg")
+def _(spark, d):
+    """Segments 0 and 1 are rewritten to 0, so that what then names 1 does nothing; what names 2 and 3, then 2 again, does both."""
+    seg = V.seg(spark, d)
+    ids = lambda *k: F.array(*(F.concat_ws("-", "video_id", F.lit(x)) for x in k))
+    edits = F.array(
+        F.struct(F.lit(0).alias("order"), ids(0, 1).alias("target_segment_ids"), F.concat(F.lit("both "), "video_id").alias("replacement_text")),
+        F.struct(F.lit(1).alias("order"), ids(1).alias("target_segment_ids"), F.lit("lost").alias("replacement_text")),
+        F.struct(F.lit(2).alias("order"), ids(2, 3).alias("target_segment_ids"), F.lit("first").alias("replacement_text")),
+        F.struct(F.lit(3).alias("order"), F.when(F.col("n") >= 4, ids(2)).otherwise(ids(9999)).alias("target_segment_ids"), F.lit("later").alias("replacement_text")),
+    )
+    heads = seg.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    return D.rewritten(seg, heads.select("video_id", F.inline(edits)))[0].select("video_id", "seg_idx", "text")
 
 
 @query("j14_apply_bridges", "SELECT video_id, seg_idx, CASE seg_idx WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE text END AS text FROM seg WHERE NOT (seg_idx = 1 AND video_id % 2 = 0)", "seg")
 def _(spark, d):
     seg = V.seg(spark, d)
     bridges = seg.where("seg_idx = 0").select("video_id", F.col("segment_id").alias("left_segment_id"), F.concat_ws("-", "video_id", F.lit(1)).alias("right_segment_id"), F.lit("left").alias("left_text"), F.lit("right").alias("right_text"), (F.col("video_id") % 2 == 0).alias("drop_right"))
-    return J.apply_bridges(seg, bridges).select("video_id", "seg_idx", "text")
+    return D.bridged(seg, bridges)[0].select("video_id", "seg_idx", "text")
 
 
 # --- aggregates --------------------------------------------------------------------------------------------------
@@ -585,10 +603,10 @@ def _(spark, d):
 @query(
     "w13_overlap",
     r"""WITH x AS (SELECT *, CASE WHEN seg_idx % 4 = 3 THEN lag(text) OVER v WHEN seg_idx % 2 = 1 THEN coalesce(array_to_string(string_split(lag(text) OVER v, ' ')[-3:], ' '), '') || ' ' || text ELSE text END AS own FROM seg WINDOW v AS (PARTITION BY video_id ORDER BY seg_idx)),
-        r AS (SELECT video_id, seg_idx, start_ms, end_ms, regexp_extract_all(lower(own), '([0-9a-z_]+|[^\s0-9a-z_!-/:-@\[-`{-~])', 1) AS u, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM x),
-        walk AS (SELECT video_id, seg_idx, k, end_ms, u, u AS kept, 0::BIGINT AS cut FROM r WHERE k = 1 UNION ALL SELECT r.video_id, r.seg_idx, r.k, r.end_ms, r.u, r.u[c + 1:len(r.u)], c FROM walk w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1,
+        r AS (SELECT video_id, seg_idx, start_ms, end_ms, own, regexp_extract_all(lower(own), '([0-9a-z_]+|[^\s0-9a-z_!-/:-@\[-`{-~])', 1) AS u, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS k FROM x),
+        walk AS (SELECT video_id, seg_idx, k, end_ms, own, u, u AS kept, 0::BIGINT AS cut FROM r WHERE k = 1 UNION ALL SELECT r.video_id, r.seg_idx, r.k, r.end_ms, r.own, r.u, r.u[c + 1:len(r.u)], c FROM walk w JOIN r ON r.video_id = w.video_id AND r.k = w.k + 1,
         LATERAL (SELECT CASE WHEN r.start_ms <= w.end_ms + 300 AND len(w.kept) > 0 AND len(r.u) > 0 THEN coalesce(list_max(list_filter(generate_series(1, least(len(w.kept), len(r.u), 16)), lambda n: w.kept[len(w.kept) - n + 1:len(w.kept)] = r.u[1:n] AND (n > 1 OR length(r.u[1]) >= 4))), 0) ELSE 0 END AS c))
-        SELECT video_id, seg_idx, cut, array_to_string(kept, ' ') AS rest FROM walk""",
+        SELECT video_id, seg_idx, cut, CASE WHEN cut = 0 THEN own ELSE regexp_replace(own[length(regexp_extract(own, '^(?:[\s!-/:-@\[-`{-~]*(?:[0-9A-Za-z_]+|[^\s0-9A-Za-z_!-/:-@\[-`{-~])){' || cut || '}')) + 1:], '^[\s,.;:!?，。！？；：、]+', '') END AS rest FROM walk""",
     "seg",
     recursive=True,
 )
@@ -635,6 +653,13 @@ def _(spark, d):
     return W.split_sentences(V.line_seg(spark, d))
 
 
+@query("w10_token_sentences")
+def _(spark, d):
+    """The lines of the canonical chain cut by tokens, pauses and shares."""
+    lines, known = _canonical_input(spark, d)
+    return SE.split_segments(lines, SE.sentence_evidence(lines, known["tokens"], known["boundary"]), known["tokens"]).select("video_id", "seg_idx", "part", "segment_id", "start_ms", "end_ms", "text")
+
+
 @query("w20_suspicions")
 def _(spark, d):
     lines = V.line_seg(spark, d)
@@ -1172,11 +1197,32 @@ def _(spark, d):
     return tables["boundary"].withColumn("table", F.lit("boundary")).unionByName(tables["punctuation"].withColumn("table", F.lit("punctuation")), allowMissingColumns=True).withColumn("confidence", F.round("confidence", 6))
 
 
-def _canonical(spark, d):
+def _canonical_input(spark, d):
+    """Loud lines, some beginning with the end of the one before, some with a loop or a spelt name; and evidence of six kinds for them."""
+    w = Window.partitionBy("video_id").orderBy("seg_idx")
     lines = _loud_lines(spark, d)
+    before = F.split(F.trim(F.lag("text").over(w)), " ")
+    again = F.array_join(F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), 3), " ")
+    spoken = F.when(F.col("seg_idx") % 6 == 3, F.replace("text", F.lit("CLTC"), F.lit("C L T C"))).when(F.col("seg_idx") % 11 == 5, F.concat(F.lit("well well well, well "), "text"))
+    lines = lines.withColumn("text", F.when((F.col("seg_idx") % 4 == 1) & F.lag("text").over(w).isNotNull(), F.concat(again, F.lit(" "), F.trim("text"))).otherwise(F.coalesce(spoken, F.col("text"))))
+    lines = lines.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     half = F.floor(F.length("text") / 2)
-    punctuation = lines.where("seg_idx % 7 = 3").select("video_id", "seg_idx", half.alias("char_offset"), F.lit(0.9).alias("confidence"))
-    return C.canonicalize_corpus(lines, {"punctuation": punctuation})
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([0-9a-z']+)"), F.lit(1))
+    tokens = lines.where("seg_idx % 11 = 5 or seg_idx % 3 = 0").withColumn("n", F.size(words)).select("video_id", "seg_idx", "start_ms", "end_ms", "n", F.posexplode(words).alias("pos", "token"))
+    at = lambda k: (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.col("n"))).cast("long")
+    tokens = tokens.select("video_id", "seg_idx", F.col("pos").cast("long").alias("pos"), "token", at(F.col("pos")).alias("start_ms"), at(F.col("pos") + 1).alias("end_ms"), F.lit(0.8).alias("confidence"))
+    pauses = lines.where("seg_idx % 5 = 2").select(
+        "video_id", "seg_idx", half.alias("char_offset"), F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("time_ms"), F.lit(400).cast("long").alias("gap_ms"), F.lit(0.8).alias("confidence"), F.lit("acoustic_pause").alias("kind"),
+    )
+    return lines, {
+        "confidence": lines.where("seg_idx % 2 = 0").select("video_id", "seg_idx", F.lit(0.4).alias("avg_confidence")),
+        "punctuation": lines.where("seg_idx % 7 = 3").select("video_id", "seg_idx", half.alias("char_offset"), F.lit(0.9).alias("confidence")),
+        "tokens": tokens, "boundary": pauses, "pauses": pauses, "glossary": V.gloss(spark, d),
+    }
+
+
+def _canonical(spark, d):
+    return C.canonicalize_corpus(*_canonical_input(spark, d))
 
 
 @query("t23_canonical")

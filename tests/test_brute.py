@@ -310,30 +310,6 @@ def test_t8_query_changes_only_case(spark, view):
     assert len(cased) > 20 and all(r.seg_idx % 3 == 1 or "cltc" in r.text.lower() for r in cased)
 
 
-def test_t23_log_explains_every_change(spark, view):
-    """Each canonical text follows from the log: a segment without a log row is the input's."""
-    raw = {(v, s): (t.upper() if s % 3 == 1 else "we met Gray of CLTC; " + t).strip(" ") for v, s, t in view("line_seg", "video_id, seg_idx, text")}
-    log = defaultdict(list)
-    operations = Counter()
-    for r in run(spark, "t23_log"):
-        operations[r.operation] += 1
-        log[r.video_id, r.seg_idx].append((r.stage, r.before, r.after))
-        if r.operation == "relocate_boundary":  # one row for both sides
-            log[r.video_id, r.seg_idx].append((r.stage, r.before, r.after.split(" | ")[0]))
-            log[r.video_id, "right"].append((r.stage, r.before, r.after.split(" | ")[1]))
-    rows = {(r.video_id, r.seg_idx): r.text for r in run(spark, "t23_canonical")}
-    assert rows.keys() <= raw.keys() and {s for x in log.values() for s, *_ in x} >= {"punctuation", "typography", "semantic_boundary"}
-    for k, text in rows.items():
-        if k not in log:
-            assert text == raw[k] or any(after == text for _, _, after in log.get((k[0], "right"), []))
-        else:
-            assert any(after == text for _, _, after in log[k] + log.get((k[0], "right"), []))
-    gone = raw.keys() - rows.keys()
-    joined = sum(operations[x] for x in ("merge_boundary", "merge_semantic_boundary"))
-    removed = sum(1 for k in gone if any(after == "" for _, _, after in log[k]))
-    assert len(gone) == joined + removed
-
-
 def test_merge_limits_and_order(spark):
     """Sixty and sixty characters join, an overlap stays for the de-duplication, paragraphs count texts alone."""
     seg = lambda rows: spark.createDataFrame([(1, i, a, b, t) for i, (a, b, t) in enumerate(rows)], "video_id long, seg_idx long, start_ms long, end_ms long, text string")
