@@ -27,9 +27,11 @@ def _clock_ms(text: Column) -> Column:
 def parse_srt(files: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Cues (file, cue, start_ms, end_ms, text) of subtitle bodies; with windows only those whose middle a window holds.
 
-    Blocks end at blank lines, an index line may be missing, model tags go, a cue lasts 0.05 s at least.
+    Blocks end at blank lines and before a number line that a clock line follows; an index line may be missing, model tags go, a
+    cue lasts 0.05 s at least.
     """
-    blocks = files.select("file", F.posexplode(F.split(F.regexp_replace("body", "\r\n?", "\n"), r"\n[ \t]*\n+")).alias("cue", "block"))
+    ends = r"\n[ \t]*\n+|\n(?=[ \t]*\d+[ \t]*\n[ \t]*[0-9:.,]+[ \t]*-->)"
+    blocks = files.select("file", F.posexplode(F.split(F.regexp_replace("body", "\r\n?", "\n"), ends)).alias("cue", "block"))
     line = F.regexp_extract("block", r"(?m)^[ \t]*([0-9:.,]+)[ \t]*-->[ \t]*([0-9:.,]+).*$", 0)
     rows = blocks.withColumn("line", line).where("line <> ''")
     start, end = (_clock_ms(F.regexp_extract("line", r"([0-9:.,]+)[ \t]*-->[ \t]*([0-9:.,]+)", i)) for i in (1, 2))

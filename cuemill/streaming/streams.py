@@ -43,7 +43,7 @@ def unique_cues(cues: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stable_spans(spans: DataFrame, delay: str = "30 seconds", window: str = "1 minute") -> DataFrame:
-    """Per video and window the speech that has ended before the watermark; append mode emits only what is final."""
+    """Per video and window the speech that has ended before the watermark; append mode emits only what is final; pairs of neighbours come from ``stable_pauses``."""
     timed = spans.withWatermark("ts", delay).groupBy("video_id", F.window("ts", window).alias("w"))
     return timed.agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms")).select("video_id", F.col("w.start").alias("from_ts"), "spans", "speech_ms")
 
@@ -59,27 +59,63 @@ def _clock(text: str) -> int | None:
 
 
 class CueProcessor(StatefulProcessor):
-    """Subtitle lines of a video to cues: a blank line ends a cue, what is incomplete waits in state."""
+    """Subtitle lines of a video to cues (X1): a blank line ends a cue, and so does the number line of the next one.
+
+    A line that is a whole number may be spoken text or the next cue's number, which only the line after it tells: it waits in
+    state, with what is incomplete. A null line ends the input. Where lines have event times, a tail to which nothing was
+    added for ``idle_ms`` of them ends too.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "cue long, body string")
+        self.handle = handle
+        self.state = handle.getValueState("open", "cue long, body string, number string, due long")
+
+    def _open(self) -> tuple[int, str, str | None, int]:
+        return tuple(self.state.get()) if self.state.exists() else (0, "", None, 0)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        cue, body = self.state.get() if self.state.exists() else (0, "")
-        lines = pd.concat(list(rows)).sort_values("line_no")["line"].tolist()
+        cue, body, number, due = self._open()
+        got = pd.concat(list(rows)).sort_values("line_no", kind="stable")
         out = []
-        for line in lines:
-            if line.strip():
-                body += line + "\n"
-                continue
+
+        def end() -> None:
+            nonlocal cue, body
             found = self._cue(body)
             if found:
                 out.append((key[0], cue, *found))
                 cue += 1
             body = ""
-        self.state.update((cue, body))
+
+        for line in got["line"]:
+            over = line is None or line != line
+            if number is not None:
+                if not over and "-->" in line:
+                    end()
+                body, number = body + number + "\n", None
+            if over or not line.strip():
+                end()
+            elif "-->" in body and line.strip().isdecimal():
+                number = line
+            else:
+                body += line + "\n"
+        if self.idle_ms is not None:
+            if due:
+                self.handle.deleteTimer(due)
+            due = int(got["ts"].max().timestamp() * 1000) + self.idle_ms if body or number is not None else 0
+            if due:
+                self.handle.registerTimer(due)
+        self.state.update((cue, body, number, due))
         yield pd.DataFrame(out, columns=["video_id", "cue", "start_ms", "end_ms", "text"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        cue, body, number, _ = self._open()
+        found = self._cue(body + (number or ""))
+        self.state.update((cue + bool(found), "", None, 0))
+        yield pd.DataFrame([(key[0], cue, *found)] if found else [], columns=["video_id", "cue", "start_ms", "end_ms", "text"])
+
     @staticmethod
     def _cue(body: str):
         head, arrow, rest = body.partition("-->")
@@ -91,9 +127,69 @@ class CueProcessor(StatefulProcessor):
         pass
 
 
-def cue_stream(lines: DataFrame) -> DataFrame:
-    """Cues of a stream of lines (video_id, line_no, line); needs the RocksDB state store."""
-    return lines.groupBy("video_id").transformWithStateInPandas(CueProcessor(), CUES, "Append", "None")
+def cue_stream(lines: DataFrame, idle: str | None = None, delay: str = "10 seconds") -> DataFrame:
+    """Cues of a stream of lines (video_id, line_no, line and, with ``idle``, ts); needs the RocksDB state store.
+
+    Lines of a video come in order, in any cuts. With ``idle``, an interval such as ``30 seconds``, a tail ends once the watermark
+    is that far behind its last line.
+    """
+    if idle is None:
+        return lines.groupBy("video_id").transformWithStateInPandas(CueProcessor(), CUES, "Append", "None")
+    timed = lines.withWatermark("ts", delay)
+    return timed.groupBy("video_id").transformWithStateInPandas(CueProcessor(int(pd.Timedelta(idle).total_seconds() * 1000)), CUES, "Append", "EventTime")
+
+
+class PairProcessor(StatefulProcessor):
+    """Neighbouring spans of speech once both are stable (X3): spans wait in state until the watermark has passed their event time.
+
+    A timer for each waiting event time hands on, in order, what is stable by then; the last stable span stays as the left side of
+    the next pair. So each pair comes out once, in the range between the watermark before and the one that has passed it.
+    """
+
+    def __init__(self, least_ms: int, most_ms: int):
+        self.least_ms, self.most_ms = least_ms, most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "due long, seg_idx long", "start_ms long, end_ms long")
+        self.last = handle.getValueState("last", "seg_idx long, end_ms long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for part in rows:
+            for r in part.itertuples(index=False):
+                due = int(r.ts.timestamp() * 1000)
+                self.waiting.updateValue((due, int(r.seg_idx)), (int(r.start_ms), int(r.end_ms)))
+                self.handle.registerTimer(due)
+        yield pd.DataFrame({c: [] for c in ("video_id", "seg_idx", "from_ms", "gap_ms", "mid_ms")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        stable = sorted(k for k in self.waiting.keys() if k[0] <= now)
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for k in stable:
+            start, end = self.waiting.getValue(k)
+            self.waiting.removeKey(k)
+            if before is not None and self.least_ms <= start - before[1] <= self.most_ms:
+                gap = start - before[1]
+                out.append((key[0], before[0], before[1], gap, before[1] + gap // 2))
+            before = (k[1], end)
+        if before is not None:
+            self.last.update(before)
+        yield pd.DataFrame(out, columns=["video_id", "seg_idx", "from_ms", "gap_ms", "mid_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def stable_pauses(spans: DataFrame, delay: str = "30 seconds", least_ms: int = 200, most_ms: int = 3000) -> DataFrame:
+    """Pauses between neighbouring spans (video_id, seg_idx, ts, start_ms, end_ms), as ``sequence.pauses`` gives them.
+
+    Event times rise with ``seg_idx``; rows may come in any order within ``delay``, later ones are lost as the watermark says. A span that is sent again counts once.
+    """
+    timed = spans.withWatermark("ts", delay).select("video_id", "seg_idx", "ts", "start_ms", "end_ms")
+    kind = "video_id long, seg_idx long, from_ms long, gap_ms long, mid_ms long"
+    return timed.groupBy("video_id").transformWithStateInPandas(PairProcessor(least_ms, most_ms), kind, "Append", "EventTime")
 
 
 class StitchProcessor(StatefulProcessor):

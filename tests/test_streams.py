@@ -74,3 +74,56 @@ def test_running_language(spark, tmp_path):
     streams.merge_available(streams.script_counts(stream), str(tmp_path / "out"), str(tmp_path / "check"), ["video_id"])
     got = {r.video_id: (r.segments, r.language) for r in streams.read_merged(spark, str(tmp_path / "out"), ["video_id"]).collect()}
     assert got == {1: (2, "Chinese"), 2: (1, "English")}
+
+
+def test_the_next_number_ends_a_cue_in_any_cut(spark, tmp_path):
+    """Cues without blank lines between, numbers as text, and a tail; whatever the cut, the stream gives what the batch reader does."""
+    from cuemill.sources import formats
+
+    body = "1\n00:00:01,000 --> 00:00:04,500\nHello world!\n\n2\n00:00:05,200 --> 00:00:08,100\nThis is line 2.\n3\n00:00:08,500 --> 00:00:10,000\n42\nis the answer\n7\n\n00:00:11 --> 00:00:12\nno number\n9\n"
+    want = {(r.start_ms, r.end_ms, r.text) for r in formats.parse_srt(spark.createDataFrame([("a", body)], "file string, body string")).collect()}
+    assert {w[2] for w in want} == {"Hello world!", "This is line 2.", "42\nis the answer\n7", "no number\n9"}
+    lines = [*body.split("\n")[:-1], None]
+    schema = "video_id long, line_no long, line string"
+    runs = [[(v, k, line) for v, cut in enumerate(cuts) for k, line in enumerate(lines) if (k >= cut) == late] for cuts in [tuple(range(1, len(lines)))] for late in (False, True)]
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for rows in runs:
+        streams.run_available(streams.cue_stream(read(spark, spark.createDataFrame(rows, schema), source)), out, check)
+    got = {}
+    for r in spark.read.parquet(out).collect():
+        got.setdefault(r.video_id, set()).add((r.start_ms, r.end_ms, r.text))
+    assert len(got) == len(lines) - 1 and all(g == want for g in got.values())
+
+
+def test_an_idle_tail_ends_with_the_watermark(spark, tmp_path):
+    rows = [(1, 0, "5", 0), (1, 1, "00:01 --> 00:02", 0), (1, 2, "tail", 1), (1, 3, "8", 1), (2, 0, "x", 400)]
+    frame = spark.createDataFrame(rows, "video_id long, line_no long, line string, s long").selectExpr("video_id", "line_no", "line", "timestamp_seconds(1700000000 + s) AS ts")
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    streams.run_available(streams.cue_stream(read(spark, frame, str(tmp_path / "in")), "30 seconds"), out, check)
+    assert [(r.video_id, r.start_ms, r.text) for r in spark.read.parquet(out).collect()] == [(1, 1000, "tail\n8")]
+
+
+def test_stable_pairs_are_those_of_the_batch(spark, tmp_path):
+    """Shuffled input in small files over two runs: each pause comes out once, and only stable ones before the end."""
+    from cuemill.operators import sequence
+
+    spans = spark.range(300).selectExpr(
+        "id % 3 AS video_id", "id DIV 3 AS seg_idx", "timestamp_seconds(1700000000 + (id DIV 3) * 2) AS ts", "(id DIV 3) * 2000 + id * 37 % 500 AS start_ms", "(id DIV 3) * 2000 + 900 + id * 91 % 1000 AS end_ms",
+    ).cache()
+    want = {tuple(r) for r in sequence.pauses(spans).collect()}
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for low, high in ((0, 50), (50, 100)):
+        part = spans.where(f"seg_idx >= {low} and seg_idx < {high}")
+        for lo in range(low, high, 10):  # within ten spans any order
+            part.where(f"seg_idx >= {lo} and seg_idx < {lo + 10}").orderBy(F.rand(lo)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        streams.run_available(streams.stable_pauses(stream, "40 seconds"), out, check)
+        got = [tuple(r) for r in spark.read.parquet(out).select("video_id", "seg_idx", "from_ms", "gap_ms", "mid_ms").collect()]
+        assert len(set(got)) == len(got) and set(got) <= want
+        assert set(got) == {w for w in want if w[1] < high - 21}
+    end = spark.createDataFrame([(9, 0, 0, 0)], "video_id long, seg_idx long, start_ms long, end_ms long").selectExpr("video_id", "seg_idx", "timestamp_seconds(1800000000) AS ts", "start_ms", "end_ms")
+    end.write.mode("append").parquet(source)
+    streams.run_available(streams.stable_pauses(spark.readStream.schema(spans.schema).parquet(source), "40 seconds"), out, check)
+    got = [tuple(r) for r in spark.read.parquet(out).select("video_id", "seg_idx", "from_ms", "gap_ms", "mid_ms").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    spans.unpersist()
