@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.functions.settle import settled
 
-SEGMENTS = "array<struct<id:string,start:double,end:double,start_time:double,end_time:double,text:string,transcript:string>>"
 #: File extensions of media.
 VIDEO_EXTENSIONS = "mp4 mkv mov avi webm flv m4v wmv ts".split()
 AUDIO_EXTENSIONS = "mp3 m4a wav aac flac ogg opus wma".split()
@@ -45,36 +50,106 @@ def parse_srt(files: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def _cue(start: Column, end: Column, text: Column) -> Column:
-    return F.struct(F.lit(None).cast("string").alias("id"), start.alias("start"), end.alias("end"), text.alias("text"))
+#: The keys of cue lists in the order they are read, and those of whole texts.
+LISTS, TEXTS = ("segments", "utterances", "results", "chunks"), ("text", "transcript", "transcription", "output")
+_TAGGED = r"(\[[0-9]+(?:\.[0-9]+)?\](?:\s*\[S\d+\])?\s*[^\[\]]+?\s*\[[0-9]+(?:\.[0-9]+)?\])"
+_TAG_PARTS = r"\[([0-9.]+)\](?:\s*\[S\d+\])?\s*([^\[\]]+?)\s*\[([0-9.]+)\]"
+
+
+#: What a body of JSON looks like from its start: the parser itself takes ``[0.5] text`` for an array and leaves the text.
+_JSON = r'^\s*(?:\{|\[\s*(?:[\]{\["]|-?[0-9][^\]]*\]\s*$)|"|(?:-?[0-9.eE+-]+|true|false|null)\s*$)'
+
+
+def _variant(body: str) -> Column:
+    return F.when(F.col(body).rlike(_JSON), F.try_parse_json(body))
+
+
+def _is(v: Column, kind: str) -> Column:
+    """A variant as an array or a map of variants; null where it is none."""
+    return F.try_variant_get(v, "$", {"array": "array<variant>", "object": "map<string,variant>"}[kind])
+
+
+def _number(item: Column, *keys: str) -> Column:
+    """The first of the keys that holds a number."""
+    found = [F.when(F.schema_of_variant(F.try_variant_get(item, f"$.{k}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(item, f"$.{k}", "double")) for k in keys]
+    return F.coalesce(*found)
+
+
+def _string(item: Column, *keys: str) -> Column:
+    found = [F.when(F.schema_of_variant(F.try_variant_get(item, f"$.{k}", "variant")) == "STRING", F.try_variant_get(item, f"$.{k}", "string")) for k in keys]
+    return F.coalesce(*found)
+
+
+def _cue_items(bodies: DataFrame) -> DataFrame:
+    """(_k, path, item): the entries of cue lists in objects of any depth, ``path`` in the order they are read.
+
+    Level by level: of an object the lists under the known keys, in their order, then what is under its other keys: an array is
+    a list too, an object is looked into in turn. A body that is an array is a list.
+    """
+    once = bodies.select("_k", "body").dropDuplicates(["_k"])
+    nodes = settled(once.select("_k", _variant("body").alias("v"), F.array().cast("array<string>").alias("path")))
+    found = [nodes.select("_k", "path", F.posexplode(_is(F.col("v"), "array")).alias("pos", "item"))]
+    rank = F.coalesce(*(F.when(F.col("key") == k, F.lit(f"0{i}")) for i, k in enumerate(LISTS)), F.concat(F.lit("1"), "key"))
+    while not nodes.isEmpty():  # once a level of nesting
+        children = nodes.select("_k", "path", F.explode(_is(F.col("v"), "object")).alias("key", "v"))
+        children = children.select("_k", F.concat("path", F.array(rank)).alias("path"), "key", "v")
+        found.append(children.select("_k", "path", F.posexplode(_is(F.col("v"), "array")).alias("pos", "item")))
+        nodes = settled(children.where(~F.col("key").isin(*LISTS) & _is(F.col("v"), "object").isNotNull()).select("_k", "v", "path"))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("_k", F.concat("path", F.array(F.lpad(F.col("pos").cast("string"), 10, "0"))).alias("path"), "item")
+
+
+def _spoken(value: object) -> str:
+    """The text of a parsed body without lists: the first that is not blank, known keys before others, arrays joined by blanks."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        return " ".join(filter(str.strip, map(_spoken, value)))
+    if not isinstance(value, dict):
+        return ""
+    return next(filter(str.strip, (_spoken(value[k]) for k in [*(k for k in TEXTS if k in value), *sorted(value)])), "")
+
+
+def _whole_text(body: str | None) -> str | None:
+    try:
+        return None if body is None else _spoken(json.loads(body))
+    except ValueError:  # something follows the JSON
+        return body
 
 
 def parse_asr_json(bodies: DataFrame) -> DataFrame:
-    """Cues (id, cue, start_s, end_s, text) of recogniser bodies (id, body, duration) in their known shapes (S3).
+    """Cues (id, cue, start_s, end_s, text) of recogniser bodies (id, body, duration), whatever their nesting (S3).
 
-    Lists under segments, utterances, results or chunks, at the top or under ``result`` or ``data``; else the whole
-    text of the body; else tagged text ``[t0] words [t1]``. Valid JSON without speech has no cues.
+    Entries of cue lists (``_cue_items``) count if they have a start, an end and a text; their order is ``cue``. A body without such takes
+    the first text in it: tagged text ``[t0] words [t1]`` in its parts, any other as one cue; a body that is no JSON is that text itself.
+    Valid JSON without speech has no cues, nor has a null body. Times are clamped to the duration, a cue lasts 0.05 s where there is room.
     """
-    names = ("segments", "utterances", "results", "chunks")
-    inner = ",".join(f"{n}:{SEGMENTS}" for n in names) + ",text:string"
-    parsed = F.from_json("body", f"struct<{inner},result:struct<{inner}>,data:struct<{inner}>>")
-    rows = bodies.withColumn("j", parsed)
-    lists = [F.col(f"j.{p}{n}") for p in ("", "result.", "data.") for n in names]
-    some = F.filter(F.array(*(F.coalesce(x, F.array().cast(SEGMENTS)) for x in lists)), lambda x: F.size(x) > 0)
-    items = F.transform(F.flatten(some), lambda x: _cue(F.coalesce(x["start"], x["start_time"]), F.coalesce(x["end"], x["end_time"]), F.coalesce(x["text"], x["transcript"])))
-    whole = F.trim(F.coalesce("j.text", "j.result.text", "j.data.text", F.lit("")))
-    is_json = F.trim("body").rlike(r"^(\{|\[\s*[\]{])")
-    tag = r"\[([0-9.]+)\]([^\[]+)\[([0-9.]+)\]"
+    rows = bodies.withColumn("_k", F.sha2(F.coalesce("body", F.lit("")), 256)).withColumn("v", _variant("body"))
+    start, end, text = _number(F.col("item"), "start", "start_time"), _number(F.col("item"), "end", "end_time"), _string(F.col("item"), "text", "transcript")
+    items = _cue_items(rows.where("v is not null")).select("_k", "path", start.alias("start"), end.alias("end"), X.clean_asr(text).alias("text"))
+    items = items.where("start is not null and end is not null and text is not null")
+    spoken = F.col("text").rlike(r"[\p{L}\p{N}]")
+    listed = items.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("path", "start", "end", "text"))).alias("items"), F.max(spoken).alias("spoken"))
+
+    @F.pandas_udf("string")
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(_whole_text)
+
+    rows = rows.join(listed, "_k", "left").withColumn("spoken", F.coalesce("spoken", F.lit(False)))
+    alone = F.when(F.col("v").isNotNull() & ~F.col("spoken"), F.col("body"))
+    rows = rows.withColumn("whole", F.when(F.col("v").isNull(), F.col("body")).when(~F.col("spoken"), whole(alone)))
+    cue = lambda a, z, t: F.struct(a.alias("start"), z.alias("end"), X.clean_asr(t).alias("text"))
     tagged = F.transform(
-        F.regexp_extract_all("body", F.lit(r"(\[[0-9.]+\][^\[]+\[[0-9.]+\])"), F.lit(1)),
-        lambda t: _cue(F.regexp_extract(t, tag, 1).try_cast("double"), F.regexp_extract(t, tag, 3).try_cast("double"), F.regexp_extract(t, tag, 2)),
+        F.regexp_extract_all("whole", F.lit(_TAGGED), F.lit(1)),
+        lambda t: cue(F.regexp_extract(t, _TAG_PARTS, 1).try_cast("double"), F.regexp_extract(t, _TAG_PARTS, 3).try_cast("double"), F.regexp_extract(t, _TAG_PARTS, 2)),
     )
-    one = F.array(_cue(F.lit(0.0), F.col("duration"), whole))
-    cues = F.when(F.size(items) > 0, items).when(is_json & (whole != ""), one).when(~is_json, tagged)
+    one = F.array(cue(F.lit(0.0), F.col("duration").cast("double"), F.col("whole")))
+    own = F.transform("items", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    cues = F.when(F.col("spoken"), own).when(F.size(tagged) > 0, tagged).when(F.trim("whole") != "", one)
     out = rows.select("id", "duration", F.posexplode(cues).alias("cue", "c"))
-    clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.col("duration"))
-    text = X.clean_asr(X.text_of(F.col("c.text")))
-    return out.select("id", F.col("cue").cast("long").alias("cue"), clamp(F.coalesce("c.start", F.lit(0.0))).alias("start_s"), clamp(F.coalesce("c.end", "duration")).alias("end_s"), text.alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    start = F.least(F.greatest("c.start", F.lit(0.0)), "duration")
+    end = F.least(F.greatest(F.col("c.end"), start + 0.05), F.greatest(F.col("duration"), start))
+    return out.select("id", F.col("cue").cast("long").alias("cue"), start.alias("start_s"), end.alias("end_s"), F.col("c.text").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
 
 
 def parse_silence_log(lines: DataFrame) -> DataFrame:

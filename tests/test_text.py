@@ -73,7 +73,7 @@ def test_recogniser_bodies(spark):
     ]
     df = spark.createDataFrame([(*b, 5.0) for b in bodies], "id string, body string, duration double")
     got = {r.id: (r.start_s, r.end_s, r.text) for r in formats.parse_asr_json(df).collect()}
-    assert got == {"a": (0.5, 5.0, "one"), "b": (1.0, 2.0, "two"), "c": (0.0, 5.0, "whole"), "d": (0.0, 1.5, "tagged text")}
+    assert got == {"a": (0.5, 5.0, "one"), "b": (1.0, 2.0, "two"), "c": (0.0, 5.0, "whole"), "d": (0.0, 1.5, "tagged text"), "f": (0.0, 5.0, "nothing here")}
 
 
 def test_silence_log(spark):
@@ -144,3 +144,32 @@ def test_deep_pages_follow_key_sets(spark):
     first = videos.orderBy(F.desc("updated_at"), F.desc("video_id")).limit(40).collect()
     page = [r.video_id for r in tables.library_after(videos, first[19].updated_at, first[19].video_id, 20).collect()]
     assert page == [r.video_id for r in first[20:40]]
+
+
+def test_recogniser_lists_at_any_depth(spark):
+    """Lists one to six objects deep, several in one body, beside text; entries without a time or a text do not count."""
+    import json
+
+    from cuemill.sources import formats
+
+    item = lambda k, t: {"start": k, "end": k + 1, "text": t}
+    deep = {"segments": [item(9, "deep")]}
+    for _ in range(5):
+        deep = {"x": deep, "n": 1}
+    bodies = {
+        "deep": (deep, [(9.0, 10.0, "deep")]),
+        "top": ([item(1, "a"), {"start": 2, "end": 3}, item(4, "b")], [(1.0, 2.0, "a"), (4.0, 5.0, "b")]),
+        "order": ({"z": {"results": [item(5, "z")]}, "b": [item(4, "b")], "chunks": [item(3, "chunks")], "utterances": [{"start_time": 2, "end_time": 3.5, "transcript": "<|en|> said [1.0]"}], "segments": [item(1, "one"), item(1, " ... ")]},
+                  [(1.0, 2.0, "one"), (2.0, 3.5, "said"), (3.0, 4.0, "chunks"), (4.0, 5.0, "b"), (5.0, 6.0, "z")]),
+        "strings": ({"segments": [{"start": "1", "end": 2, "text": "x"}], "output": {"text": "whole text"}}, [(0.0, 20.0, "whole text")]),
+        "text": ({"a": {"transcript": ""}, "b": ["one", {"text": "two"}]}, [(0.0, 20.0, "one two")]),
+        "tagged": ({"text": "[0.5] [S01] hello there [1.5] [2] again [99]"}, [(0.5, 1.5, "hello there"), (2.0, 20.0, "again")]),
+        "silent": ({"segments": [], "text": " "}, []), "number": (5, []), "clamped": ([item(-3, "early"), item(30, "late")], [(0.0, 0.05, "early"), (20.0, 20.0, "late")]),
+    }
+    rows = [(k, json.dumps(b), 20.0) for k, (b, _) in bodies.items()] + [("plain", "just words", 20.0), ("marks", "[1.0] said so [2.0]", 20.0), ("null", None, 20.0), ("top", json.dumps(bodies["top"][0]), 20.0), ("bad", '{"text": "cut', 20.0)]
+    got = {}
+    for r in formats.parse_asr_json(spark.createDataFrame(rows, "id string, body string, duration double")).orderBy("id", "cue").collect():
+        got.setdefault(r.id, []).append((r.start_s, r.end_s, r.text))
+    want = {k: w for k, (_, w) in bodies.items() if w} | {"plain": [(0.0, 20.0, "just words")], "marks": [(1.0, 2.0, "said so")], "bad": [(0.0, 20.0, '{"text": "cut')]}
+    want["top"] = [x for x in want["top"] for _ in (0, 1)]  # two rows of one name and body
+    assert got == want
