@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 from cuemill.functions.settle import settled
+from cuemill.sources.versions import Change, Versions
 
 K1, B = 1.2, 0.75
 BUCKETS = 256
@@ -169,28 +168,21 @@ def _indexed(chunks: DataFrame) -> DataFrame:
 def reindex(path: str, chunks: DataFrame, videos: DataFrame) -> None:
     """The index at ``path`` with the rows of ``videos`` (video_id) replaced by those of ``chunks``.
 
-    The index is a Parquet folder by hash part; only the parts of these videos are read and written again, by dynamic
-    partition overwrite through a staging folder beside it. A video without chunks leaves a marker row, which
-    ``read_index`` hides, so that a part may become empty.
+    The index is a versioned table by hash part; only the parts of these videos are read and written again, and all of them
+    change in one commit, which a stopped run leaves undone. Folders of versions before the last one go.
     """
-    spark = chunks.sparkSession
+    store = Versions(chunks.sparkSession, path)
     ids = videos.select("video_id").distinct()
-    new = _indexed(chunks.join(ids, "video_id", "left_semi"))
-    gone = ids.join(new.select("video_id").distinct(), "video_id", "left_anti").withColumn("chunk_idx", F.lit(-1).cast("long"))
-    gone = gone.withColumn("part", F.pmod(F.xxhash64("video_id"), F.lit(PARTS)))
-    rows = new.unionByName(gone, allowMissingColumns=True)
-    try:
-        old = spark.read.schema(rows.schema).parquet(path)
-    except AnalysisException:  # no index yet
-        rows.write.partitionBy("part").parquet(path)
-        return
-    parts = ids.select(F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).alias("part")).distinct()
-    kept = old.join(F.broadcast(parts), "part", "left_semi").join(ids, "video_id", "left_anti").where("chunk_idx >= 0")  # at most 64 parts
-    staging = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"
-    kept.unionByName(rows).write.parquet(staging)
-    spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    rows = _indexed(chunks.join(ids, "video_id", "left_semi"))
+    base = store.current()
+    touched = [r[0] for r in ids.select(F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).alias("part")).distinct().collect()]  # at most 64
+    old = store.read("index", base)
+    if old is not None:
+        rows = rows.unionByName(old.where(F.col("part").isin(touched)).join(ids, "video_id", "left_anti"))
+    store.commit({"index": Change(rows, "part", tuple(map(str, touched)))}, base)
+    store.vacuum(keep=2)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Stored chunks, for ``hybrid_search`` and ``bm25_topk``."""
-    return spark.read.parquet(path).where("chunk_idx >= 0").drop("part")
+    """Stored chunks, for ``hybrid_search`` and ``bm25_topk``, of the version that is the last one now."""
+    return Versions(spark, path).read("index").drop("part")

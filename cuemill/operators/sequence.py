@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.functions.settle import settled
 from cuemill.operators.joins import entity_variants
 
 
@@ -353,16 +354,19 @@ def monotone_starts(tok: DataFrame) -> DataFrame:
 
 
 def append_positions(new: DataFrame, queue: DataFrame) -> DataFrame:
-    """New queue items (item_id, arrival) at the positions after the queue's last one, in order of arrival.
+    """New queue items (item_id, arrival) at the positions after the queue's last one, in order of arrival, then of item.
 
-    Items are ranked inside hashed parts of the arrival order, so no task sorts all of them.
+    Two levels: items are dealt out by ranges of (arrival, item), where a moment with very many items is many ranges, and
+    numbered inside each; a range's items follow those of the ranges before it, which is a sum over one row a range.
     """
+    row = F.col("_row")
+    ranged = new.select("item_id", "arrival").repartitionByRange("arrival", "item_id").sortWithinPartitions("arrival", "item_id")
+    ranged = settled(ranged.withColumn("_row", F.monotonically_increasing_id()).select("item_id", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at")))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("shift"))  # a row a range
     last = queue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last"))
-    cells = new.withColumn("cell", F.floor(F.col("arrival") / 100_000))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    shift = sizes.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("arrival", "item_id"))).join(shift, "cell")
-    return ranked.crossJoin(F.broadcast(last)).select("item_id", (F.col("last") + F.col("shift") + F.col("rank")).cast("long").alias("position"))
+    out = ranged.join(F.broadcast(shift), "part").crossJoin(F.broadcast(last))
+    return out.select("item_id", (F.col("last") + F.col("shift") + F.col("at") + 1).cast("long").alias("position"))
 
 
 def context_windows(seg: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.sources.versions import Versions
 
 #: States of the queue list's filters.
 STATE_FILTERS = {"active": ["queued", "running", "paused", "blocked", "failed"], "completed": ["completed"], "failed": ["failed"]}
@@ -162,6 +163,26 @@ def migrate_jobs(jobs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     return videos, rows.select("id", state.alias("state"), F.when(state == "completed", 100).otherwise(F.least(F.col("progress"), F.lit(99))).alias("progress"))
 
 
+def migrated_artifacts(jobs: DataFrame, known: DataFrame) -> DataFrame:
+    """Artifact rows (id, artifact_type, state, revision) of the completed jobs that ``migrate_jobs`` takes over (I8)."""
+    done = jobs.where(~F.col("id").startswith("demo") & (F.col("status") == "completed")).join(known.select("id"), "id", "left_anti")
+    kinds = F.explode(F.array(F.lit("source_media"), F.lit("standard_transcript"))).alias("artifact_type")
+    return done.select("id", kinds, F.lit("ready").alias("state"), F.lit(1).cast("long").alias("revision"))
+
+
+def migrate_store(store: Versions, jobs: DataFrame) -> int:
+    """Legacy jobs into the ``videos``, ``queue`` and ``artifacts`` tables of a store in one commit; its version (I8).
+
+    What is known stays as it is, so a second run changes nothing; a run that stops leaves the version before.
+    """
+    base = store.current()
+    held = {name: store.read(name, base) for name in ("videos", "queue", "artifacts")}
+    known = held["videos"].select("id") if held["videos"] is not None else jobs.select("id").limit(0)
+    videos, queue = migrate_jobs(jobs, known)
+    new = {"videos": videos, "queue": queue, "artifacts": migrated_artifacts(jobs, known)}
+    return store.commit({k: v if held[k] is None else held[k].unionByName(v) for k, v in new.items()}, base).version
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """The latest state of each item; progress is at most 99 until it is completed."""
     best = events.groupBy("video_id").agg(F.max(F.struct("ts", "item_id", "state", "progress")).alias("e"))

@@ -134,3 +134,13 @@ def test_w25_table_means_the_same_to_columns(spark):
         assert found == clauses.traits(r.text)[0], r.text
         seen |= found
     assert seen == set(names)
+
+
+def test_w24_positions_of_a_crowded_moment(spark):
+    """A third of all items arrive at once; positions follow arrival, then item, and no range holds them all."""
+    rows = [(k, 5000 if k % 3 == 0 else k * 7 % 9973) for k in range(3000)]
+    new = spark.createDataFrame(rows, "item_id long, arrival long").repartition(6)
+    got = {r.item_id: r.position for r in sequence.append_positions(new, spark.createDataFrame([(4,), (9,)], "position long")).collect()}
+    assert got == {k: 10 + i for i, (_, k) in enumerate(sorted((a, k) for k, a in rows))}
+    assert sequence.append_positions(new.limit(0), spark.createDataFrame([], "position long")).collect() == []
+    assert [r.position for r in sequence.append_positions(new.limit(1), spark.createDataFrame([], "position long")).collect()] == [1]
