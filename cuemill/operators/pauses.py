@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 from cuemill.functions.align import alignments
+from cuemill.functions.settle import settled
 from cuemill.operators.joins import char_spans, drop_known_boundaries, locate, nearest_pause
 
 # Window around a pause, words of the text around it, text and timed words of a window at least, aligned pairs
@@ -125,13 +126,12 @@ def _similar(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _hinted(hint: Column, left: Column, right: Column) -> Column:
-    """Whether the hint has a strong mark between two neighbouring words that are like these two."""
+def _said(hint: Column) -> Column:
+    """The neighbouring words of a hint that have a strong mark between them."""
     words = F.regexp_extract_all(F.coalesce(hint, F.lit("")), F.lit(r"([0-9A-Za-z']*[0-9A-Za-z][0-9A-Za-z']*[^0-9A-Za-z]*)"), F.lit(1))
     norm = lambda w: F.regexp_replace(F.lower(F.regexp_extract(w, "^([0-9A-Za-z']+)", 1)), "^'+|'+$", "")
-    listed = F.transform(words, lambda w: F.struct(norm(w).alias("norm"), w.rlike(_STRONG).alias("stop")))
-    pairs = F.zip_with(F.slice(listed, 1, F.greatest(F.size(listed) - 1, F.lit(0))), F.slice(listed, 2, F.greatest(F.size(listed) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.exists(pairs, lambda p: p["x"]["stop"] & (_similar(p["x"]["norm"], left) >= HINT_SIMILAR) & (_similar(p["y"]["norm"], right) >= HINT_SIMILAR))
+    pairs = F.transform(words, lambda w, i: F.struct(w.rlike(_STRONG).alias("stop"), norm(w).alias("x"), norm(F.coalesce(F.get(words, i + 1), F.lit(""))).alias("y")))
+    return F.filter(pairs, lambda p: p["stop"] & (p["y"] != ""))
 
 
 def _aligned(windows: DataFrame, words: DataFrame, timed: DataFrame) -> DataFrame:
@@ -158,24 +158,27 @@ def _candidates(aligned: DataFrame) -> DataFrame:
     rows = aligned.select("*", F.posexplode(two).alias("at", "two")).where(
         (F.col("two.q.i") == F.col("two.p.i") + 1) & (F.col("two.q.j") > F.col("two.p.j")) & (F.col("two.p.near") >= SIMILAR) & (F.col("two.q.near") >= SIMILAR)
     )
+    # a step for each level of what is read more than once, so that nothing is worked out twice
     j0, j1 = F.col("two.p.j"), F.col("two.q.j")
-    left, right = F.get("heard", j0), F.get("heard", j1)
     lo, hi = F.greatest(j0 - 4, F.lit(0)), F.least(j1 + 5, F.size("heard"))
-    part, rest = F.slice("heard", lo + 1, hi - lo - 1), F.slice("heard", lo + 2, hi - lo - 1)
-    gaps = F.sort_array(F.filter(F.zip_with(part, rest, lambda x, y: F.greatest(y["start_ms"] - x["end_ms"], F.lit(0)).cast("double")), lambda g: g <= 1200))
-    usual = F.when(F.size(gaps) == 0, 60.0).otherwise(F.greatest(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(30.0)))
-    gap = F.greatest(right["start_ms"] - left["end_ms"], F.lit(0)).cast("double")
-    word, before = F.get("own", F.col("two.q.i")), F.get("own", F.col("two.p.i"))
-    stop = F.length(F.regexp_extract(word["ahead"], f"^([^{X.STRONG_MARKS}]*){_STRONG}", 1))
-    has = word["ahead"].rlike(_STRONG)
-    passed = F.size(F.regexp_extract_all(F.left(word["ahead"], stop), F.lit("([0-9A-Za-z']+)"), F.lit(1)))
-    moves = has & (stop > 0) & passed.between(1, AHEAD_WORDS) & (word["last_a"] > word["a"] + stop)
+    rows = rows.select(
+        "video_id", "window", "kind", "mid_ms", "gap_start", "gap_end", "at", "said", ((F.col("two.p.near") + F.col("two.q.near")) / 2).alias("near"),
+        F.get("heard", j0).alias("left"), F.get("heard", j1).alias("right"), F.slice("heard", lo + 1, hi - lo).alias("around"),
+        F.get("own", F.col("two.p.i")).alias("before"), F.get("own", F.col("two.q.i")).alias("word"),
+    ).where(~F.col("word.around").rlike(_STRONG))
+    step = lambda y, i: F.when(i > 0, F.greatest(y["start_ms"] - F.get("around", i - 1)["end_ms"], F.lit(0)).cast("double"))
+    gaps = F.sort_array(F.filter(F.transform("around", step), lambda g: g <= 1200))  # the first word has none before it
+    gap = F.greatest(F.col("right.start_ms") - F.col("left.end_ms"), F.lit(0)).cast("double")
+    rows = rows.withColumn("gaps", gaps).withColumn("heard_gap", gap).withColumn("stop", F.length(F.regexp_extract("word.ahead", f"^([^{X.STRONG_MARKS}]*){_STRONG}", 1)))
+    usual = F.when(F.size("gaps") == 0, 60.0).otherwise(F.greatest(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), F.lit(30.0)))
+    passed = F.size(F.regexp_extract_all(F.left("word.ahead", F.col("stop")), F.lit("([0-9A-Za-z']+)"), F.lit(1)))
+    moves = F.col("word.ahead").rlike(_STRONG) & (F.col("stop") > 0) & passed.between(1, AHEAD_WORDS) & (F.col("word.last_a") > F.col("word.a") + F.col("stop"))
+    hinted = F.exists("said", lambda p: (_similar(p["x"], F.col("before.norm")) >= HINT_SIMILAR) & (_similar(p["y"], F.col("word.norm")) >= HINT_SIMILAR))
     return rows.select(
-        "video_id", "window", "kind", "mid_ms", "gap_start", "gap_end", "at", word["a"].alias("offset"), word["context"].alias("context"),
-        ((F.col("two.p.near") + F.col("two.q.near")) / 2).alias("near"), gap.alias("heard_gap"), (gap / usual).alias("relative"),
-        ((left["end_ms"] + right["start_ms"]) / 2).alias("t"), left["end_ms"].alias("left_end"), right["start_ms"].alias("right_start"),
-        _hinted(F.col("hint"), before["norm"], word["norm"]).alias("hinted"), F.when(moves, word["a"] + stop).alias("remove_offset"), word["around"].rlike(_STRONG).alias("marked"),
-    ).where("not marked")
+        "video_id", "window", "kind", "mid_ms", "gap_start", "gap_end", "at", F.col("word.a").alias("offset"), F.col("word.context").alias("context"), "near",
+        "heard_gap", (F.col("heard_gap") / usual).alias("relative"), ((F.col("left.end_ms") + F.col("right.start_ms")) / 2).alias("t"),
+        F.col("left.end_ms").alias("left_end"), F.col("right.start_ms").alias("right_start"), hinted.alias("hinted"), F.when(moves, F.col("word.a") + F.col("stop")).alias("remove_offset"),
+    )
 
 
 def _clamped(value: Column) -> Column:
@@ -222,10 +225,11 @@ def pause_repairs(seg: DataFrame, timed: DataFrame, pauses: DataFrame, windows:
     are two characters or 0.2 s from the last one kept, in the order of places and pauses first, only that one stays. A place
     between two segments without a blank belongs to the first. Windows without words, and null texts, give nothing.
     """
-    words = text_words(seg)
-    windows = windows if windows is not None else pause_windows(seg, pauses)
+    words = settled(text_words(seg))  # read for the windows' ranges and for their words
+    windows = windows if windows is not None else settled(pause_windows(seg, pauses))
     windows = windows.join(hints, ["video_id", "window"], "left") if hints is not None else windows.withColumn("hint", F.lit(None).cast("string"))
-    rows = _scored(_candidates(_aligned(_window_words(windows, words), words, timed)), pauses)
+    windows = windows.withColumn("said", _said(F.col("hint"))).drop("hint")
+    rows = _scored(settled(_candidates(_aligned(_window_words(windows, words), words, timed))), pauses)
     kept = F.struct("offset", F.col("kind"), "time_ms", "gap_ms", "confidence", "remove_offset", F.col("hinted").alias("language_supported"), "context")
     best = rows.groupBy("video_id", "window").agg(F.max_by(kept, F.struct(F.round("confidence", 6), -F.col("error"), -F.col("at"))).alias("r"))
     listed = best.groupBy("video_id").agg(F.sort_array(F.collect_list("r")).alias("s"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
+from cuemill.functions.settle import settled
 from cuemill.operators import bridges as G
 from cuemill.operators import canonical as C
 from cuemill.operators import clauses as Z
@@ -1170,12 +1171,12 @@ def _paused(spark, d):
     heard = rows.withColumn("s", at(F.col("at"))).withColumn("e", (at(F.col("at") + 1) - 20).cast("long"))
     heard = heard.select("video_id", "seg_idx", "at", F.when(F.col("at") % 5 == 2, F.concat("word", F.lit("x"))).otherwise(F.col("word")).alias("word"), "s", "e", "gap_at")
     pauses = heard.where("seg_idx % 2 = 0").groupBy("video_id", "seg_idx").agg(F.max(F.when(F.col("at") == F.col("gap_at") - 1, F.col("e"))).alias("gap_start"), F.max(F.when(F.col("at") == F.col("gap_at"), F.col("s"))).alias("gap_end"))
-    pauses = pauses.where("gap_end > gap_start").select("video_id", "gap_start", "gap_end")
-    windows = B.pause_windows(seg, pauses)
+    heard, pauses = settled(heard), settled(pauses.where("gap_end > gap_start").select("video_id", "gap_start", "gap_end"))
+    windows = settled(B.pause_windows(seg, pauses))
     cell = lambda c: F.floor(F.col(c) / 10_000)
     reach = windows.select("video_id", "window", "kind", "from_ms", "to_ms", F.explode(F.sequence(cell("from_ms"), cell("to_ms"))).alias("cell"))
     inside = heard.withColumn("cell", cell("s")).join(reach, ["video_id", "cell"]).where((F.col("s") >= F.col("from_ms")) & (F.col("e") <= F.col("to_ms")))
-    timed = inside.select("video_id", "window", (F.col("seg_idx") * 10_000 + F.col("at")).alias("at"), "word", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    timed = settled(inside.select("video_id", "window", (F.col("seg_idx") * 10_000 + F.col("at")).alias("at"), "word", F.col("s").alias("start_ms"), F.col("e").alias("end_ms")))
     stopped = F.concat(F.col("word"), F.when(F.col("at") % 3 == 0, ". ").otherwise(" "))
     spoken = timed.where("window % 3 = 0").withColumn("said", stopped)
     hints = spoken.groupBy("video_id", "window").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "").alias("hint"))
@@ -1188,15 +1189,6 @@ def _(spark, d):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j15_evidence")
-def _(spark, d):
-    """The evidence that follows from pause repairs, which a verification of no segment joins."""
-    found = B.pause_repairs(*_paused(spark, d))
-    results = V.seg(spark, d).select("video_id", "seg_idx", F.lit("UNCERTAIN").alias("decision"), F.lit(False).alias("severe"), F.col("text").alias("observed"))
-    tables = P.derive_evidence(found, results)
-    return tables["boundary"].withColumn("table", F.lit("boundary")).unionByName(tables["punctuation"].withColumn("table", F.lit("punctuation")), allowMissingColumns=True).withColumn("confidence", F.round("confidence", 6))
-
-
 def _canonical_input(spark, d):
     """Loud lines, some beginning with the end of the one before, some with a loop or a spelt name; and evidence of six kinds for them."""
     w = Window.partitionBy("video_id").orderBy("seg_idx")
