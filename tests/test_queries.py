@@ -10,7 +10,8 @@ import pytest
 from cuemill.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-BRUTE = open(os.path.join(os.path.dirname(__file__), "test_brute.py")).read()
+#: The tests that hold queries without SQL against plain Python; each names its query.
+BRUTE = "".join(open(os.path.join(os.path.dirname(__file__), f"test_{n}.py")).read() for n in ("brute", "align", "sentences", "canonical"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
