@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
 
+_LEXICAL = re.compile(X.LEXICAL)
+
 
 def with_language(df: DataFrame, column: str = "text") -> DataFrame:
     """Script counts and the dominant language of each row."""
@@ -54,38 +60,31 @@ def violations(seg: DataFrame, tok: DataFrame) -> DataFrame:
     return bad.unionByName(own).groupBy("video_id", "seg_idx", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ngram_ratio(units: Column) -> Column:
-    """Largest share of the words that the repeats of one n-gram cover, n from 2 to 4; 0 under six words (A5).
-
-    A sorted array of n-grams puts repeats side by side, so the longest run comes from one fold.
-    """
-    n_words = F.size(units)
-    best = F.lit(0)
-
-    def gram(n: int):
-        return lambda i: F.concat_ws("\x1f", F.slice(units, i, n))
-
-    for n in (2, 3, 4):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n_words - (n - 1), F.lit(1))), gram(n))
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
-        run = F.aggregate(
-            F.array_sort(grams), start,
-            lambda a, g: F.struct(
-                g.alias("last"), F.when(a["last"] == g, a["run"] + 1).otherwise(1).alias("run"),
-                F.greatest(a["top"], F.when(a["last"] == g, a["run"] + 1).otherwise(1)).alias("top"),
-            ),
-            lambda a: a["top"],
-        )
-        best = F.greatest(best, F.when((n_words >= 2 * n) & (run >= 2), F.least(run * n, n_words)).otherwise(0))
-    return F.when(n_words < 6, F.lit(0.0)).otherwise(best / n_words)
+def repeated(units: list[str]) -> int:
+    """How many words the repeats of one n-gram cover at most, n from 2 to 4; 0 under six words (A5)."""
+    best, size = 0, len(units)
+    for n in (2, 3, 4) if size >= 6 else ():
+        most = max(Counter(zip(*(units[i:] for i in range(n)))).values()) if size >= 2 * n else 0
+        if most < 2:  # no longer one repeats either
+            break
+        best = max(best, min(most * n, size))
+    return best
 
 
 def surface_health(seg: DataFrame) -> DataFrame:
     """Words, letters, case, marks, repetition and the flags that follow from them, per segment (A4, A5)."""
     t = F.col("text")
-    out = seg.withColumn("units", X.lexical_units(t)).select(
-        *seg.columns, F.size("units").cast("long").alias("words"), X.count_matches(t, "[A-Za-z]").alias("letters"), X.count_matches(t, "[A-Z]").alias("capitals"),
-        X.count_matches(t, f"[{X.STRONG_MARKS}]").alias("strong_marks"), F.round(_ngram_ratio(F.col("units")), 6).alias("repetition"),
+
+    @F.pandas_udf("words long, covered long")
+    def counted(low: pd.Series) -> pd.DataFrame:
+        units = [_LEXICAL.findall(x or "") for x in low]
+        return pd.DataFrame({"words": [len(u) for u in units], "covered": [repeated(u) for u in units]}, dtype="int64")
+
+    words = F.when(t.isNotNull(), F.col("counts.words"))
+    repetition = F.when(words < 6, 0.0).otherwise(F.col("counts.covered") / words)
+    out = seg.withColumn("counts", counted(F.lower(t))).select(
+        *seg.columns, words.alias("words"), X.count_matches(t, "[A-Za-z]").alias("letters"), X.count_matches(t, "[A-Z]").alias("capitals"),
+        X.count_matches(t, f"[{X.STRONG_MARKS}]").alias("strong_marks"), F.round(repetition, 6).alias("repetition"),
     )
     ratio = F.when(F.col("letters") > 0, F.round(F.col("capitals") / F.col("letters"), 6)).otherwise(0.0)
     out = out.withColumn("upper_ratio", ratio).drop("capitals")
