@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.functions.settle import session_conf
+
 #: Rows of a key table that may be broadcast; above it the join shuffles both sides.
 BROADCAST_ROWS = 100_000
 
@@ -65,20 +67,6 @@ def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
-    """Session settings for the length of a block; names use ``__`` for dots."""
-    named = {k.replace("__", "."): v for k, v in settings.items()}
-    before = {k: spark.conf.get(k, None) for k in named}
-    for k, v in named.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def small_batches(spark: SparkSession, rows: int = 512):
     """Arrow batches of few documents, so that a Python worker holds little text at once; for what is written inside the block."""
     return session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))

@@ -6,16 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
-from cuemill.functions.settle import settled
+from cuemill.functions.settle import session_conf, settled
 from cuemill.sources.versions import Change, Versions
 
 K1, B = 1.2, 0.75
 BUCKETS = 256
 CANDIDATES, RESULTS, RANK_SHIFT = 40, 5, 60
+#: Blocks of queries that a task holds the best of.
+BLOCKS_HELD = 16
 
 
 def tokenize(df: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -104,22 +107,114 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     return _top(scored.where("score > 0"), k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = 256) -> DataFrame:
-    """(query_id, vec_id, score, rank) by dot product of dense unit vectors; other lengths score 0 and go (K2).
+_NO_ID = np.iinfo(np.int64).min
 
-    The stated queries are held against all vectors; the top-k limit is applied before the shuffle.
+
+def _packed(vectors: DataFrame, block: int) -> DataFrame:
+    """Rows (no, members) of about ``block`` vectors (id, v) each; those with a null in them are left out, since their product is null."""
+    whole = vectors.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    size = max(1, -(-whole.count() // block))
+    return whole.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(size)).alias("no")).agg(F.collect_list(F.struct("id", "v")).alias("members"))
+
+
+def _matrices(members: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of one block by their length: (identifiers, one row each)."""
+    ids, v = members.field("id").fill_null(_NO_ID).to_numpy(), members.field("v")
+    starts, sizes, values = v.offsets.to_numpy()[:-1], v.value_lengths().to_numpy(), v.values.to_numpy()
+    out = {}
+    for n in np.unique(sizes[sizes > 0]):
+        mine = np.flatnonzero(sizes == n)
+        out[int(n)] = ids[mine], values[starts[mine][:, None] + np.arange(n)].astype(np.float64)
+    return out
+
+
+class Best:
+    """The candidates for the k best of each row of ``queries``, whichever blocks of vectors come.
+
+    A matrix product in single precision, and a margin above its error, say which pairs can matter; these are summed entry by entry in double
+    precision. Scores are rounded later, so all within a rounding step of the k-th stay; of equal ones the k smallest identifiers do.
+    """
+
+    STEP = 1.1e-6
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.least = np.zeros(len(ids))
+        self.row, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            near = self.queries.astype(np.float32) @ vectors.astype(np.float32).T
+            norm = np.linalg.norm(self.queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+            margin = self.STEP + 1e-7 * vectors.shape[1] * norm
+            bound = self.least - margin
+            if len(ids) > self.k:
+                kth = np.partition(near, -self.k, axis=1)[:, -self.k]
+                bound = np.fmax(bound, kth - 2 * margin)
+            row, at = np.nonzero(~(near < bound.astype(np.float32)[:, None] - np.float32(1e-7)))
+            score = np.zeros(len(row))
+            for d in range(vectors.shape[1]):
+                score += self.queries[row, d] * vectors[at, d]
+        row, score, vec = (np.concatenate(x) for x in ((self.row, row), (self.score, score), (self.vec, ids[at])))
+        order = np.lexsort((vec, np.where(np.isnan(score), -np.inf, -score), row))
+        row, score, vec = row[order], score[order], vec[order]
+        self._keep(row, score, vec)
+
+    def _keep(self, row: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+        new = np.diff(row, prepend=-1) != 0
+        rank = _places(new)
+        again = _places(new | (np.diff(score, prepend=np.nan) != 0))
+        kth = rank == self.k - 1
+        self.least[row[kth]] = np.fmax(self.least[row[kth]], score[kth])
+        stay = (again < self.k) & ((rank < self.k) | ~(score < self.least[row] - self.STEP))
+        self.row, self.score, self.vec = row[stay], score[stay], vec[stay]
+
+
+def _places(starts: np.ndarray) -> np.ndarray:
+    """Place of each row in its run, from 0."""
+    n = np.arange(len(starts))
+    return n - np.maximum.accumulate(np.where(starts, n, 0)) if len(n) else n
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank) by dot product of dense vectors; other lengths score 0 and go (K2).
+
+    Each block of the stated queries meets each block of vectors once, as two matrices; identifiers are integers. A task passes on what it
+    found best for a query, not what every block gave.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).where("embedding is not null")
-    dot = F.aggregate(F.zip_with("one.query", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    # queries travel as a few rows of up to ``block`` each, so neither side grows with the other and no query is broadcast unchecked
-    packed = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block)))))
-    packed = packed.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    scored = vectors.where("embedding is not null").crossJoin(packed).select("vec_id", "embedding", F.explode("queries").alias("one"))
-    scored = scored.where(F.size("one.query") == F.size("embedding")).select("one.query_id", "vec_id", F.round(dot, 6).alias("score")).where("score > 0")
+    mine = _packed(queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")), block)
+    others = _packed(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")), block)
+    pairs = others.select(F.col("members").alias("theirs")).crossJoin(mine.select("no", F.col("members").alias("mine")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, Best]] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                no = b.column("no")[i].as_py()
+                if no not in found:
+                    if len(found) >= BLOCKS_HELD:
+                        yield from _chosen(found)
+                        found = {}
+                    found[no] = {n: Best(*x, k) for n, x in _matrices(b.column("mine")[i].values).items()}
+                for n, x in _matrices(b.column("theirs")[i].values).items():
+                    if n in found[no]:
+                        found[no][n].add(*x)
+        yield from _chosen(found)
+
+    with session_conf(vectors.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="8"):
+        best = settled(pairs.mapInArrow(run, "query_id long, vec_id long, score double"))
+    scored = best.withColumn("score", F.round("score", 6)).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _chosen(found: dict[int, dict[int, Best]]) -> Iterator[pa.RecordBatch]:
+    for one in found.values():
+        for best in one.values():
+            ids = [pa.array(x, pa.int64(), mask=x == _NO_ID) for x in (best.ids[best.row], best.vec)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(best.score)], names=["query_id", "vec_id", "score"])
+
+
 def rrf(*ranked: DataFrame, shift: int = RANK_SHIFT, n: int = RESULTS) -> DataFrame:
     """Reciprocal rank fusion of ranked lists: the sum of 1 / (60 + rank), the first five."""
     rows = ranked[0].select("query_id", "video_id", "chunk_idx", "rank")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from cuemill.operators import search as K
 from cuemill.operators import segments as S
 
 
@@ -23,3 +24,29 @@ def test_repetition_counts_n_grams_without_folds_over_arrays(spark):
         best = max((min(c * n, len(units)) for n, c in top.items() if c >= 2 and len(units) >= 2 * n), default=0)
         want = round(best / len(units), 6) if len(units) >= 6 else 0.0
         assert (r.words, r.repetition) == ((len(units), want) if texts[r.seg_idx] is not None else (None, None))
+
+
+def test_vector_topk_meets_in_blocks(spark):
+    """Many copies, equal scores at the cut, other lengths, nulls; more than one block on either side."""
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(60, 8)).astype(np.float32)
+    vectors = [(i, [float(x) for x in unit[i % 60 if i % 3 else 0]]) for i in range(400)]
+    vectors += [(400, [1.0, 2.0]), (401, None), (402, [None] * 8), (403, [0.0] * 8), (404, []), (450, [3.0, 1.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    out = K.vector_topk(table.where("vec_id % 25 = 0"), table, 7, 50)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect())
+    want = []
+    for q, x in vectors:
+        if q % 25 or x is None:
+            continue
+        scores = []
+        for i, y in vectors:
+            if y and len(y) == len(x) and None not in y:
+                scores.append((-round(sum(np.float64(a) * np.float64(b) for a, b in zip(np.float32(x), np.float32(y), strict=True)), 6), i))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:7], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
+    assert "explode" not in plan(out).lower()
+    best = K.Best(np.arange(2), np.eye(2), 3)
+    for n in range(20):
+        best.add(np.arange(n * 10, n * 10 + 10), np.ones((10, 2)))
+        assert len(best.row) == 6
