@@ -156,9 +156,11 @@ def degenerate_groups(seg: DataFrame) -> DataFrame:
 def surface_lexicon(seg: DataFrame) -> DataFrame:
     """First surface of each lower-cased word among segments that are not all capitals (A2)."""
     letters, capitals = X.count_matches(F.col("text"), "[A-Za-z]"), X.count_matches(F.col("text"), "[A-Z]")
-    healthy = seg.where(capitals < 0.9 * letters)
+    # the texts are dealt by video once, and their words counted where they lie: a number as place keeps the grouping in hash tables
+    healthy = seg.where(capitals < 0.9 * letters).select("video_id", "seg_idx", "text").repartition("video_id")
     words = healthy.select("video_id", "seg_idx", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))).alias("pos", "surface"))
-    return words.groupBy("video_id", F.lower("surface").alias("word")).agg(F.min_by("surface", F.struct("seg_idx", "pos")).alias("surface"))
+    first = words.groupBy("video_id", "surface").agg(F.min(F.col("seg_idx") * F.lit(1 << 31) + F.col("pos")).alias("place"))
+    return first.groupBy("video_id", F.lower("surface").alias("word")).agg(F.min_by("surface", "place").alias("surface"))
 
 
 def media_fingerprint(df: DataFrame, id_col: str, body: str) -> DataFrame:

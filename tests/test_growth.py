@@ -50,3 +50,22 @@ def test_vector_topk_meets_in_blocks(spark):
     for n in range(20):
         best.add(np.arange(n * 10, n * 10 + 10), np.ones((10, 2)))
         assert len(best.row) == 6
+
+
+def test_lexicon_deals_texts_not_words(spark):
+    rows = spark.createDataFrame([(1, 2, "Ab cd AB"), (1, 0, "XX aB THE the"), (1, 1, "ALL CAPS"), (2, 5, "é Ab")], "video_id long, seg_idx long, text string")
+    out = S.surface_lexicon(rows)
+    assert sorted(map(tuple, out.collect())) == [(1, "ab", "aB"), (1, "cd", "cd"), (1, "the", "THE"), (1, "xx", "XX"), (2, "ab", "Ab")]
+    physical = S.surface_lexicon(rows)._jdf.queryExecution().executedPlan().toString()
+    assert physical.index("Generate") < physical.index("Exchange") and "HashAggregate" in physical
+
+
+def test_words_of_the_corpus_do_not_meet_in_one_task(spark):
+    chunks = spark.createDataFrame([(1, 0, "the cat the dog"), (1, 1, "the end"), (2, 0, "the the"), (3, 0, "")], "video_id long, chunk_idx long, text string")
+    queries = spark.createDataFrame([(7, 1, "the Cat"), (8, 2, "the"), (9, 3, "the")], "query_id long, video_id long, query string")
+    out = K.bm25_topk(queries, chunks)
+    assert "LeftSemi" not in plan(out) and plan(out).count("explode(words") == 0
+    n, length, mean = {"the": 3, "cat": 1}, {(1, 0): 4, (1, 1): 2, (2, 0): 2}, 8 / 3
+    part = lambda w, tf, at: max(np.log((3 - n[w] + 0.5) / (n[w] + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[at] / mean))
+    want = {(7, 1, 0): part("the", 2, (1, 0)) + part("cat", 1, (1, 0)), (7, 1, 1): part("the", 1, (1, 1)), (8, 2, 0): part("the", 2, (2, 0))}
+    assert {(r.query_id, r.video_id, r.chunk_idx): r.score for r in out.collect()} == {k: round(float(v), 6) for k, v in want.items()}
