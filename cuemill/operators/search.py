@@ -17,6 +17,8 @@ from cuemill.sources.versions import Change, Versions
 K1, B = 1.2, 0.75
 BUCKETS = 256
 CANDIDATES, RESULTS, RANK_SHIFT = 40, 5, 60
+#: Words of queries whose counts may be broadcast.
+FREQUENT = 100_000
 #: Blocks of queries that a task holds the best of.
 BLOCKS_HELD = 16
 
@@ -82,11 +84,12 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> Dat
     listed = chunks.select("video_id", "chunk_idx", "words") if "words" in chunks.columns else settled(chunks.select("video_id", "chunk_idx", X.tokens(F.col("text")).alias("words")))
     stats = listed.select(F.size("words").alias("length")).where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     wanted = tokenize(queries, "query", "query_id", "video_id").select("query_id", "video_id", "token").distinct()
-    # only the words that are asked for go on; the rest of the corpus is counted, not shuffled
-    held = listed.select("video_id", "chunk_idx", F.size("words").alias("length"), F.explode("words").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    postings = held.groupBy("token", "video_id", "chunk_idx", "length").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    hits = postings.join(wanted, ["token", "video_id"]).join(frequency, "token").crossJoin(F.broadcast(stats))
+    # a text's words are looked up by video; of the whole corpus only counts travel, one a word and task, so no frequent word has a task of its own
+    counts = listed.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequency = settled(counts.join(wanted.select("token").distinct(), "token", "left_semi"))
+    tf = F.size(F.filter("words", lambda w: w == F.col("token")))
+    found = listed.join(wanted, "video_id").select("query_id", "video_id", "chunk_idx", "token", F.size("words").alias("length"), tf.alias("tf")).where("tf > 0")
+    hits = found.join(F.broadcast(frequency) if frequency.count() <= FREQUENT else frequency, "token").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.groupBy("query_id", "video_id", "chunk_idx").agg(F.round(F.sum(part), 6).alias("score"))
