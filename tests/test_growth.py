@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from cuemill.operators import clauses as Z
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
 
@@ -69,3 +70,18 @@ def test_words_of_the_corpus_do_not_meet_in_one_task(spark):
     part = lambda w, tf, at: max(np.log((3 - n[w] + 0.5) / (n[w] + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[at] / mean))
     want = {(7, 1, 0): part("the", 2, (1, 0)) + part("cat", 1, (1, 0)), (7, 1, 1): part("the", 1, (1, 1)), (8, 2, 0): part("the", 2, (2, 0))}
     assert {(r.query_id, r.video_id, r.chunk_idx): r.score for r in out.collect()} == {k: round(float(v), 6) for k, v in want.items()}
+
+
+def test_clause_review_holds_few_videos_and_reads_lines_once(spark):
+    rows = [(v, i, i * 10, i * 10 + 9, t, "Zh" if v % 3 == 0 else "En") for v in range(200) for i, t in enumerate(["It was cold because", "We left early.", "Then it rained.", None])]
+    seg = spark.createDataFrame(rows, "video_id long, seg_idx long, start_ms long, end_ms long, text string, profile string")
+    reviewed = plan(Z._reviewed(seg))
+    assert "Join" not in reviewed and "RLIKE" not in reviewed and Z.VIDEOS < 1000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out, log = Z.review_clauses(seg)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    want = []
+    for v in range(200):
+        kept, _ = Z.review([(i, a, z, t or "", p in Z.PROFILES) for w, i, a, z, t, p in rows if w == v])
+        want += [(v, *x[:4]) for x in kept]
+    assert sorted((r.video_id, r.seg_idx, r.start_ms, r.end_ms, r.text) for r in out.collect()) == sorted(want) and 100 < log.count() < 200
