@@ -197,8 +197,11 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
         return pin(both.mapInArrow(run, "a long, b long"))
 
 
-def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
-    """(node, component) of the ids that have a near copy. ``signatures`` is of ``signed``, ``texts`` (lid, norm); ids are unique."""
+def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the ids that have a near copy. ``signatures`` is of ``signed``, ``texts`` (lid, norm); ids are unique.
+
+    ``known`` are verified links (a, b); what they join is not compared again.
+    """
     bands = signatures.select("lid", F.explode("bands").alias("band"))
     shared = pin(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     member = pin(bands.join(shared, "band"))
@@ -206,8 +209,13 @@ def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable) -
     pivots = F.when(F.first("members") >= LARGE_BAND, F.array(F.min("lid"), *least)).otherwise(F.array(F.min("lid")))
     tried = member.join(member.groupBy("band").agg(pivots.alias("pivots")), "band").select(F.col("lid").alias("a"), F.explode("pivots").alias("b"))
     tried = tried.where("a <> b").distinct()
+    if known is not None:
+        joined = connected_components(known)
+        tried = tried.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        tried = tried.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        tried = tried.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = verified(possible(tried, signatures), texts, set_of)
-    found = connected_components(links)
+    found = connected_components(links if known is None else known.unionByName(links))
     more = verified(possible_between(member, found, signatures), texts, set_of)
     if more.isEmpty():
         return found

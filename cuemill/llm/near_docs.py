@@ -1,10 +1,11 @@
 """Near-duplicate documents for the pipeline: five-word shingles, Jaccard similarity of 0.8 or more.
 
-Multi-index hashing over a fingerprint of 64 minima, cut into sixteen segments of four. A pair at 0.8 differs in 13
-minima on average, and a pair that differs in up to 15 has an equal segment for certain; 99.98 % of the pairs at 0.8
-have one. (In 64 SimHash bits such a pair is 10 bits apart on average and often 17; a radius of 17 takes in one random
-pair in ten thousand, which grows with the square of the corpus.) The exact Jaccard similarity of the candidates'
-shingle sets decides, and components go by links as in ``lines``.
+First come SimHash fingerprints by multi-index hashing (``simhash``): texts with fingerprints at most three bits apart are
+candidates, and those whose shingle sets have a Jaccard similarity of 0.8 or more are joined. A pair at 0.8 is 10 bits
+apart on average and often 17, and a radius of 17 takes in one random pair in ten thousand, which grows with the square
+of the corpus. The pairs beyond three bits are therefore found by 80 minima, cut into sixteen bands of five (99.8 % of
+the pairs at 0.8 share a band), among texts that SimHash did not join. The same exact similarity decides, and components
+go by links as in ``lines``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.llm.common import join_small, pin, scratch, small_batches, utf8
-from cuemill.llm.lines import SIGNED, near_components, signed
+from cuemill.llm.lines import SIGNED, near_components, signed, verified
+from cuemill.llm.simhash import near_links, with_fingerprint
 
 WORDS = 5
 
@@ -34,6 +36,20 @@ def shingle_set(line: bytes) -> set[bytes]:
     return {b" ".join(parts[i : i + WORDS]) for i in range(max(1, len(parts) - WORDS + 1))} if parts else set()
 
 
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) of distinct texts (lid, norm): SimHash fingerprints up to three bits apart, similarity of 0.8 or more.
+
+    Texts of one fingerprint are held against its first, and the first ones of linked fingerprints against each other.
+    """
+    keyed = with_fingerprint(texts.withColumn("norm", F.col("norm").cast("string")), "lid", "norm", WORDS)
+    classes = pin(keyed.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("texts")))
+    ends = near_links(classes.select("fp")).join(classes.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a")
+    ends = ends.join(classes.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    shared = classes.where("texts > 1").select("fp", "first")
+    equal = keyed.join(shared, "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return verified(ends.unionByName(equal), texts, shingle_set)
+
+
 def sign_documents(distinct: DataFrame) -> DataFrame:
     """(lid, n shingles, segments, sketch) of distinct texts (lid, norm), written to shared storage."""
 
@@ -72,7 +88,7 @@ def drop_near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keyed = _keyed(docs, id_col, text_col)
         distinct = pin(keyed.groupBy("key").agg(F.first("norm").alias("norm")).withColumn("lid", F.monotonically_increasing_id()))
         texts = distinct.select("lid", "norm")
-        found = near_components(sign_documents(texts), texts, shingle_set).withColumnRenamed("node", "lid")
+        found = near_components(sign_documents(texts), texts, shingle_set, simhash_links(texts)).withColumnRenamed("node", "lid")
         named = distinct.select("key", "lid").join(found, "lid", "left").select("key", F.coalesce("component", "lid").alias("component"))
         placed = pin(keyed.select("id", "key").join(named, "key").select("id", "component"))
         first = placed.groupBy("component").agg(F.min("id").alias("first"))
