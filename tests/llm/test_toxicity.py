@@ -84,3 +84,20 @@ def test_gradient_matches_differences(docs):
         down = loss()
         model.filters[0][place] += 1e-2
         assert abs((up - down) / 2e-2 - grads[0][place]) < 5e-2 * max(0.02, abs(grads[0][place])) + 1e-3
+
+
+def test_learns_from_all_rows_and_whole_texts(spark, docs, monkeypatch):
+    """Several learners; every text that is known to be toxic is longer than any text of the clean ones by far."""
+    monkeypatch.setattr(toxicity, "LEARNER_DOCS", 80)
+    some = docs[:600]
+    filler = "the of and to in with for der die und ist nicht ein mit"
+    longer = {d: t + (" " + filler) * (210_000 // len(filler) + 1) if y and d < 120 else t for d, t, _, y in some}
+    known = [(d, y) for d, _, _, y in some if not y or d < 120]
+    table = spark.createDataFrame(list(longer.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    rows = toxicity.training_rows(table, labels)
+    assert rows.count() == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, _ in known)
+    assert rows.select("learner").distinct().count() > 2 and rows.where("length(text) > 200000").count() > 5
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, labels).collect()}
+    clean, toxic = ([got[d] for d, _, _, y in some if d >= 120 and y == k] for k in (0, 1))
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.95
