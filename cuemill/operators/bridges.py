@@ -2,40 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tokens of a side and of the bridge that are looked at, places that an anchor may be away from the boundary,
 # tokens of an anchor (of mostly ideographs, of others), tokens between two anchors, and what a mark between them is worth.
 SIDE_TOKENS, BRIDGE_TOKENS, LEFT_AWAY, RIGHT_AWAY = 96, 192, 8, 6
 IDEOGRAPH_ANCHOR, ANCHOR, BETWEEN, END_MARK, INNER_MARK = 5, 3, 48, 10, 8
-_IDEOGRAPH = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"
+_IDEOGRAPH = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af\u1100-\u11ff]")
+_PIECE = re.compile(r"[0-9A-Za-z']+|[^\x00-\x7f]")
+_END, _INNER = (re.compile(rf"[{marks}](?:\r\n|[\n\r\x85\u2028\u2029])?\Z") for marks in ("。？！.?!", "，；：,;:"))
 _AROUND = r"[ \t\n.,?!:;，。？！：；、]"
 
 
-def _tokens(texts: DataFrame, text: str) -> DataFrame:
-    """(_k, at, token, a, z): the words and single letters of a text with their character ranges, counted from the left."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9A-Za-z']+|[\s\S])"), F.lit(1))
-    order = Window.partitionBy("_k").orderBy("n")
-    rows = texts.select("_k", F.posexplode(pieces).alias("n", "piece"))
-    rows = rows.withColumn("z", F.sum(F.length("piece")).over(order)).withColumn("a", F.col("z") - F.length("piece"))
-    words = rows.where(F.col("piece").rlike(r"^(?:[0-9A-Za-z']+|[\p{L}\p{N}])$"))
-    return words.select("_k", (F.row_number().over(order) - 1).alias("at"), F.lower("piece").alias("token"), "a", "z")
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """(token, start, end): the words and single letters of a text, counted from the left."""
+    return [(m[0].lower(), *m.span()) for m in _PIECE.finditer(text) if m[0].isascii() or unicodedata.category(m[0])[0] in "LN"]
 
 
-def _anchors(side: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Maximal runs of tokens that a side and the bridge share, as islands on the diagonals: (_k, n, run of the shared places)."""
-    far = bridge.select("_k", "token", F.col("at").alias("b_at"), F.col("a").alias("b_a"), F.col("z").alias("b_z"))
-    both = side.join(far, ["_k", "token"])
-    diagonal = Window.partitionBy("_k", "diagonal").orderBy("at")
-    both = both.withColumn("diagonal", F.col("at") - F.col("b_at")).withColumn("island", F.col("at") - F.row_number().over(diagonal))
-    place = F.struct("at", "b_at", F.col("token").rlike(_IDEOGRAPH).alias("wide"), "a", "z", "b_a", "b_z")
-    return both.groupBy("_k", "diagonal", "island").agg(F.sort_array(F.collect_list(place)).alias("run")).select("_k", "run", F.size("run").alias("n"))
+def _anchors(side: list, bridge: list, first: int) -> list[tuple[int, int, int]]:
+    """Maximal runs of tokens that a side, from its ``first`` place on, and the bridge share: (place, place in the bridge, tokens)."""
+    places: dict[str, list[int]] = {}
+    for j, (token, *_) in enumerate(bridge):
+        places.setdefault(token, []).append(j)
+    open_runs: dict[int, int] = {}  # tokens of the run that ends before the place looked at, by its next place in the bridge
+    found = []
+    for i in range(first, len(side) + 1):
+        now = {j: open_runs.pop(j, 0) + 1 for j in (places.get(side[i][0], ()) if i < len(side) else ())}
+        found += [(i - n, j - n, n) for j, n in open_runs.items()]
+        open_runs = {j + 1: n for j, n in now.items()}
+    return found
 
 
-def _least(run: Column) -> Column:
+def _least(run: list) -> int:
     """Tokens that an anchor needs."""
-    return F.when(2 * F.size(F.filter(run, lambda x: x["wide"])) >= F.size(run), IDEOGRAPH_ANCHOR).otherwise(ANCHOR)
+    return IDEOGRAPH_ANCHOR if 2 * sum(bool(_IDEOGRAPH.search(token)) for token, *_ in run) >= len(run) else ANCHOR
+
+
+def bridge_places(left: str, right: str, bridge: str) -> tuple[int, int, int, int, int] | None:
+    """(end of the left side, start of the right one, what lies between in the bridge, tokens matched), None without anchors."""
+    a, b, over = _tokens(left), _tokens(right)[:SIDE_TOKENS], _tokens(bridge)[:BRIDGE_TOKENS]
+    last, short = len(a) - 1, len(b) <= RIGHT_AWAY
+    lefts = [x for x in _anchors(a, over, max(0, len(a) - SIDE_TOKENS)) if last - (x[0] + x[2] - 1) <= LEFT_AWAY and x[2] >= _least(a[x[0] : x[0] + x[2]])]
+    best = None
+    for i, j, n in _anchors(b, over, 0) if lefts else ():
+        for late in range(min(max(n - ANCHOR, 0), RIGHT_AWAY) + 1):
+            at, size = i + late, n - late
+            least = _least(b[at : i + n])
+            if at > RIGHT_AWAY or size < (min(least, ANCHOR) if short and at <= 1 else least):
+                continue
+            for l_at, l_bridge, l_n in lefts:
+                l_end = l_bridge + l_n - 1
+                if not 0 <= j + late - l_end - 1 <= BETWEEN:
+                    continue
+                low, high = over[l_end][2], over[j + late][1]
+                middle = bridge[low:high].strip(" ")
+                worth = END_MARK if _END.search(middle) else INNER_MARK if _INNER.search(middle) else 0
+                rank = (l_n + size + worth, -l_at, -l_bridge, -i, -j, -late)
+                if best is None or rank > best[0]:
+                    best = rank, (a[l_at + l_n - 1][2], b[at][1], low, high, l_n + size)
+    return best and best[1]
 
 
 def bridge_rewrite(pairs: DataFrame) -> DataFrame:
@@ -45,41 +75,21 @@ def bridge_rewrite(pairs: DataFrame) -> DataFrame:
     a right anchor may begin up to six tokens late while it stays long enough, and two-token sides of up to six tokens count too.
     Between the two the bridge has 48 tokens at most. The pair with the most tokens wins, marks before the right anchor counted
     in; of equals the one with the leftmost left anchor, then the leftmost in the bridge, then the right anchor likewise.
-    Null texts are empty; equal rows get equal answers.
+    Null texts are empty; equal rows get equal answers. A row is looked at by itself: its tokens are few, and nothing is shuffled.
     """
-    key = F.sha2(F.to_json(F.array(*(F.coalesce(c, F.lit("")) for c in ("left", "right", "bridge")))), 256)
-    rows = pairs.withColumn("_k", key)
-    texts = rows.select("_k", *(F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right", "bridge"))).dropDuplicates(["_k"])
-    words = {c: _tokens(texts, c) for c in ("left", "right", "bridge")}
-    sizes = words["left"].groupBy("_k").agg(F.max("at").alias("last"))
-    left = words["left"].join(sizes, "_k").where(F.col("at") > F.col("last") - SIDE_TOKENS)
-    bridge = words["bridge"].where(F.col("at") < BRIDGE_TOKENS)
-    right = words["right"].where(F.col("at") < SIDE_TOKENS)
-    short = right.groupBy("_k").agg((F.max("at") < RIGHT_AWAY).alias("short"))
-
-    end = F.element_at("run", -1)
-    lefts = _anchors(left, bridge).join(sizes, "_k").where((F.col("last") - end["at"] <= LEFT_AWAY) & (F.col("n") >= _least(F.col("run"))))
-    lefts = lefts.select("_k", F.element_at("run", 1).alias("l0"), end.alias("l"), F.col("n").alias("l_n"))
-    late = F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.col("n") - ANCHOR, F.lit(0)), F.lit(RIGHT_AWAY))))
-    rights = _anchors(right, bridge).join(short, "_k").withColumn("late", late)
-    rights = rights.withColumn("part", F.slice("run", F.col("late") + 1, F.col("n") - F.col("late"))).withColumn("r", F.get("part", F.lit(0)))
-    least = F.when(F.col("short") & (F.col("r.at") <= 1), F.least(_least(F.col("part")), F.lit(ANCHOR))).otherwise(_least(F.col("part")))
-    rights = rights.where((F.col("r.at") <= RIGHT_AWAY) & (F.size("part") >= least)).select("_k", "r", F.size("part").alias("r_n"), "late", F.get("run", F.lit(0)).alias("r0"))
-
-    both = lefts.join(rights, "_k").where((F.col("r.b_at") - F.col("l.b_at") - 1).between(0, BETWEEN)).join(texts.select("_k", "bridge"), "_k")
-    middle = F.trim(F.substring("bridge", F.col("l.b_z").cast("int") + 1, (F.col("r.b_a") - F.col("l.b_z")).cast("int")))
-    worth = F.when(middle.rlike("[。？！.?!]$"), END_MARK).when(middle.rlike("[，；：,;:]$"), INNER_MARK).otherwise(0)
-    score = F.col("l_n") + F.col("r_n")
-    first = [-F.col(c) for c in ("l0.at", "l0.b_at", "r0.at", "r0.b_at", "late")]
-    chosen = F.struct(F.col("l.z").alias("cut"), F.col("r.a").alias("from"), middle.alias("middle"), score.alias("matched"))
-    best = both.groupBy("_k").agg(F.max_by(chosen, F.struct((score + worth).alias("score"), *(c.alias(f"t{i}") for i, c in enumerate(first)))).alias("c"))
-
-    out = rows.join(best, "_k", "left")
-    head = F.rtrim(F.substring("left", F.lit(1), F.col("c.cut").cast("int")))
-    blank = F.when(head.rlike("[0-9A-Za-z]$") & F.col("c.middle").rlike("^[0-9A-Za-z]"), " ").otherwise("")
-    new_left = F.trim(F.concat(head, blank, "c.middle"))
-    new_right = F.regexp_replace(F.substring("right", F.col("c.from").cast("int") + 1, F.length("right")), f"^{_AROUND}+", "")
-    fits = F.col("c").isNotNull() & (new_left != "") & (new_right != "")
+
+    @F.pandas_udf("struct<cut:int,from:int,low:int,high:int,matched:int>")
+    def places(left: pd.Series, right: pd.Series, bridge: pd.Series) -> pd.DataFrame:
+        found = [bridge_places(*x) or (None,) * 5 for x in zip(left, right, bridge, strict=True)]
+        return pd.DataFrame(found, columns=["cut", "from", "low", "high", "matched"], dtype="Int32")
+
+    out = pairs.withColumn("c", places(*(F.coalesce(c, F.lit("")) for c in ("left", "right", "bridge"))))
+    middle = F.trim(F.substring("bridge", F.col("c.low") + 1, F.col("c.high") - F.col("c.low")))
+    head = F.rtrim(F.substring("left", F.lit(1), F.col("c.cut")))
+    blank = F.when(head.rlike("[0-9A-Za-z]$") & middle.rlike("^[0-9A-Za-z]"), " ").otherwise("")
+    new_left = F.trim(F.concat(head, blank, middle))
+    new_right = F.regexp_replace(F.substring("right", F.col("c.from") + 1, F.length("right")), f"^{_AROUND}+", "")
+    fits = F.col("c.cut").isNotNull() & (new_left != "") & (new_right != "")
     return out.select(
         *pairs.columns, F.when(fits, new_left).otherwise(F.coalesce("left", F.lit(""))).alias("new_left"),
         F.when(fits, new_right).otherwise(F.coalesce("right", F.lit(""))).alias("new_right"), F.when(fits, F.col("c.matched")).otherwise(0).cast("long").alias("matched"),

@@ -146,6 +146,11 @@ def test_w19_bridges(spark):
     assert by[rows[0][0]].new_left.endswith("可能我见了黄河才会死心吧，") and by["很多上班族"].new_right == "的一天。" and sum(r.matched > 0 for r in got) > 50
 
 
+def test_w19_moves_no_rows(spark):
+    frame = spark.createDataFrame([("a b", "c d", "a b c d")], "left string, right string, bridge string")
+    assert "Exchange" not in bridges.bridge_rewrite(frame)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_w19_query(spark):
     text = {(r.video_id, r.seg_idx): r.text for r in views.seg(spark, DATA).collect()}
     for r in registry.QUERIES["w19_bridges"](spark, DATA).collect():
