@@ -3,10 +3,12 @@
 import difflib
 import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.functions import align
 from cuemill.operators import clauses, joins, repair, sequence, typography, verify
@@ -440,3 +442,20 @@ def test_j6_touching_spans(spark):
     points = spark.createDataFrame([(1, t) for t in range(-1, 12)] + [(2, 0)], "video_id long, t long")
     got = {r.t: (r.seg_idx, r.local) for r in joins.locate(points, spans).collect()}
     assert got == {t: (0, t) for t in range(6)} | {t: (1, t - 5) for t in range(6, 10)} | {10: (2, 0)}
+
+
+def test_t10_places_between_words(spark):
+    """Four words before a place and three behind, as counted on both parts of the text; also in a long text with many pauses."""
+    texts = ["a b c d e f g", "İa b İİ c d’e -x, f g. h", "one İ two\uffffthree  four K five ſix seven eight", "a b c", "去 a b c d 公 e f g", "a b c d"]
+    words = lambda t: len(re.findall("[0-9a-z'’-]+", t.lower()))
+    frame = spark.createDataFrame([(t,) for t in texts], "flat string")
+    for r in frame.select("flat", *verify._reach(F.col("flat"))).collect():
+        n = len(r.flat)
+        want = [at for at in range(n + 1) if words(r.flat[:at]) >= 4 and words(r.flat[at:]) >= 3]
+        assert want == [at for at in range(n + 1) if r["from"] is not None and r["to"] is not None and r["from"] <= at < r["to"]]
+    long = "word " * 40_000
+    seg = spark.createDataFrame([(1, 0, long, 0, 9000)], "video_id long, seg_idx long, text string, start_ms long, end_ms long")
+    pauses = spark.range(40_000).selectExpr("1L as video_id", "0L as seg_idx", "5 * id as char_offset", "400 as gap_ms", "0.9D as confidence")
+    began = time.monotonic()
+    assert verify.stops_at_pauses(seg, pauses).first().text.count(".") == 6
+    assert time.monotonic() - began < 60
