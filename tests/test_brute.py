@@ -459,3 +459,19 @@ def test_t10_places_between_words(spark):
     began = time.monotonic()
     assert verify.stops_at_pauses(seg, pauses).first().text.count(".") == 6
     assert time.monotonic() - began < 60
+
+
+def test_t20_odd_letters_and_titles(spark):
+    names = [(1, "mr smith", "Mr Smith", 1), (1, "kite", "KITE", 2), (1, "smith kite", "SmithKite", 3), (1, "ünal", "ÜNAL", 4)]
+    texts = ["mister smith", "Mr.Smith flew a \u212aite", "MR \u017fmith k\u0131te kite", "ÜNAL ünal", "mister", "blacksmith kites", None, "smith KITE", "Mister  SMITH Kite"]
+    memory = spark.createDataFrame(names, "video_id long, normalized string, canonical string, rank int")
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 99, "kite")], "video_id long, seg_idx long, text string")
+    got = {r.seg_idx: r.text for r in verify.canonicalize(rows, memory).collect()}
+    short = {"mrs": "missus", "mr": "mister", "dr": "doctor", "ms": "ms"}
+    for i, text in enumerate(texts):
+        for _, n, c, _ in names if text else ():
+            first, _, rest = n.partition(" ")
+            p = rf"\b(?:{first}\.?\s*|{short[first]}\s+){re.escape(rest)}\b" if rest and first in short else rf"(?<![\w]){re.escape(n)}(?![\w])"
+            text = re.sub(p, lambda m, c=c: c, text, flags=re.IGNORECASE)
+        assert got[i] == text
+    assert got[99] == "kite"
