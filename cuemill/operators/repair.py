@@ -197,17 +197,21 @@ def entity_candidates(seg: DataFrame) -> DataFrame:
     titles = "|".join(TITLES)
     titled = F.regexp_extract_all(t, F.lit(rf"((?i:\b(?:{titles}))\b\.?\s*[A-Z][A-Za-z'-]+)"), F.lit(1))
     plain = F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z'-])([A-Za-z'-]{2,})(?![A-Za-z'-])"), F.lit(1))
+    # a name has two capitals, so the other words are not looked at one by one
+    capital = F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z'-])(?=[a-z'-]*+[A-Z][a-z'-]*+[A-Z])([A-Za-z'-]{2,})(?![A-Za-z'-])"), F.lit(1))
     letters, capitals = X.count_matches(t, "[A-Za-z]"), X.count_matches(t, "[A-Z]")
-    prose = (letters >= 12) & (F.size(plain) >= 3) & (capitals >= 0.9 * letters)
+    prose = F.when(t.rlike("[A-Z][a-z'-]*[A-Z]"), (letters >= 12) & (F.size(plain) >= 3) & (capitals >= 0.9 * letters))
 
     def named(w: Column) -> Column:
         up, low = F.length(F.regexp_replace(w, "[^A-Z]", "")), F.length(F.regexp_replace(w, "[^a-z]", ""))
         kind = ((up >= 2) & (low == 0)) | ((F.length(w) >= 4) & (up >= 2) & (low >= 1))
         return kind & ~F.lower(w).isin(STOPWORDS)
 
-    words = F.filter(plain, lambda w: named(w) & ~(prose & w.rlike("^[^a-z]+$")))
-    first = F.explode(F.concat(F.transform(titled, lambda s: F.struct(F.lit(True).alias("titled"), s.alias("surface"))), F.transform(words, lambda s: F.struct(F.lit(False).alias("titled"), s.alias("surface")))))
-    rows = seg.select("video_id", "seg_idx", first.alias("c")).select("video_id", "seg_idx", "c.*")
+    words = F.filter(capital, named)
+    both = F.concat(F.transform(titled, lambda s: F.struct(F.lit(True).alias("titled"), s.alias("surface"))), F.transform(words, lambda s: F.struct(F.lit(False).alias("titled"), s.alias("surface"))))
+    # whether a text is in capitals is found once, below the rows of its names
+    rows = seg.select("video_id", "seg_idx", both.alias("both"), prose.alias("prose")).select("video_id", "seg_idx", "prose", F.explode("both").alias("c")).select("video_id", "seg_idx", "prose", "c.*")
+    rows = rows.where(~(~F.col("titled") & F.col("prose") & F.col("surface").rlike("^[^a-z]+$")))
     title = F.lower(F.regexp_extract("surface", r"^([A-Za-z]+)", 1))
     name = F.regexp_extract("surface", r"([A-Z][A-Za-z'-]+)$", 1)
     short = F.element_at(F.create_map(*(F.lit(x) for kv in TITLES.items() for x in kv)), title)
@@ -215,9 +219,10 @@ def entity_candidates(seg: DataFrame) -> DataFrame:
     return rows.select("video_id", "seg_idx", "surface", F.when(F.col("titled"), F.concat_ws(" ", short, F.lower(name))).otherwise(F.lower("surface")).alias("normalized"))
 
 
-def entity_memory(seg: DataFrame, most: int = 32) -> DataFrame:
-    """Names of a video that occur twice or more, with their best alias; the 32 most frequent (A1)."""
-    counts = entity_candidates(seg).groupBy("video_id", "normalized", "surface").agg(F.count(F.lit(1)).alias("n"))
+def entity_memory(seg: DataFrame, most: int = 32, candidates: DataFrame | None = None) -> DataFrame:
+    """Names of a video that occur twice or more, with their best alias; the 32 most frequent (A1). ``candidates`` are those of
+    ``entity_candidates``, where they are known already."""
+    counts = (entity_candidates(seg) if candidates is None else candidates).groupBy("video_id", "normalized", "surface").agg(F.count(F.lit(1)).alias("n"))
     first = F.lower(F.regexp_extract("surface", r"^([A-Za-z]+)\b", 1))
     score = F.struct((first.isin(list(TITLES)) & (F.length(first) <= 3)).cast("int").alias("short"), F.col("n"), F.lower("surface").alias("s"), F.col("surface").alias("x"))
     groups = counts.groupBy("video_id", "normalized").agg(F.max(score)["x"].alias("canonical"), F.sum("n").alias("occurrences")).where("occurrences >= 2")

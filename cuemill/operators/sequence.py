@@ -446,7 +446,8 @@ def suspicions(seg: DataFrame, health: DataFrame, memory: DataFrame | None = Non
     rows = seg.join(h, ["video_id", "seg_idx"])
     long = F.col("end_ms") - F.col("start_ms")
     gap = F.greatest(F.col("start_ms") - F.lag("end_ms").over(by_video()), F.lit(0))
-    rows = rows.withColumn("long", long).withColumn("before", gap).withColumn("units", F.size(X.tokens(F.col("text"))))
+    rows = rows.withColumn("long", long).withColumn("before", gap)
+    rows = rows.withColumn("units", F.when(long <= 1400, F.size(X.tokens(F.col("text")))))  # of short segments only
     rows = rows.withColumns({
         "after": F.lead("before").over(by_video()), "long_before": F.lag("long").over(by_video()), "long_after": F.lead("long").over(by_video()),
         "start_before": F.lag("start_ms").over(by_video()), "k": F.row_number().over(by_video()), "id_before": F.lag("seg_idx").over(by_video()),

@@ -664,8 +664,9 @@ def _(spark, d):
 @query("w20_suspicions")
 def _(spark, d):
     lines = V.line_seg(spark, d)
-    names = P.entity_candidates(lines).select("video_id", "seg_idx", "normalized").distinct()
-    return W.suspicions(lines, S.surface_health(lines), P.entity_memory(lines), names)
+    found = settled(P.entity_candidates(lines))
+    names = found.select("video_id", "seg_idx", "normalized").distinct()
+    return W.suspicions(lines, S.surface_health(lines), settled(P.entity_memory(lines, candidates=found)), names)
 
 
 @query(

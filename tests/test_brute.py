@@ -475,3 +475,13 @@ def test_t20_odd_letters_and_titles(spark):
             text = re.sub(p, lambda m, c=c: c, text, flags=re.IGNORECASE)
         assert got[i] == text
     assert got[99] == "kite"
+
+
+def test_a1_names_in_a_long_text_of_capitals(spark):
+    """Each word is a name but for the text being all in capitals, which is found once for the text and not for each word."""
+    rows = [(1, 0, "ABC DEF " * 20_000), (1, 1, "abc NASA McDonald iPhone x'YZ Dr. Moss THE Mr THE"), (1, 2, "NASA ab"), (1, 3, None), (1, 4, "DR. MOSS SAW NASA TODAY")]
+    seg = spark.createDataFrame(rows, "video_id long, seg_idx long, text string")
+    began = time.monotonic()
+    got = [(r.seg_idx, r.surface) for r in repair.entity_candidates(seg).collect()]
+    assert sorted(got) == sorted([(1, "NASA"), (1, "McDonald"), (1, "x'YZ"), (1, "Dr. Moss"), (2, "NASA"), (4, "DR. MOSS")])
+    assert time.monotonic() - began < 30
