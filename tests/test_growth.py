@@ -4,9 +4,12 @@ from collections import Counter
 
 import numpy as np
 
+from cuemill.functions import align
 from cuemill.operators import clauses as Z
 from cuemill.operators import search as K
 from cuemill.operators import segments as S
+from cuemill.operators import verify as A
+from tests.test_align import plain_alignment
 
 
 def plan(df):
@@ -85,3 +88,20 @@ def test_clause_review_holds_few_videos_and_reads_lines_once(spark):
         kept, _ = Z.review([(i, a, z, t or "", p in Z.PROFILES) for w, i, a, z, t, p in rows if w == v])
         want += [(v, *x[:4]) for x in kept]
     assert sorted((r.video_id, r.seg_idx, r.start_ms, r.end_ms, r.text) for r in out.collect()) == sorted(want) and 100 < log.count() < 200
+
+
+def test_alignment_looks_at_a_band_only(spark, monkeypatch):
+    """Words heard with gaps and misspelt: few cells are worked out, the pairs are the plain ones; tasks are stated."""
+    rng = np.random.default_rng(9)
+    a = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(120)]
+    b = [w + "x" * (k % 4 == 1) for k, w in enumerate(a) if k % 6 != 5]
+    seen, count = align.edit_distances, []
+    monkeypatch.setattr(align, "edit_distances", lambda x, y, pairs: count.append(len(pairs)) or seen(x, y, pairs))
+    pairs = [(a, b), (b, a), (a, a[::-1]), (a[:7], b), (["x" * 70, "é" * 3], ["x" * 69 + "y", "éaé", ""]), (["a"], ["b"] * 40)]
+    assert align.alignments(pairs[:1]) == [plain_alignment(a, b)] and sum(count) < len(a) * len(b) / 3
+    assert align.alignments(pairs) == [plain_alignment(*p) for p in pairs]
+    monkeypatch.setattr(align, "LETTERS", 1)
+    assert align.alignments(pairs[:2]) == [plain_alignment(*p) for p in pairs[:2]]
+    seg = spark.createDataFrame([(1, 0, "One two.", 0, 1000)], "video_id long, seg_idx long, text string, start_ms long, end_ms long")
+    words = spark.createDataFrame([(1, 0, 0, "one", 0, 90), (1, 0, 1, "two", 80, 2000)], "video_id long, seg_idx long, at long, word string, start_ms long, end_ms long")
+    assert A.align_words(seg, words)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
