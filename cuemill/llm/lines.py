@@ -13,7 +13,8 @@
 5. Exact verification: Jaccard similarity of the two lines' sets of five-character shingles, 0.8 or more.
 6. Distributed union-find by star contraction. In the bands that still hold several components, the lines outside the
    largest one meet all lines of other components, in blocks, again behind sizes and sketches; then components are
-   joined once more. A group of near copies is one component by then and makes no pairs.
+   joined once more. A group of near copies is one component by then and makes no pairs. A pair that shares several
+   bands is made in the least of them only, and one that was verified before is not verified again.
 7. Of each component the first line by document and place stays.
 
 Signing and verifying run in numpy and Python over Arrow batches; the README says why not as DataFrame functions.
@@ -186,10 +187,13 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable) -> DataFrame:
     both = pairs.join(_side(texts, "b", "norm"), "b").join(_side(texts, "a", "norm"), "a").select("a", "b", "a_norm", "b_norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, one = None, set()
         for batch in batches:
             near = []
             for x, y in zip(batch.column("a_norm").to_pylist(), batch.column("b_norm").to_pylist(), strict=True):
-                one, other = set_of(x), set_of(y)
+                if x != known:  # pairs come by their first line
+                    known, one = x, set_of(x)
+                other = set_of(y)
                 near.append(len(one & other) * 9 >= (len(one) + len(other)) * 4)  # both / (a + b - both) >= 4 / 5
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
@@ -203,8 +207,9 @@ def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable, k
     ``known`` are verified links (a, b); what they join is not compared again.
     """
     bands = signatures.select("lid", F.explode("bands").alias("band"))
-    shared = pin(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    member = pin(bands.join(shared, "band"))
+    # both sides of the join name the same rows, so that the bands of all lines are shuffled once
+    bands = bands.repartition("band")
+    member = pin(bands.join(bands.groupBy("band").agg(F.count("lid").alias("members")).where("members > 1"), "band"))
     least = [F.min(F.struct(F.xxhash64("lid", F.lit(i)), "lid"))["lid"] for i in range(3)]
     pivots = F.when(F.first("members") >= LARGE_BAND, F.array(F.min("lid"), *least)).otherwise(F.array(F.min("lid")))
     tried = member.join(member.groupBy("band").agg(pivots.alias("pivots")), "band").select(F.col("lid").alias("a"), F.explode("pivots").alias("b"))
@@ -214,28 +219,36 @@ def near_components(signatures: DataFrame, texts: DataFrame, set_of: Callable, k
         tried = tried.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         tried = tried.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         tried = tried.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = verified(possible(tried, signatures), texts, set_of)
+    tried = pin(possible(tried, signatures))
+    links = verified(tried, texts, set_of)
     found = connected_components(links if known is None else known.unionByName(links))
-    more = verified(possible_between(member, found, signatures), texts, set_of)
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    new = possible_between(member, found, signatures).select(*ends).join(tried.select(*ends), ["a", "b"], "left_anti")
+    more = verified(new, texts, set_of)
     if more.isEmpty():
         return found
     return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def possible_between(member: DataFrame, found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines that share a band, lie in different components and pass sizes and sketches."""
+    """Distinct pairs (a, b) of lines that share a band, lie in different components and pass sizes and sketches.
+
+    Each comes from the least band that its lines share, so a pair is made once, not once a band.
+    """
     placed = member.select("band", "lid").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
     placed = pin(placed)
     sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
     blocks = lambda n: F.ceil(n / BLOCK_ROWS)
     bands = bands.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.size")).alias("here"), blocks(F.col("all")).alias("there"))
-    rows = pin(placed.join(bands, "band").join(signatures.drop("bands"), "lid"))
+    held = pin(placed.join(bands, "band"))
+    mine = held.groupBy("lid").agg(F.collect_list("band").alias("bands"))  # two lines of different components share no other bands
+    rows = pin(held.join(mine, "lid").join(signatures.drop("bands"), "lid"))
 
     def dealt(k: str, own: str, other: str) -> DataFrame:
         """Rows with the number of their block, once for each block of the other side."""
         salt = F.pmod(F.xxhash64("lid"), own)
-        columns = ["n", *SKETCH, "component"]
+        columns = ["n", *SKETCH, "component", "bands"]
         place = rows if k == "b" else rows.where("component <> main")
         return place.select(
             "band", salt.alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), (F.col("component") == F.col("main")).alias(f"{k}_main"),
@@ -244,7 +257,8 @@ def possible_between(member: DataFrame, found: DataFrame, signatures: DataFrame)
 
     both = dealt("a", "here", "there").join(dealt("b", "there", "here"), ["band", "here", "there"])
     apart = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b")))
-    return both.where(apart & _sizes_allow("a_n", "b_n") & _sketches_allow("a", "b")).select("a", "b").distinct()
+    here = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band")
+    return both.where(apart & _sizes_allow("a_n", "b_n") & _sketches_allow("a", "b") & here).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

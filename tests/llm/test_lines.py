@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cuemill.llm import lines
+from cuemill.llm.common import scratch
 
 from .test_simhash import slow_components
 
@@ -156,3 +157,15 @@ def test_sketches_and_sizes_lose_no_near_pair():
             assert allowed or not near
             turned += not allowed
     assert turned > 100
+
+
+def test_pairs_of_several_bands_are_made_once(spark):
+    """Lines 1 to 4 share three bands, 1 and 2 are joined already: the other five pairs come once each."""
+    with scratch(spark):
+        sketch = {s: 0 for s in lines.SKETCH}
+        rows = [{"lid": i, "n": 20, "bands": [7, -5, 3, 100 + i], **sketch} for i in range(1, 5)]
+        signatures = spark.createDataFrame(rows, lines.SIGNED)
+        member = spark.createDataFrame([(b, i, 4) for b in (7, -5, 3) for i in range(1, 5)], "band long, lid long, members long")
+        found = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+        got = [tuple(sorted(r)) for r in lines.possible_between(member, found, signatures).collect()]
+    assert sorted(got) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
