@@ -1173,7 +1173,7 @@ def _paused(spark, d):
     heard = rows.withColumn("s", at(F.col("at"))).withColumn("e", (at(F.col("at") + 1) - 20).cast("long"))
     heard = heard.select("video_id", "seg_idx", "at", F.when(F.col("at") % 5 == 2, F.concat("word", F.lit("x"))).otherwise(F.col("word")).alias("word"), "s", "e", "gap_at")
     pauses = heard.where("seg_idx % 2 = 0").groupBy("video_id", "seg_idx").agg(F.max(F.when(F.col("at") == F.col("gap_at") - 1, F.col("e"))).alias("gap_start"), F.max(F.when(F.col("at") == F.col("gap_at"), F.col("s"))).alias("gap_end"))
-    heard, pauses = settled(heard), settled(pauses.where("gap_end > gap_start").select("video_id", "gap_start", "gap_end"))
+    pauses = settled(pauses.where("gap_end > gap_start").select("video_id", "gap_start", "gap_end"))
     windows = settled(B.pause_windows(seg, pauses))
     cell = lambda c: F.floor(F.col(c) / 10_000)
     reach = windows.select("video_id", "window", "kind", "from_ms", "to_ms", F.explode(F.sequence(cell("from_ms"), cell("to_ms"))).alias("cell"))
